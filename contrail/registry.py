@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"contrail.plans.{mod}")
 
 
-PLAN_MODULES = ["rates", "time", "legs", "evaluation", "explain", "models"]
+PLAN_MODULES = ["rates", "time", "legs", "evaluation", "explain", "models", "io"]
