@@ -66,8 +66,9 @@ AIRPORT_CODES = [a[1] for a in AIRPORTS]
 
 
 def airport_dim(spark: SparkSession) -> DataFrame:
-    """The 40-row dimension as a local relation (planned as a broadcastable LocalTableScan)."""
-    return spark.createDataFrame(AIRPORTS, AIRPORT_SCHEMA)
+    """The 40-row dimension as an inline table (a JVM-side LocalTableScan, broadcast when joined)."""
+    rows = ",".join(f"({i}, '{c}', '{z}', cast({la!r} as double), cast({lo!r} as double))" for i, c, z, la, lo in AIRPORTS)
+    return spark.sql(f"select * from values {rows} as t(idx, code, zone, lat, lon)")
 
 
 def airport_dim_sql() -> str:

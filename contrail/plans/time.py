@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from contrail.functions.clock import hhmm_to_minutes, to_utc_sql
 from contrail.operators import quality as Q
@@ -28,9 +27,6 @@ TIME_CASES = [
     (-7, "2024-01-15", "BOS", 2400.0, 0.0),
     (-8, "2024-01-15", "JFK", 2330.0, 360.0),
 ]
-CASE_SCHEMA = T.StructType([T.StructField("flight_id", T.LongType()), T.StructField("FlightDate", T.StringType()),
-                            T.StructField("Origin", T.StringType()), T.StructField("CRSDepTime", T.DoubleType()),
-                            T.StructField("CRSElapsedTime", T.DoubleType())])
 _CASES_SQL = "select * from (values " + ",".join(
     f"(cast({i} as bigint), '{d}', '{a}', cast({h} as double), cast({e} as double))" for i, d, a, h, e in TIME_CASES
 ) + ") t(flight_id, FlightDate, Origin, CRSDepTime, CRSElapsedTime)"
@@ -38,7 +34,7 @@ _CASES_SQL = "select * from (values " + ",".join(
 
 def schedule_input(spark, sf_dir):
     f = flights_v(spark, sf_dir).select("flight_id", "FlightDate", "Origin", "CRSDepTime", "CRSElapsedTime")
-    return f.unionByName(spark.createDataFrame(TIME_CASES, CASE_SCHEMA))
+    return f.unionByName(spark.sql(_CASES_SQL))
 
 
 _LOCAL_SQL = ("cast(cast(FlightDate as date) as timestamp) + "
