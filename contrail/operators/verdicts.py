@@ -20,40 +20,51 @@ DIMENSIONS = ["fabrication", "direction_error", "certainty_language", "probabili
 VERDICT_SCHEMA = T.StructType([T.StructField(d, T.MapType(T.StringType(), T.StringType())) for d in DIMENSIONS]
                               + [T.StructField("notes", T.StringType())])
 
-_WS = r"^\s+|\s+$"
+
+
+_WS_CHARS = " \\t\\n\\r\\f\\u000B"
 
 
 def with_json_text(df: DataFrame, raw: str = "raw", out: str = "_body") -> DataFrame:
     """Add the candidate JSON object text of a judge reply (null when no braces are found).
 
-    Each step is its own column so every expensive expression is evaluated once per row.
+    Each step is its own column so every expensive expression is evaluated once per row; the
+    fence split (an interpreted higher-order function) only runs on replies that have fences.
     """
-    d = df.withColumn("_s", F.regexp_replace(F.col(raw), _WS, ""))
-    d = d.withColumn("_lg", F.aggregate(F.split("_s", "```"), F.lit(""),
-                                        lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc)))
-    d = d.withColumn("_ld", F.regexp_replace("_lg", r"^\s+", ""))
+    d = df.withColumn("_s", F.expr(f"trim(BOTH '{_WS_CHARS}' FROM `{raw}`)"))
+    fenced_in = F.instr(F.col("_s"), "```") > 0
+    longest = F.aggregate(F.split("_s", "```"), F.lit(""),
+                          lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
+    d = d.withColumn("_lg", F.when(fenced_in, longest))
+    d = d.withColumn("_ld", F.expr(f"ltrim('{_WS_CHARS}', _lg)"))
     fenced = F.when(F.col("_ld").startswith("json"), F.expr("substring(_ld, 5)")).otherwise(F.col("_lg"))
-    d = d.withColumn("_t", F.when(F.instr(F.col("_s"), "```") > 0, fenced).otherwise(F.col("_s")))
-    d = d.withColumn("_a", F.instr(F.col("_t"), "{")).withColumn("_rb", F.instr(F.reverse(F.col("_t")), "}"))
-    length = F.greatest(F.length("_t") - F.col("_rb") + 1 - F.col("_a") + 1, F.lit(0))
-    d = d.withColumn(out, F.when((F.col("_a") > 0) & (F.col("_rb") > 0), F.col("_t").substr(F.col("_a"), length)))
-    return d.drop("_s", "_lg", "_ld", "_t", "_a", "_rb")
+    d = d.withColumn("_t", F.when(fenced_in, fenced).otherwise(F.col("_s")))
+    # first '{' and last '}' (substring_index scans from the end without copying the text)
+    d = d.withColumn("_a", F.instr(F.col("_t"), "{")).withColumn(
+        "_b", F.length("_t") - F.length(F.substring_index(F.col("_t"), "}", -1)))
+    length = F.greatest(F.col("_b") - F.col("_a") + 1, F.lit(0))
+    d = d.withColumn(out, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_t").substr(F.col("_a"), length)))
+    return d.drop("_s", "_lg", "_ld", "_t", "_a", "_b")
 
 
 def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds parse_ok, error, one boolean per dimension, evidence per dimension, faithful.
 
-    The results leave through a one-element ``inline`` generator: a later filter on them (say
-    ``faithful``) cannot be pushed below it and re-expand the JSON parse inside the filter, so
-    each row is parsed exactly once.
+    The parsed JSON leaves through a one-element ``inline`` generator: a later filter on the
+    flags (say ``faithful``) cannot be pushed below it and re-expand the JSON parse inside the
+    filter, so each reply is parsed exactly once; the flags are cheap map lookups above it.
     """
-    d = with_json_text(df, raw).withColumn("_v", F.from_json("_body", VERDICT_SCHEMA))
+    d = with_json_text(df, raw)
+    # the body text passes through the generator too, so no predicate on the flags references
+    # a column below it (a pushed-down conjunct would re-inline the whole extraction chain)
+    d = d.select(*df.columns, F.inline(F.array(F.struct(
+        F.col("_body").alias("_jb"), F.from_json("_body", VERDICT_SCHEMA).alias("_v")))))
     all_dims = None
     for dim in DIMENSIONS:
         h = F.coalesce(F.map_contains_key(F.col(f"_v.{dim}"), "present"), F.lit(False))
         all_dims = h if all_dims is None else all_dims & h
-    ok = F.col("_body").isNotNull() & F.col("_v").isNotNull() & all_dims
-    err = (F.when(F.col("_body").isNull(), F.lit("no JSON object found"))
+    ok = F.col("_jb").isNotNull() & F.col("_v").isNotNull() & all_dims
+    err = (F.when(F.col("_jb").isNull(), F.lit("no JSON object found"))
             .when(F.col("_v").isNull(), F.lit("invalid JSON"))
             .when(~all_dims, F.lit("malformed verdict")))
     present = {dim: F.coalesce(F.lower(F.col(f"_v.{dim}").getItem("present")) == "true", F.lit(False))
@@ -66,7 +77,7 @@ def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
         fields += [F.when(ok, present[dim]).alias(dim),
                    F.when(ok, F.col(f"_v.{dim}").getItem("evidence")).alias(f"{dim}_evidence")]
     fields.append(F.when(ok, ~anyp).alias("faithful"))
-    return d.select(*df.columns, F.inline(F.array(F.struct(*fields))))
+    return d.select(*df.columns, *fields)
 
 
 def verdict_rates(v: DataFrame, group: list[str]) -> DataFrame:
