@@ -73,9 +73,9 @@ def target_summary(df: DataFrame, cancelled: str = "Cancelled", diverted: str =
     )
     return t.select(
         "*",
-        F.round(F.col("diverted_dropped") / F.col("rows_in"), 9).alias("diverted_share"),
-        F.round(F.col("missing_dropped") / F.col("rows_in"), 9).alias("missing_share"),
-        F.round(F.col("positives") / F.col("rows_out"), 9).alias("target_rate"),
+        F.round(F.try_divide("diverted_dropped", "rows_in"), 9).alias("diverted_share"),
+        F.round(F.try_divide("missing_dropped", "rows_in"), 9).alias("missing_share"),
+        F.round(F.try_divide("positives", "rows_out"), 9).alias("target_rate"),
     )
 
 

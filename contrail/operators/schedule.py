@@ -52,4 +52,4 @@ def unresolved_report(df: DataFrame, dep: str = "dep_hour_utc", arr: str = "arr_
     n = F.count(F.lit(1))
     nd, na = F.count_if(F.col(dep).isNull()), F.count_if(F.col(arr).isNull())
     return df.agg(n.alias("rows"), nd.alias("dep_unresolved"), na.alias("arr_unresolved"),
-                  F.round(nd / n, 9).alias("dep_share"), F.round(na / n, 9).alias("arr_share"))
+                  F.round(F.try_divide(nd, n), 9).alias("dep_share"), F.round(F.try_divide(na, n), 9).alias("arr_share"))

@@ -115,8 +115,8 @@ def judge_agreement(human: DataFrame, judge: DataFrame, id_col: str = "flight_id
               F.count_if(hu & ~ju).alias("fn"), F.count_if(~hu & ~ju).alias("tn"))
     n = F.col("n").cast("double")
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    po = (tp + tn) / n
-    pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
+    po = F.try_divide(tp + tn, n)
+    pe = F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
     return a.select("n", "tp", "fp", "fn", "tn",
                     F.round(po, ROUND).alias("agreement"),
                     F.round(F.when(pe != 1, (po - pe) / (1 - pe)), ROUND).alias("kappa"),
