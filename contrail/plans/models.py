@@ -155,3 +155,33 @@ def q_code_parity(spark, sf_dir):
     return long.select("feature", "value",
                        F.when(F.col("ix") >= F.element_at(n_labels, F.col("feature")), F.lit(-1))
                         .otherwise(F.col("ix").cast("int")).alias("code"))
+
+
+# ---------------------------------------------------------------- per-row attributions
+
+def _shap(spark, sf_dir):
+    from contrail.operators import shap as SH
+    from contrail.sources.sinks import scratch_path
+    feats = M.CAT + M.NUM_W + M.CASCADE
+    model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
+    trees = SH.ensemble_trees(spark, model.stages[-1], scratch_path(spark, "gbt"))
+    scored = M.margin(model.transform(te))
+    return SH, SH.shap_values(scored, trees, feats), feats
+
+
+@register("tree_shap")
+def q_tree_shap(spark, sf_dir):
+    SH, values, feats = _shap(spark, sf_dir)
+    return SH.shap_long(values, feats)
+
+
+@register("shap_additivity")
+def q_shap_additivity(spark, sf_dir):
+    SH, values, _ = _shap(spark, sf_dir)
+    return SH.additivity(values)
+
+
+@register("mean_abs_shap")
+def q_mean_abs_shap(spark, sf_dir):
+    SH, values, feats = _shap(spark, sf_dir)
+    return SH.mean_abs(SH.shap_long(values, feats))
