@@ -26,14 +26,15 @@ def load_cells(df: DataFrame, keys: list[str], target: str | None = None) -> Dat
     return df.groupBy(*keys).agg(*aggs)
 
 
-def load_histogram(cells: DataFrame, group: str, with_k: bool = False) -> DataFrame:
-    """(group, load, c = rows with that load, load_pct); rows with null cell keys excluded upstream."""
+def load_histogram(cells: DataFrame, group: str, with_k: bool = False, extra: list[str] | None = None) -> DataFrame:
+    """(group, load, c = rows with that load, load_pct), ranked within ``group`` (and ``extra``)."""
     aggs = [F.sum("load").alias("c")]
     if with_k:
         aggs.append(F.sum("k").alias("k"))
-    h = cells.groupBy(group, "load").agg(*aggs)
-    w_before = Window.partitionBy(group).orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(group)
+    parts = [group, *(extra or [])]
+    h = cells.groupBy(*parts, "load").agg(*aggs)
+    w_before = Window.partitionBy(*parts).orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*parts)
     before = F.coalesce(F.sum("c").over(w_before), F.lit(0))
     return h.withColumn("load_pct", (before + (F.col("c") + 1) / 2.0) / F.sum("c").over(w_all))
 
@@ -54,11 +55,12 @@ def rate_by_load(df: DataFrame, origin: str = "Origin", date: str = "FlightDate"
 
     Rows with a null hour form a cell with a null key; they count in the base rate only.
     """
-    cells = load_cells(df, [origin, date, hour], target)
-    valid = cells.where(F.col(hour).isNotNull())
-    hist = load_histogram(valid, origin, with_k=True)
-    b = hist.select(bucket_ord("load_pct", LOAD_EDGES, include_lowest=True).alias("ord"), "c", "k")
+    cells = load_cells(df, [origin, date, hour], target).withColumn("_valid", F.col(hour).isNotNull())
+    # null-hour cells rank separately and get no bucket: they count in the base rate only,
+    # and the whole table comes from one scan
+    hist = load_histogram(cells, origin, with_k=True, extra=["_valid"])
+    b = hist.select(F.when(F.col("_valid"), bucket_ord("load_pct", LOAD_EDGES, include_lowest=True)).alias("ord"),
+                    "c", "k")
     g = b.groupBy("ord").agg(F.sum("k").alias("k"), F.sum("c").alias("n"))
-    base = cells.agg((F.sum("k") / F.sum("load")).alias("base_rate"))
-    t = finish_rates(g, ["ord"], base)
+    t = finish_rates(g, ["ord"])
     return t.select("ord", bucket_label("ord", LOAD_LABELS).alias("bucket"), *[c for c in t.columns if c != "ord"])

@@ -8,7 +8,7 @@ as a pandas groupby would. Nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions.buckets import bucket_label, bucket_ord
@@ -28,15 +28,19 @@ def group_counts(df: DataFrame, keys: list[str], target: str = "disrupted") -> D
 
 
 def finish_rates(g: DataFrame, keys: list[str], base: DataFrame | None = None, z: float = Z95,
-                 drop_null_keys: bool = True) -> DataFrame:
+                 drop_null_keys: bool = True, base_by: list[str] | None = None) -> DataFrame:
     """From (keys, k, n) counts add rate, Wilson bounds and lift.
 
     ``base`` is a one-row frame with column ``base_rate``; by default it is computed from the
-    counts themselves (all groups, null keys included).
+    counts themselves (all groups, null keys included), within ``base_by`` partitions if given.
     """
     if base is None:
-        base = g.agg((F.sum("k") / F.sum("n")).alias("base_rate"))
-    out = g
+        # base rate over all groups (null keys included) by a window over the aggregated table:
+        # the input is scanned once, and the window sees one row per group, not rows
+        everything = Window.partitionBy(*(base_by or []))
+        out = g.withColumn("base_rate", F.sum("k").over(everything) / F.sum("n").over(everything))
+    else:
+        out = g.crossJoin(F.broadcast(base))
     if drop_null_keys:
         cond = None
         for k in keys:
@@ -45,7 +49,7 @@ def finish_rates(g: DataFrame, keys: list[str], base: DataFrame | None = None, z
         out = out.where(cond)
     lo, hi = wilson_bounds("k", "n", z)
     rate = F.col("k") / F.col("n")
-    return (out.crossJoin(F.broadcast(base))
+    return (out
                .select(*keys, _r(rate).alias("rate"), "k", "n", _r(lo).alias("ci_low"), _r(hi).alias("ci_high"),
                        _r(rate / F.col("base_rate")).alias("lift")))
 
@@ -100,8 +104,7 @@ def two_sided_rates(df: DataFrame, orig: str, dest: str, edges: list[float], lab
         F.struct(F.lit("dest").alias("side"), bucket_ord(dest, edges, include_lowest).alias("ord")))
     s = df.select(F.inline(sides), F.col(target))
     g = group_counts(s, ["side", "ord"], target)
-    base = g.where(F.col("side") == "orig").agg((F.sum("k") / F.sum("n")).alias("base_rate"))
-    t = finish_rates(g, ["side", "ord"], base)
+    t = finish_rates(g, ["side", "ord"], base_by=["side"])  # each side holds every row once
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     w = t.groupBy("ord").agg(
         pick("orig", "rate").alias("orig_rate"), pick("orig", "n").alias("orig_n"), pick("orig", "lift").alias("orig_lift"),

@@ -37,22 +37,24 @@ def _first_n_dynamic(df: DataFrame, n_max: int, n_col: Column, order: str) -> Da
 def stratified_sample(df: DataFrame, cells: list[str], n_total: int, id_col: str, seed: int = 7) -> DataFrame:
     """Equal quota per non-empty cell (``n_total // cells``, capped by the cell size), then a
     top-up from the remaining rows in seeded order to reach ``n_total``. Adds ``pick`` =
-    'cell' or 'topup'."""
+    'cell' or 'topup'.
+
+    One pass over the input: ``row_number() <= n_total`` per cell is planned as a partial
+    per-cell limit before the shuffle, and no row ranked past ``n_total`` in its cell can be
+    picked or topped up (enough cell-mates precede it). Everything after works on those
+    candidates only (at most ``n_total`` per non-empty cell), so its small windows never see
+    the input rows.
+    """
     h = df.withColumn("_h", seeded_key(id_col, seed))
-    ncell = h.select(*cells).distinct().agg(F.count(F.lit(1)).alias("_cells"))
-    quota = ncell.select(F.floor(F.lit(n_total) / F.col("_cells")).alias("_quota"))
-    ranked = h.crossJoin(F.broadcast(quota))
     w = Window.partitionBy(*cells).orderBy("_h")
-    # the literal bound lets the optimizer insert a partial per-cell limit before the shuffle;
-    # no row ranked past n_total in its cell can be picked or topped up (enough cell-mates precede it)
-    ranked = ranked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_total)
-    picked = ranked.where(F.col("_rn") <= F.col("_quota"))
-    n_picked = picked.agg(F.count(F.lit(1)).alias("_np"))
-    rest = ranked.where(F.col("_rn") > F.col("_quota")).crossJoin(F.broadcast(n_picked))
-    top = _first_n_dynamic(rest, n_total, F.lit(n_total) - F.col("_np"), "_h")
-    cols = [c for c in df.columns]
-    return (picked.select(*cols, F.lit("cell").alias("pick"))
-            .unionByName(top.select(*cols, F.lit("topup").alias("pick"))))
+    cand = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_total)
+    everything = Window.partitionBy()
+    cand = (cand.withColumn("_cells", F.size(F.collect_set(F.struct(*cells)).over(everything)))
+                .withColumn("_picked", F.col("_rn") <= F.floor(F.lit(n_total) / F.col("_cells"))))
+    cand = cand.withColumn("_np", F.sum(F.col("_picked").cast("long")).over(everything))
+    cand = cand.withColumn("_r2", F.row_number().over(Window.partitionBy("_picked").orderBy("_h")))
+    keep = cand.where(F.col("_picked") | (F.col("_r2") <= F.lit(n_total) - F.col("_np")))
+    return keep.select(*df.columns, F.when(F.col("_picked"), "cell").otherwise("topup").alias("pick"))
 
 
 def flagged_plus_sample(df: DataFrame, flagged: Column, n_total: int, id_col: str, seed: int = 11) -> DataFrame:

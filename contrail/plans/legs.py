@@ -81,8 +81,7 @@ def q_cascade_diagnostic(spark, sf_dir):
                  F.when(F.col("has_inbound") == 1, F.col("inbound_unlanded")).alias("ord")))
     s = c.select(F.inline(series), "disrupted")
     g = R.group_counts(s, ["series", "ord"])
-    base = g.where(F.col("series") == "raw").agg((F.sum("k") / F.sum("n")).alias("base_rate"))
-    t = R.finish_rates(g, ["series", "ord"], base)
+    t = R.finish_rates(g, ["series", "ord"], base_by=["series"])  # every series holds every row once
     label = F.when(F.col("series") == "unlanded", bucket_label("ord", ["landed", "unlanded"])) \
              .otherwise(bucket_label("ord", DIAG_LABELS))
     return t.select("series", "ord", label.alias("bucket"), "rate", "n", "lift")

@@ -185,3 +185,20 @@ def q_shap_additivity(spark, sf_dir):
 def q_mean_abs_shap(spark, sf_dir):
     SH, values, feats = _shap(spark, sf_dir)
     return SH.mean_abs(SH.shap_long(values, feats))
+
+
+@register("bundle_roundtrip")
+def q_bundle_roundtrip(spark, sf_dir):
+    """Fit, save the pipeline plus config to the shared folder, load it back and score test rows;
+    ``same`` marks rows whose reloaded score equals the in-memory model's score."""
+    from contrail.sources.sinks import load_bundle, save_bundle, scratch_path
+    model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
+    path = scratch_path(spark, "bundle")
+    labels = {c: list(lab) for c, lab in zip(M.CAT, model.stages[0].labelsArray)}
+    save_bundle(model, {"features": M.CAT + M.NUM_W + M.CASCADE, "cat_features": M.CAT, "threshold": 0.25,
+                        "cat_categories": labels}, path)
+    loaded, cfg = load_bundle(spark, path)
+    a = M.positive_probability(model.transform(te)).select("flight_id", F.col("score").alias("score_mem"))
+    b = M.positive_probability(loaded.transform(te)).select("flight_id", "y", "score")
+    return (b.join(a, "flight_id").withColumn("same", F.col("score") == F.col("score_mem"))
+             .withColumn("n_features", F.lit(len(cfg["features"]))).drop("score_mem"))

@@ -33,6 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small intermediate that several branches read (score histograms,
+    learned rate tables): its source is scanned once instead of once per branch, and the files in
+    the shared checkpoint folder survive executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage durably)."""
     path = scratch_path(df.sparkSession, name)
