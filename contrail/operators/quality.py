@@ -36,9 +36,25 @@ def storm_days(df: DataFrame, snow: str, year: int, month: int, airport: str = "
              .orderBy(F.desc("mean_snow"), F.asc("day")).limit(top))
 
 
-def dq_report(df: DataFrame, snow_orig: str = "snowfall_orig", snow_dest: str = "snowfall_dest",
+def expectation_bands(summary: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Soft range checks on columns of a one-row summary: (check, value, lo, hi, hard, pass)."""
+    rows = [F.struct(F.lit(c).alias("check"), F.round(F.col(c).cast("double"), 9).alias("value"),
+                     F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"),
+                     F.lit(False).alias("hard"),
+                     F.coalesce((F.col(c) >= lo) & (F.col(c) <= hi), F.lit(False)).alias("pass"))
+            for c, (lo, hi) in bands.items()]
+    return summary.select(F.inline(F.array(*rows)))
+
+
+def dq_report(df: DataFrame, snow_orig: str | None = None, snow_dest: str | None = None,
               origin: str = "Origin", target: str = "disrupted", rate_band=(0.20, 0.27)) -> DataFrame:
-    """Coverage (hard), cross-airport sanity (hard), target-rate band (soft), in one aggregate."""
+    """Coverage (hard), cross-airport sanity (hard), target-rate band (soft), in one aggregate.
+
+    The snowfall columns are found by name pattern (contains 'snow', ends with the side
+    suffix) unless given, from the schema only."""
+    from contrail.sources.files import find_column
+    snow_orig = snow_orig or find_column(df.columns, "snow", "_orig")
+    snow_dest = snow_dest or find_column(df.columns, "snow", "_dest")
     so = F.col(snow_orig)
     hnl_rows = F.count_if(F.col(origin) == WARM_AIRPORT)
     hnl_max = F.max(F.when(F.col(origin) == WARM_AIRPORT, so))

@@ -227,3 +227,29 @@ select count(*) as n, cast(sum(disrupted) as bigint) as disrupted,
 from ({labelled_flights()}) x where snowfall_orig > 4.0""")
 def q_heavy_tail_outcomes(spark, sf_dir):
     return R.heavy_tail_outcomes(labelled(spark, sf_dir), "snowfall_orig", 4.0)
+
+
+@register("expectation_bands", with_views("flights_v") + f"""
+, t as (select count(*) filter (where Diverted = 1) / count(*) as diverted_share,
+  count(*) filter (where {KEEP_SQL} and (Cancelled = 1 or ArrDel15 = 1)) / count(*) filter (where {KEEP_SQL}) as target_rate
+  from flights_v)
+select 'diverted_share' as "check", round(diverted_share, {ROUND}) as value, cast(0.001 as double) as lo,
+  cast(0.005 as double) as hi, false as hard, coalesce(diverted_share >= 0.001 and diverted_share <= 0.005, false) as pass from t
+union all select 'target_rate', round(target_rate, {ROUND}), cast(0.2 as double), cast(0.27 as double), false,
+  coalesce(target_rate >= 0.2 and target_rate <= 0.27, false) from t""")
+def q_expectation_bands(spark, sf_dir):
+    from contrail.operators.quality import expectation_bands
+    return expectation_bands(L.target_summary(flights_v(spark, sf_dir)),
+                             {"diverted_share": (0.001, 0.005), "target_rate": (0.20, 0.27)})
+
+
+@register("heavy_tail_by_origin", with_views("flights_v") + f"""
+select Origin, count(*) as n from ({labelled_flights()}) x where snowfall_orig > 3.0 group by Origin""")
+def q_heavy_tail_by_origin(spark, sf_dir):
+    return labelled(spark, sf_dir).where(F.col("snowfall_orig") > 3.0).groupBy("Origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("heavy_tail_by_date", with_views("flights_v") + f"""
+select FlightDate, count(*) as n from ({labelled_flights()}) x where snowfall_orig > 3.0 group by FlightDate""")
+def q_heavy_tail_by_date(spark, sf_dir):
+    return labelled(spark, sf_dir).where(F.col("snowfall_orig") > 3.0).groupBy("FlightDate").agg(F.count(F.lit(1)).alias("n"))

@@ -56,7 +56,7 @@ def test_entry_smoke(spark, entry_mod):
 
 def test_every_query_has_a_builder(entry_mod):
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 87
+    assert set(o) <= set(q) and len(q) >= 91
 
 
 @pytest.mark.parametrize("name", FAST)
