@@ -40,15 +40,18 @@ def _splits(spark, sf_dir):
 
 def _logistic(spark, sf_dir):
     m, tr, va, te = _splits(spark, sf_dir)
+    tr = tr.persist()  # read by the indexer, imputer, scaler and solver passes (recomputable if lost)
     n = tr.count()
     model = M.logistic_pipeline(M.CAT, M.LR_NUM, reg_param=1.0 / max(n, 1)).fit(tr)
+    tr.unpersist()
     return model, M.positive_probability(model.transform(te))
 
 
 def _gbt(spark, sf_dir, features_num):
     m, tr, va, te = _splits(spark, sf_dir)
-    fit_rows = m.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
-    model = M.gbt_pipeline(M.CAT, features_num).fit(fit_rows)
+    fit_rows = m.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val").persist()
+    model = M.gbt_pipeline(M.CAT, features_num).fit(fit_rows)  # several passes over the persisted rows
+    fit_rows.unpersist()
     return model, va, te
 
 
