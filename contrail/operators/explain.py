@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrail.operators.scalars import attach
+
 # ---- FIXED VALUES: names, phrase templates, term lists (must match the source wording) -------
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
           "October", "November", "December"]
@@ -176,7 +178,7 @@ def driver_lists(drivers: DataFrame, id_col: str = "flight_id") -> DataFrame:
 def explanation_record(flights: DataFrame, drivers: DataFrame, base_rate: DataFrame,
                        prob: str = "prob", id_col: str = "flight_id", threshold: float = THRESHOLD) -> DataFrame:
     """Nested record per flight: flight facts, prediction, drivers, meta; plus its JSON text."""
-    j = flights.join(driver_lists(drivers, id_col), id_col, "left").crossJoin(F.broadcast(base_rate))
+    j = attach(flights.join(driver_lists(drivers, id_col), id_col, "left"), base_rate)
     empty = F.array().cast("array<struct<feature:string,value:string,impact:double,magnitude:string,text:string>>")
     inc, dec = F.coalesce("increasing", empty), F.coalesce("decreasing", empty)
     p = F.col(prob)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions.buckets import bucket_label, bucket_ord
 from contrail.functions.stats import Z95, wilson_bounds
+from contrail.operators.scalars import attach
 
 ROUND = 9  # decimals kept on derived doubles (order-independent across engines)
 
@@ -40,7 +41,7 @@ def finish_rates(g: DataFrame, keys: list[str], base: DataFrame | None = None, z
         everything = Window.partitionBy(*(base_by or []))
         out = g.withColumn("base_rate", F.sum("k").over(everything) / F.sum("n").over(everything))
     else:
-        out = g.crossJoin(F.broadcast(base))
+        out = attach(g, base)
     if drop_null_keys:
         cond = None
         for k in keys:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrail.operators.scalars import attach
+
 
 def seeded_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
@@ -62,7 +64,7 @@ def flagged_plus_sample(df: DataFrame, flagged: Column, n_total: int, id_col: st
     (shuffled) order given by ``order_key``."""
     h = df.withColumn("_h", seeded_key(id_col, seed)).withColumn("_f", flagged)
     nf = h.where(F.col("_f")).agg(F.count(F.lit(1)).alias("_nf"))
-    others = h.where(~F.col("_f")).crossJoin(F.broadcast(nf))
+    others = attach(h.where(~F.col("_f")), nf)
     take = _first_n_dynamic(others, n_total, F.greatest(F.lit(0), F.lit(n_total) - F.col("_nf")), "_h")
     cols = df.columns
     out = h.where(F.col("_f")).select(*cols, "_h").unionByName(take.select(*cols, "_h"))

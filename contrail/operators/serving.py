@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrail.operators.scalars import attach
+
 
 def serving_slice(df: DataFrame, columns: list[str], split: str = "split", part: str = "test") -> DataFrame:
     """Rows of one split with the serving columns (written partitioned by date by the sink)."""
@@ -17,7 +19,7 @@ def browse(df: DataFrame, origin: str | None = None, dest: str | None = None, da
     """Optional equality filters; the first ``limit`` rows by id plus the total match count.
 
     The page is a per-partition top-n merge; the count is a one-row aggregate over the same
-    filter, joined to the page (broadcast).
+    filter, attached to the page as a scalar subquery.
     """
     f = df
     for c, v in (("Origin", origin), ("Dest", dest), ("FlightDate", date)):
@@ -28,7 +30,7 @@ def browse(df: DataFrame, origin: str | None = None, dest: str | None = None, da
         id_col, F.col("Origin").alias("origin"), F.col("Dest").alias("dest"),
         F.col("Reporting_Airline").alias("carrier"), F.substring("FlightDate", 1, 10).alias("date"),
         F.col("hour").alias("dep_hour"))
-    return page.crossJoin(F.broadcast(total))
+    return attach(page, total)
 
 
 def lookup(df: DataFrame, ids: DataFrame, id_col: str = "flight_id") -> DataFrame:
