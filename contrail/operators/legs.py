@@ -1,11 +1,13 @@
 """Previous-leg linking per aircraft and the leakage-safe cascade features.
 
 Skew-safe lag: a tail number (one aircraft) may hold a large share of all rows. Instead of one
-window partition per tail, rows are windowed per (tail, day) chunk; the last leg of every
+window partition per tail, rows are windowed per (tail, time chunk); the last leg of every
 chunk is found with a partial ``max_by`` aggregate, chained to the next chunk by a small
-window over the chunk table (one row per tail-day), and joined back only where a chunk's
-first row needs it. Work per task is bounded by one tail-day, and the chunk table by the
-calendar span, not by the data volume.
+window over the chunk table (one row per tail-chunk), and joined back only where a chunk's
+first row needs it. Work per task is bounded by one tail-chunk, and the chunk table by the
+calendar span, not by the data volume. Chunks are days by default (an aircraft flies a few
+legs a day); ``chunk_hours`` narrows them for keys that are dense in time. Any chunk width
+gives the same result, because chunks are monotone in the first order column.
 
 Rows without a usable tail (null or blank) never link; they are keyed by their own id so they
 spread evenly instead of forming one giant null partition.
@@ -28,14 +30,14 @@ def _micros(c: str) -> Column:
 
 
 def previous_leg(df: DataFrame, tail: str, order: list[str], id_col: str, carry: list[str],
-                 prefix: str = "prev_") -> DataFrame:
+                 prefix: str = "prev_", chunk_hours: int = 24) -> DataFrame:
     """Add ``prefix + c`` for each ``carry`` column: its value on the previous row of the same
     tail, ordered by ``order`` ascending with nulls last, then ``id_col``. Invalid tails get null.
     """
     valid = has_tail(tail)
     first = order[0]
     d = (df.withColumn("_key", F.when(valid, F.col(tail)).otherwise(F.concat(F.lit("~"), F.col(id_col).cast("string"))))
-           .withColumn("_chunk", F.coalesce(F.datediff(F.to_date(F.col(first)), F.lit("1970-01-01")),
+           .withColumn("_chunk", F.coalesce(F.floor(_micros(first) / F.lit(chunk_hours * 3_600_000_000)).cast("int"),
                                             F.lit(SENTINEL_CHUNK))))
     sort_cols = [F.col(c).asc_nulls_last() for c in order] + [F.col(id_col).asc()]
     w = Window.partitionBy("_key", "_chunk").orderBy(*sort_cols)
@@ -60,9 +62,9 @@ def previous_leg(df: DataFrame, tail: str, order: list[str], id_col: str, carry:
 
 def inbound_gap(df: DataFrame, tail: str = "Tail_Number", dep_hour: str = "dep_hour_utc",
                 arr_hour: str = "arr_hour_utc", crs_dep: str = "CRSDepTime",
-                delay: str = "ArrDelayMinutes", id_col: str = "flight_id") -> DataFrame:
+                delay: str = "ArrDelayMinutes", id_col: str = "flight_id", chunk_hours: int = 24) -> DataFrame:
     """Previous leg's arrival delay and arrival hour, and the gap in hours to this departure."""
-    p = previous_leg(df, tail, [dep_hour, crs_dep], id_col, [delay, arr_hour])
+    p = previous_leg(df, tail, [dep_hour, crs_dep], id_col, [delay, arr_hour], chunk_hours=chunk_hours)
     gap = (_micros(dep_hour) - _micros(f"prev_{arr_hour}")) / F.lit(3.6e9)
     return (p.withColumn("gap_h", gap)
              .withColumnRenamed(f"prev_{delay}", "prev_arr_delay")
@@ -75,13 +77,13 @@ CASCADE_COLS = ["has_inbound", "inbound_gap_h", "inbound_delay_obs", "inbound_bu
 def cascade_features(df: DataFrame, max_gap_h: float = 8.0, lower_inclusive: bool = False,
                      tail: str = "Tail_Number", dep_hour: str = "dep_hour_utc", arr_hour: str = "arr_hour_utc",
                      crs_dep: str = "CRSDepTime", delay: str = "ArrDelayMinutes",
-                     id_col: str = "flight_id", keep_raw: bool = False) -> DataFrame:
+                     id_col: str = "flight_id", keep_raw: bool = False, chunk_hours: int = 24) -> DataFrame:
     """Leakage-safe inbound features; every input row is kept.
 
     linked = usable tail, known previous delay, gap in (0, max_gap_h] ([0, ..] if
     ``lower_inclusive``). Observed inbound delay is right-censored at the scheduled slack.
     """
-    g = inbound_gap(df, tail, dep_hour, arr_hour, crs_dep, delay, id_col)
+    g = inbound_gap(df, tail, dep_hour, arr_hour, crs_dep, delay, id_col, chunk_hours)
     gap_h, prev = F.col("gap_h"), F.col("prev_arr_delay")
     gap_min = gap_h * 60.0
     low = (gap_h >= 0) if lower_inclusive else (gap_h > 0)

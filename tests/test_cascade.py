@@ -61,9 +61,10 @@ def _rows():
     ]
 
 
-def _compare(spark, rows, parts):
+def _compare(spark, rows, parts, chunk_hours=24):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
-    got = {r.flight_id: r.asDict() for r in cascade_features(df).select("flight_id", *CASCADE_COLS).collect()}
+    got = {r.flight_id: r.asDict()
+           for r in cascade_features(df, chunk_hours=chunk_hours).select("flight_id", *CASCADE_COLS).collect()}
     want = brute(rows)
     assert set(got) == set(want)
     for fid, w in want.items():
@@ -95,3 +96,5 @@ def test_random_chains_any_partitioning(spark):
     rows = [tuple(None if (isinstance(v, float) and np.isnan(v)) else v for v in r) for r in rows]
     _compare(spark, rows, 1)
     _compare(spark, rows, 7)
+    for hours in (1, 5):  # hourly and uneven chunks chain the same previous legs
+        _compare(spark, rows, 7, chunk_hours=hours)
