@@ -73,7 +73,7 @@ ZIP_COLS = ["flight_id", "FlightDate", "Origin", "Dest", "CRSDepTime", "ArrDelay
 def q_scan_zip_csv(spark, sf_dir):
     f = flights_v(spark, sf_dir).select(*ZIP_COLS)
     out_dir = SK.scratch_path(spark, "zips")
-    local = out_dir[len("file:"):] if out_dir.startswith("file:") else out_dir
+    local = FS.mounted_path(out_dir)
     import os
     os.makedirs(local, exist_ok=True)
     messy = f.select(*[F.col(c).alias(_messy(c, i)) for i, c in enumerate(ZIP_COLS)])
