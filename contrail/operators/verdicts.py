@@ -28,23 +28,25 @@ _WS_CHARS = " \\t\\n\\r\\f\\u000B"
 def with_json_text(df: DataFrame, raw: str = "raw", out: str = "_body") -> DataFrame:
     """Add the candidate JSON object text of a judge reply (null when no braces are found).
 
-    Each step is its own column so every expensive expression is evaluated once per row; the
-    fence split (an interpreted higher-order function) only runs on replies that have fences.
+    Each step is its own column so every expensive expression is evaluated once per row. The
+    outer whitespace trim and the fence split (an interpreted higher-order function) only run on
+    replies that have fences: trimming never adds or removes a fence or a brace, so for the
+    others the first ``{`` to the last ``}`` of the raw text is the same object text.
     """
-    d = df.withColumn("_s", F.expr(f"trim(BOTH '{_WS_CHARS}' FROM `{raw}`)"))
-    fenced_in = F.instr(F.col("_s"), "```") > 0
+    d = df.withColumn("_f", F.instr(F.col(raw), "```") > 0)
+    d = d.withColumn("_s", F.when(F.col("_f"), F.expr(f"trim(BOTH '{_WS_CHARS}' FROM `{raw}`)")))
     longest = F.aggregate(F.split("_s", "```"), F.lit(""),
                           lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    d = d.withColumn("_lg", F.when(fenced_in, longest))
+    d = d.withColumn("_lg", F.when(F.col("_f"), longest))
     d = d.withColumn("_ld", F.expr(f"ltrim('{_WS_CHARS}', _lg)"))
     fenced = F.when(F.col("_ld").startswith("json"), F.expr("substring(_ld, 5)")).otherwise(F.col("_lg"))
-    d = d.withColumn("_t", F.when(fenced_in, fenced).otherwise(F.col("_s")))
+    d = d.withColumn("_t", F.when(F.col("_f"), fenced).otherwise(F.col(raw)))
     # first '{' and last '}' (substring_index scans from the end without copying the text)
     d = d.withColumn("_a", F.instr(F.col("_t"), "{")).withColumn(
         "_b", F.length("_t") - F.length(F.substring_index(F.col("_t"), "}", -1)))
     length = F.greatest(F.col("_b") - F.col("_a") + 1, F.lit(0))
     d = d.withColumn(out, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_t").substr(F.col("_a"), length)))
-    return d.drop("_s", "_lg", "_ld", "_t", "_a", "_b")
+    return d.drop("_f", "_s", "_lg", "_ld", "_t", "_a", "_b")
 
 
 def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:

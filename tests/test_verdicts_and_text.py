@@ -22,6 +22,7 @@ def test_parse_shapes(spark):
         (7, '{"fabrication": {"evidence": "x"}, "direction_error": {"present": false}, '
             '"certainty_language": {"present": false}, "probability_misrepresented": {"present": false}}', False, None),
         (8, "} backwards {", False, None),
+        (9, "\n\t  ```json\n" + BODY + "\n```  \n", True, False),            # padded fenced reply
     ]
     df = spark.createDataFrame([(i, r) for i, r, _, _ in cases], "flight_id long, raw string")
     got = {r.flight_id: r for r in V.parse_verdicts(df).collect()}
@@ -32,6 +33,7 @@ def test_parse_shapes(spark):
     assert got[4].error == "no JSON object found" and got[5].error == "malformed verdict"
     # a filter on a parsed flag must not change the answer (generator barrier)
     assert V.parse_verdicts(df).where("faithful").count() == 2
+    assert got[9].fabrication_evidence == "storm"
 
 
 def test_agreement_by_hand(spark):
