@@ -43,20 +43,22 @@ def stratified_sample(df: DataFrame, cells: list[str], n_total: int, id_col: str
 
     One pass over the input: ``row_number() <= n_total`` per cell is planned as a partial
     per-cell limit before the shuffle, and no row ranked past ``n_total`` in its cell can be
-    picked or topped up (enough cell-mates precede it). Everything after works on those
-    candidates only (at most ``n_total`` per non-empty cell), so its small windows never see
-    the input rows.
+    picked or topped up (enough cell-mates precede it). The quota and the picked count come
+    from the per-cell candidate counts (one row per non-empty cell) as scalar subqueries; the
+    top-up is a global first-n over the unpicked candidates, so no step gathers candidates
+    into one partition except the final at most ``n_total`` top-up rows.
     """
     h = df.withColumn("_h", seeded_key(id_col, seed))
     w = Window.partitionBy(*cells).orderBy("_h")
     cand = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_total)
-    everything = Window.partitionBy()
-    cand = (cand.withColumn("_cells", F.size(F.collect_set(F.struct(*cells)).over(everything)))
-                .withColumn("_picked", F.col("_rn") <= F.floor(F.lit(n_total) / F.col("_cells"))))
-    cand = cand.withColumn("_np", F.sum(F.col("_picked").cast("long")).over(everything))
-    cand = cand.withColumn("_r2", F.row_number().over(Window.partitionBy("_picked").orderBy("_h")))
-    keep = cand.where(F.col("_picked") | (F.col("_r2") <= F.lit(n_total) - F.col("_np")))
-    return keep.select(*df.columns, F.when(F.col("_picked"), "cell").otherwise("topup").alias("pick"))
+    per_cell = cand.groupBy(*cells).agg(F.max("_rn").alias("_m"))
+    quota = per_cell.agg(F.floor(F.try_divide(F.lit(n_total), F.count(F.lit(1)))).alias("_q"))
+    picked_n = attach(per_cell, quota).agg(F.sum(F.least(F.col("_m"), F.col("_q"))).alias("_np"))
+    cand = attach(attach(cand, quota), picked_n).withColumn("_picked", F.col("_rn") <= F.col("_q"))
+    picked = cand.where(F.col("_picked")).withColumn("pick", F.lit("cell"))
+    topup = _first_n_dynamic(cand.where(~F.col("_picked")), n_total, F.lit(n_total) - F.col("_np"), "_h")
+    keep = picked.unionByName(topup.withColumn("pick", F.lit("topup")))
+    return keep.select(*df.columns, "pick")
 
 
 def flagged_plus_sample(df: DataFrame, flagged: Column, n_total: int, id_col: str, seed: int = 11) -> DataFrame:
