@@ -18,6 +18,7 @@ from contrail.operators.labels import date_split_label
 from contrail.plans.time import leg_table
 from contrail.registry import register
 from contrail.sources.fixtures import with_views
+from contrail.sources.sinks import reuse
 
 TRAIN_END, VAL_END = "2024-01-20", "2024-01-25"
 
@@ -33,13 +34,19 @@ def model_table(spark, sf_dir):
         date_split_label("FlightDate", TRAIN_END, VAL_END).alias("split"))
 
 
-def _splits(spark, sf_dir):
-    m = model_table(spark, sf_dir)
+def _splits(spark, sf_dir, m=None):
+    """The modelling table and its train / val / test rows.
+
+    The table is checkpointed once to the shared checkpoint folder (the stage boundary after the
+    weather joins and the previous-leg lag): fitting reads it many times and scoring once more,
+    and a lost executor re-reads files instead of recomputing the joins and the lag. Jobs that
+    fit several models pass the same ``m`` along."""
+    m = m if m is not None else reuse(model_table(spark, sf_dir))
     return m, m.where(F.col("split") == "train"), m.where(F.col("split") == "val"), m.where(F.col("split") == "test")
 
 
-def _logistic(spark, sf_dir):
-    m, tr, va, te = _splits(spark, sf_dir)
+def _logistic(spark, sf_dir, m=None):
+    m, tr, va, te = _splits(spark, sf_dir, m)
     tr = tr.persist()  # read by the indexer, imputer, scaler and solver passes (recomputable if lost)
     n = tr.count()
     model = M.logistic_pipeline(M.CAT, M.LR_NUM, reg_param=1.0 / max(n, 1)).fit(tr)
@@ -47,8 +54,8 @@ def _logistic(spark, sf_dir):
     return model, M.positive_probability(model.transform(te))
 
 
-def _gbt(spark, sf_dir, features_num):
-    m, tr, va, te = _splits(spark, sf_dir)
+def _gbt(spark, sf_dir, features_num, m=None):
+    m, tr, va, te = _splits(spark, sf_dir, m)
     fit_rows = m.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val").persist()
     model = M.gbt_pipeline(M.CAT, features_num).fit(fit_rows)  # several passes over the persisted rows
     fit_rows.unpersist()
@@ -97,11 +104,11 @@ def _ladder(spark, sf_dir):
     rates = B.climatology_rates(tr, ["Origin", "Dest", "hour"], target="y")
     rows.append(("climatology", 2, B.climatology_score(rates, te.select("flight_id", "y", "Origin", "Dest", "hour"),
                                                         ["Origin", "Dest", "hour"])))
-    _, lr = _logistic(spark, sf_dir)
+    _, lr = _logistic(spark, sf_dir, m)
     rows.append(("logistic", 3, lr))
-    g0, _, te0 = _gbt(spark, sf_dir, M.NUM_W)
+    g0, _, te0 = _gbt(spark, sf_dir, M.NUM_W, m)
     rows.append(("gbt_no_cascade", 4, M.positive_probability(g0.transform(te0))))
-    g1, _, te1 = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
+    g1, _, te1 = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE, m)
     rows.append(("gbt_cascade", 5, M.positive_probability(g1.transform(te1))))
     out = None
     for name, order, scored in rows:
