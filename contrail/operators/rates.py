@@ -35,14 +35,14 @@ def finish_rates(g: DataFrame, keys: list[str], base: DataFrame | None = None, z
     ``base`` is a one-row frame with column ``base_rate``; by default it is computed from the
     counts themselves (all groups, null keys included), within ``base_by`` partitions if given.
     """
-    if base is None and base_by:
-        # per-partition base rate by a window over the aggregated table (one row per group)
-        part = Window.partitionBy(*base_by)
+    if base is None:
+        # base rate over all groups (null keys included) by a window over the aggregated table:
+        # it sees one row per group (bounded by the key space), and the counts are computed
+        # once. A scalar subquery over ``g`` would be planned separately, and when its shuffle
+        # is not matched to the main one for reuse, everything above the scan (joins, the lag
+        # window) would run a second time.
+        part = Window.partitionBy(*(base_by or []))
         out = g.withColumn("base_rate", F.sum("k").over(part) / F.sum("n").over(part))
-    elif base is None:
-        # base rate over all groups (null keys included), attached as a scalar subquery; its
-        # shuffle is the reused exchange of the group counts, so the input is scanned once
-        out = attach(g, g.agg((F.sum("k") / F.sum("n")).alias("base_rate")))
     else:
         out = attach(g, base)
     if drop_null_keys:
