@@ -19,11 +19,13 @@ def is_one(c: str) -> Column:
 
 def filter_both_ends(df: DataFrame, airports: DataFrame, origin: str = "Origin", dest: str = "Dest",
                      code: str = "code") -> DataFrame:
-    """Keep rows whose origin AND destination are in ``airports`` (a small, bounded code set).
+    """Keep rows whose origin AND destination are in ``airports`` (a code set).
 
-    Two left-semi joins against the broadcast code list: no shuffle of ``df``.
+    Two left-semi joins against the distinct code list. No broadcast is forced: the planner
+    broadcasts the list when its size estimate is under ``spark.sql.autoBroadcastJoinThreshold``
+    (a 40-code set always is, so ``df`` is not shuffled) and shuffles both sides otherwise.
     """
-    codes = F.broadcast(airports.select(F.col(code).alias("_code")).distinct())
+    codes = airports.select(F.col(code).alias("_code")).distinct()
     return (df.join(codes, F.col(origin) == F.col("_code"), "left_semi")
               .join(codes, F.col(dest) == F.col("_code"), "left_semi"))
 
