@@ -127,7 +127,7 @@ MODEL_FEATURES = ["Origin", "Dest", "Reporting_Airline", "hour", "month", "dow",
 
 
 def attributions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey"]).where(F.col("o_orderkey") % 10 == 0)
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
     feats = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(f).alias("feature")) for j, f in enumerate(MODEL_FEATURES)])
     k = F.col("o_orderkey")
     return (o.select(k.alias("flight_id"), F.inline(feats))
@@ -257,7 +257,6 @@ from orders o cross join (values
  (0,'Origin'),(1,'Dest'),(2,'Reporting_Airline'),(3,'hour'),(4,'month'),(5,'dow'),
  (6,'snowfall_orig'),(7,'snowfall_dest'),(8,'wind_gusts_10m_orig'),(9,'wind_gusts_10m_dest'),(10,'temperature_2m_orig'),
  (11,'has_inbound'),(12,'inbound_gap_h'),(13,'inbound_delay_obs'),(14,'inbound_buffer_min'),(15,'inbound_unlanded')) f(j, feature)
-where o.o_orderkey % 10 = 0
 """
 VIEW_DEPS["attributions_v"] = []
 
