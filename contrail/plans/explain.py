@@ -33,17 +33,28 @@ def feature_values(spark, sf_dir):
         F.when(gap.isNotNull() & (delay > gap * 60), 1).otherwise(0).alias("inbound_unlanded"))
 
 
-def values_long(spark, sf_dir):
+def value_map(spark, sf_dir):
+    """One row per flight: ``_vals`` maps each model feature to its ``(vnum, vstr)`` value.
+
+    Long attribution rows join this on ``flight_id`` alone and look their feature up in the
+    map, so the value side shuffles one row per flight, not one per (flight, feature)."""
     v = feature_values(spark, sf_dir)
-    items = []
+    pairs = []
     for feat in MODEL_FEATURES:
         if feat in CATEGORICAL:
-            items.append(F.struct(F.lit(feat).alias("feature"), F.lit(None).cast("double").alias("vnum"),
-                                  F.col(feat).alias("vstr")))
+            val = F.struct(F.lit(None).cast("double").alias("vnum"), F.col(feat).alias("vstr"))
         else:
-            items.append(F.struct(F.lit(feat).alias("feature"), F.col(feat).cast("double").alias("vnum"),
-                                  F.col(feat).cast("string").alias("vstr")))
-    return v.select("flight_id", F.inline(F.array(*items)))
+            val = F.struct(F.col(feat).cast("double").alias("vnum"), F.col(feat).cast("string").alias("vstr"))
+        pairs += [F.lit(feat), val]
+    return v.select("flight_id", F.create_map(*pairs).alias("_vals"))
+
+
+def with_values(long_rows, spark, sf_dir, how="inner"):
+    """``vnum`` / ``vstr`` of each row's feature (an inner join keeps rows whose feature has a value)."""
+    j = long_rows.join(value_map(spark, sf_dir), "flight_id", how).withColumn("_v", F.col("_vals")[F.col("feature")])
+    if how == "inner":
+        j = j.where(F.col("_v").isNotNull())
+    return j.withColumn("vnum", F.col("_v.vnum")).withColumn("vstr", F.col("_v.vstr")).drop("_vals", "_v")
 
 
 _VALS_SQL = f"""select flight_id, FlightDate, Origin, Dest, Reporting_Airline, {HOUR_SQL} as hour, {MONTH_SQL} as month,
@@ -128,8 +139,7 @@ def q_risk_tiers(spark, sf_dir):
   {phrase_sql('a.feature', 'vl.vnum', 'vl.vstr', 'a.impact > 0')} as text
 from attributions_v a join vl on vl.flight_id = a.flight_id and vl.feature = a.feature""")
 def q_driver_phrases(spark, sf_dir):
-    a = attributions_v(spark, sf_dir)
-    j = a.join(values_long(spark, sf_dir), ["flight_id", "feature"])
+    j = with_values(attributions_v(spark, sf_dir), spark, sf_dir)
     up = F.col("impact") > 0
     return j.select("flight_id", "feature", up.alias("up"), X.driver_phrase("feature", "vnum", "vstr", up).alias("text"))
 
@@ -148,9 +158,8 @@ def q_driver_selection(spark, sf_dir):
 def records(spark, sf_dir):
     """Explanation records for every flight with attributions and a score."""
     drivers = X.select_drivers(attributions_v(spark, sf_dir))
-    vl = values_long(spark, sf_dir)
     value = F.coalesce(F.col("vstr"), F.bround("vnum", 3).cast("string"))
-    d = (drivers.join(vl, ["flight_id", "feature"], "left")
+    d = (with_values(drivers, spark, sf_dir, "left")
                 .withColumn("value", value)
                 .withColumn("text", X.driver_phrase("feature", "vnum", "vstr", "up")))
     s = scored_v(spark, sf_dir).select("flight_id", F.col("score").alias("prob"), "y")
