@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from contrail.functions.clock import hhmm_to_minutes, to_utc_sql
 from contrail.operators import quality as Q
 from contrail.operators import schedule as S
