@@ -50,6 +50,8 @@ def stratified_sample(df: DataFrame, cells: list[str], n_total: int, id_col: str
     h = df.withColumn("_h", seeded_key(id_col, seed))
     w = Window.partitionBy(*cells).orderBy("_h")
     cand = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_total)
+    # one partition, but only candidates: at most n_total rows per non-empty cell, computed once
+    # (scalar subqueries over ``cand`` would each re-run the per-cell window above)
     everything = Window.partitionBy()
     cand = (cand.withColumn("_cells", F.size(F.collect_set(F.struct(*cells)).over(everything)))
                 .withColumn("_picked", F.col("_rn") <= F.floor(F.lit(n_total) / F.col("_cells"))))
