@@ -6,11 +6,9 @@ a null ``ArrDel15`` never counts as late.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.operators.scalars import attach
-
 
 def is_one(c: str) -> Column:
     """``c = 1`` with null as false."""
@@ -108,14 +106,15 @@ def split_report(df: DataFrame, split: str = "split", date: str = "FlightDate",
                  target: str = "disrupted") -> DataFrame:
     """Per split: first/last date, rows, target rate, share of all rows.
 
-    The all-rows total is a one-row aggregate attached to the (three-row) split table.
+    One pass: rows without a split form their own group, so the all-rows total is a sum over
+    the (at most four) group rows before they are dropped.
     """
-    g = (df.where(F.col(split).isNotNull())
-           .groupBy(split)
+    g = (df.groupBy(split)
            .agg(F.min(F.to_date(date)).alias("start"), F.max(F.to_date(date)).alias("end"),
                 F.count(F.lit(1)).alias("flights"), F.sum(F.col(target).cast("long")).alias("_k")))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (attach(g, total)
+    everything = Window.partitionBy()  # over the split groups only
+    return (g.withColumn("_total", F.sum("flights").over(everything))
+             .where(F.col(split).isNotNull())
              .select(split, F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"),
                      "flights",
                      F.round(F.col("_k") / F.col("flights"), 9).alias("disrupt_rate"),
