@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpointed stage outputs (modelling table, score histograms) are deleted from the shared
+    # folder once nothing references them, so repeated jobs do not accumulate files there
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
