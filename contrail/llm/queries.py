@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.common import crc_fold
+    from contrail.llm.toxicity import learn_by_fold, toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = learn_by_fold(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted",
+                                        "hits", "words")
