@@ -38,3 +38,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn_by_fold(docs, table(spark, sf_dir, "labels"))
     return toxicity(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted",
                                         "hits", "words")
+
+
+@register("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.decontaminate import decontaminate
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
