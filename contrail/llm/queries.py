@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.llm.secrets_sql import secrets_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,3 +46,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.decontaminate import decontaminate
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_secrets", oracle=secrets_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.secrets import secrets
+    return secrets(table(spark, sf_dir, "documents"))
