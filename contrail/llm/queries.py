@@ -52,3 +52,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.secrets import secrets
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@register("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.sentence_pieces import round_trip
+    return round_trip(table(spark, sf_dir, "documents"))
