@@ -32,6 +32,9 @@ class Vocabulary:
         order = {s: r for r, s in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.ranks = {p: order[self.scores[i]] for p, i in self.ids.items()}
 
+        if max(map(len, self.ranks)) > 255:
+            raise ValueError("the model has pieces of over 255 characters")
+
     @property
     def line_end_splits(self) -> bool:
         """Whether a line end is a token of its own wherever it stands."""
@@ -54,45 +57,38 @@ def load(path: str | None = None) -> Vocabulary:
     return Vocabulary(pieces, [sp.get_score(i) for i in range(n)], bytes_)
 
 
-def merged(chunk: str, ranks: dict[str, int]) -> tuple[list[str], int, int]:
-    """Merge the characters of ``chunk``: the symbols left, the number of merges, and the place of the last one's seam.
+def merge(chunk: str, ranks: dict[str, int]) -> tuple[list[int], int, int]:
+    """Merge the characters of ``chunk``: where the symbol that starts at each place ends (0 inside symbols), the number
+    of merges, and the place of the last one's seam.
 
-    A heap gives the adjacent pair of the lowest rank, the leftmost of equals; a linked list joins its symbols. An
-    entry whose symbols have changed since is recognised by its size and dropped.
+    A heap gives the adjacent pair of the lowest rank, the leftmost of equals; a linked list of ends and
+    predecessors joins its symbols. An entry whose symbols have changed since is recognised by its size and dropped.
     """
-    symbols: list[str] = list(chunk)
-    n = len(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(chunk[i:i + 2])
-        if r is not None:
-            heap.append((r, i, 2))
+    n = len(chunk)
+    ends = list(range(1, n + 1))
+    before = list(range(-1, n))
+    get = ranks.get
+    heap = [r << 40 | i << 8 | 2 for i in range(n - 1) if (r := get(chunk[i:i + 2])) is not None]
     heapq.heapify(heap)
-    merges, seam = 0, 0
+    merges = seam = 0
     while heap:
-        _, i, size = heapq.heappop(heap)
-        left = symbols[i]
-        j = after[i]
-        if not left or j >= n or len(left) + len(symbols[j]) != size:
+        entry = heapq.heappop(heap)
+        i = entry >> 8 & 0xFFFFFFFF
+        j = ends[i]
+        stop = i + (entry & 255)
+        if not 0 < j < n or ends[j] != stop:
             continue
         merges += 1
         seam = j
-        left = symbols[i] = left + symbols[j]
-        symbols[j] = ""
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            r = ranks.get(left + symbols[k])
-            if r is not None:
-                heapq.heappush(heap, (r, i, size + len(symbols[k])))
+        ends[i] = stop
+        ends[j] = 0
+        before[stop] = i
+        if stop < n and (r := get(chunk[i:ends[stop]])) is not None:
+            heapq.heappush(heap, r << 40 | i << 8 | ends[stop] - i)
         h = before[i]
-        if h >= 0:
-            r = ranks.get(symbols[h] + left)
-            if r is not None:
-                heapq.heappush(heap, (r, h, size + len(symbols[h])))
-    return [s for s in symbols if s], merges, seam
+        if h >= 0 and (r := get(chunk[h:stop])) is not None:
+            heapq.heappush(heap, r << 40 | h << 8 | stop - h)
+    return ends, merges, seam
 
 
 def line_chunks(line: str, first: bool) -> Iterator[str]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.llm.common import id_text
-from contrail.llm.pieces import SPACE, Vocabulary, chunks, load, merged
+from contrail.llm.pieces import SPACE, Vocabulary, chunks, load, merge
 
 NONE = -1
 
@@ -36,8 +36,8 @@ class Lattice:
     def __init__(self, v: Vocabulary):
         made = []
         for piece, i in v.ids.items():
-            left, merges, seam = merged(piece, v.ranks)
-            if len(left) == 1:
+            ends, merges, seam = merge(piece, v.ranks)
+            if ends[0] == len(piece):
                 made.append((v.ranks[piece] if merges else NONE, piece, i, seam))
         made.sort(key=lambda x: (x[0], x[2]))
         self.texts = [m[1] for m in made]
@@ -61,7 +61,10 @@ class Lattice:
             while self.keys[at] >= 0:
                 at = (at + 1) % self.slots
             self.keys[at], self.unions[at] = key, r
-        self.codes = sorted({c for t in self.texts for c in t})
+        self.codes = np.unique(np.array([ord(c) for t in self.texts for c in t], np.uint32))
+        self.letters = np.zeros((len(self.texts), self.longest), np.uint32)  # code points of each token, 0 after its end
+        for k, t in enumerate(self.texts):
+            self.letters[k, :len(t)] = [ord(c) for c in t]
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
@@ -111,7 +114,7 @@ class Lattice:
         inside = np.ones(len(text), bool)
         inside[base[1:] - 1] = False
         # alphabet of this batch: 0 ends a chunk, 1 is any character outside the vocabulary
-        alphabet = np.intersect1d(np.unique(text[inside]), np.array([ord(c) for c in self.codes], np.uint32))
+        alphabet = np.intersect1d(np.unique(text[inside]), self.codes)
         at = np.minimum(np.searchsorted(alphabet, text), max(len(alphabet) - 1, 0))
         known = inside & (alphabet[at] == text) if len(alphabet) else np.zeros(len(text), bool)
         code = np.where(known, at + 2, np.where(inside, 1, 0)).astype(np.uint64)
@@ -133,40 +136,37 @@ class Lattice:
 
     def _match(self, keys: list[np.ndarray], order: np.ndarray, alphabet: np.ndarray, bits: int, per: int) -> tuple[np.ndarray, np.ndarray]:
         """Binary search of every token in the suffix array; starts and tokens of all occurrences."""
-        number = {chr(c): k + 2 for k, c in enumerate(alphabet.tolist())}
-        tokens, low, high = [], [], []
-        for t, s in enumerate(self.texts):
-            try:
-                cs = [number[c] for c in s]
-            except KeyError:
-                continue
-            lo, hi = [], []
-            for k in range(0, len(keys) * per, per):
-                x = y = 0
-                for j in range(k, k + per):
-                    x = x << bits | (cs[j] if j < len(cs) else 0)
-                    y = y << bits | (cs[j] if j < len(cs) else (1 << bits) - 1)
-                lo.append(x)
-                hi.append(y)
-            tokens.append(t)
-            low.append(lo)
-            high.append(hi)
-        if not tokens:
+        if not len(alphabet):
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        used = self.letters > 0
+        at = np.minimum(np.searchsorted(alphabet, self.letters), len(alphabet) - 1)
+        tokens = np.flatnonzero(((alphabet[at] == self.letters) | ~used).all(1))
+        letters = np.where(used, at + 2, 0)[tokens]
+        wide = np.zeros((len(tokens), len(keys) * per), np.uint64)
+        wide[:, :self.longest] = letters
+        top = np.full(wide.shape, (1 << bits) - 1, np.uint64)
+        top[:, :self.longest] = np.where(used[tokens], letters, top[:, :self.longest])
+        low, high = [], []
+        for k in range(0, wide.shape[1], per):
+            for source, out in ((wide, low), (top, high)):
+                one = np.zeros(len(tokens), np.uint64)
+                for j in range(k, k + per):
+                    one = one << np.uint64(bits) | source[:, j]
+                out.append(one)
         bounds = []
-        for want, after in ((np.array(low, np.uint64).T, False), (np.array(high, np.uint64).T, True)):
+        for want, after in ((low, False), (high, True)):
             a, b = np.zeros(len(tokens), np.int64), np.full(len(tokens), len(order))
             while (open_ := a < b).any():
                 mid = np.minimum((a + b) // 2, len(order) - 1)
                 less = np.full(len(tokens), after)
-                for k, w in zip(reversed(keys), want[::-1], strict=True):
+                for k, w in zip(keys[::-1], want[::-1], strict=True):
                     v = k[mid]
                     less = (v < w) | ((v == w) & less)
                 a = np.where(open_ & less, mid + 1, a)
                 b = np.where(open_ & ~less, mid, b)
             bounds.append(a)
         count = bounds[1] - bounds[0]
-        token = np.repeat(np.array(tokens), count)
+        token = np.repeat(tokens, count)
         nth = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
         return order[np.repeat(bounds[0], count) + nth], token
 
@@ -220,7 +220,7 @@ class Lattice:
 class Encoder:
     """Encodes texts in batches; remembers the ids of short chunks it has met."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 500_000):
         self.lattice, self.splits = Lattice(vocabulary), vocabulary.line_end_splits
         self.known: dict[str, list[int]] = {}
         self.most, self.longest, self.room = most, longest, room

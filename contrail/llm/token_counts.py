@@ -14,43 +14,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.llm.common import id_text
-from contrail.llm.pieces import SPACE, Vocabulary, line_chunks, load, merged
+from contrail.llm.pieces import SPACE, Vocabulary, line_chunks, load, merge
 
 
 class Counts(dict):
-    """Tokens of a chunk; remembers chunks up to ``longest`` characters, and forgets all when it holds ``most``."""
+    """Tokens of a chunk, which is ``lead`` and the key; remembers keys up to ``longest`` characters, and forgets all
+    when it holds ``most``."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000, longest: int = 64):
+    def __init__(self, vocabulary: Vocabulary, lead: str = "", most: int = 500_000, longest: int = 64):
         super().__init__()
-        self.ranks, self.most, self.longest = vocabulary.ranks, most, longest
-
-    def __missing__(self, chunk: str) -> int:
-        _, merges, _ = merged(chunk, self.ranks)
-        n = sum(1 if c in self.ranks else len(c.encode("utf-8", "surrogatepass")) for c in chunk) - merges
-        if len(chunk) <= self.longest:
+        self.ranks, self.lead, self.most, self.longest = vocabulary.ranks, lead, most, longest
+
+    def __missing__(self, key: str) -> int:
+        chunk, ranks = self.lead + key, self.ranks
+        n = len(chunk) - merge(chunk, ranks)[1]
+        if not ranks.keys() >= set(chunk):
+            n += sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in chunk if c not in ranks)
+        if len(key) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = n
-        return n
-
-
-class Words(dict):
-    """Tokens of a word that follows one space, by the word itself."""
-
-    def __init__(self, counts: Counts):
-        super().__init__()
-        self.counts = counts
-
-    def __missing__(self, word: str) -> int:
-        n = self.counts.__missing__(SPACE + word)
-        if len(word) < self.counts.longest:
-            if len(self) >= self.counts.most:
-                self.clear()
-            self[word] = n
+            self[key] = n
         return n
 
 
-def count(text: str | None, counts: Counts, words: Words, splits: bool) -> int:
+def count(text: str | None, counts: Counts, words: Counts, splits: bool) -> int:
+    """Tokens of a text; ``words`` holds those of words that follow one space, by the word alone."""
     if not text:
         return 0
     total = 0
@@ -78,7 +66,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(shared.value)
-        words = Words(counts)
+        words = Counts(shared.value, SPACE)
         splits = shared.value.line_end_splits
         for batch in batches:
             n = [count(t.as_py(), counts, words, splits) for t in batch.column("text")]
