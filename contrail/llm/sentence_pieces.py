@@ -304,11 +304,11 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, exact)``: each row's text encoded and decoded again.
 
-    ``ids_sha256`` is the hash of the ids joined by commas, ``exact`` whether the decoded text is the text. Only the
-    digests leave the tasks. Null texts count as empty ones.
+    ``ids_sha256`` is the hash of the ids joined by commas, ``exact`` whether the decoded text is the text. Without
+    ``with_ids`` only the digests leave the tasks; with it there is a column ``ids``. Null texts count as empty ones.
     """
     docs = id_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -319,12 +319,17 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for first, texts in _portions(batch, "text", 2_000_000):
                 out: tuple[list, ...] = ([], [], [], [])
+                kept = []
                 for text, ids in zip(texts, encoder(texts), strict=True):
                     back = decoder(ids)
+                    if with_ids:
+                        kept.append(ids)
                     for column, value in zip(out, (len(ids), sha(",".join(map(str, ids)).encode()), sha(back.encode()), back == text), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array(out[0], pa.int64()), *(pa.array(x) for x in out[1:])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+                    [batch.column("doc_id").slice(first, len(texts)), pa.array(out[0], pa.int64()), *(pa.array(x) for x in out[1:]),
+                     *([pa.array(kept, pa.list_(pa.int32()))] if with_ids else [])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact", *["ids"] * with_ids])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean"
+                           + ", ids array<int>" * with_ids)
