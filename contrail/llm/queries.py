@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.llm.line_quality import line_quality_sql
 from contrail.llm.secrets_sql import secrets_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.sentence_pieces import round_trip
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@register("op9_line_quality", oracle=line_quality_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.line_quality import line_quality
+    return line_quality(table(spark, sf_dir, "documents"))
