@@ -71,3 +71,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.line_quality import line_quality
     return line_quality(table(spark, sf_dir, "documents"))
+
+
+@register("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.common import crc_fold
+    from contrail.llm.language import languages, learn_by_fold
+    docs = table(spark, sf_dir, "documents")
+    found = languages(docs, learn_by_fold(docs))
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
