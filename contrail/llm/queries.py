@@ -80,3 +80,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = languages(docs, learn_by_fold(docs))
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_lm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.common import crc_fold
+    from contrail.llm.neural_lm import learn_by_fold, scores
+    docs = table(spark, sf_dir, "documents")
+    found = scores(docs, learn_by_fold(docs))
+    return found.withColumn("held_out", crc_fold(F.col("doc_id"), 10) == 0)
