@@ -89,3 +89,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scores(docs, learn_by_fold(docs))
     return found.withColumn("held_out", crc_fold(F.col("doc_id"), 10) == 0)
+
+
+@register("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.substrings import substring_duplicates
+    return substring_duplicates(table(spark, sf_dir, "documents")).drop("removed")
