@@ -164,23 +164,51 @@ def select_drivers(attr: DataFrame, id_col: str = "flight_id", feature: str = "f
                     magnitude(F.abs(F.col(impact))).alias("magnitude"), "up")
 
 
-def driver_lists(drivers: DataFrame, id_col: str = "flight_id") -> DataFrame:
-    """Per flight: ``increasing`` and ``decreasing`` arrays of driver structs in rank order
-    (at most top_up + top_down entries per flight)."""
-    item = F.struct("rank", "feature", "value", "impact", "magnitude", "text")
-    g = drivers.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("up"), item))).alias("_inc"),
-        F.array_sort(F.collect_list(F.when(~F.col("up"), item))).alias("_dec"))
-    strip = lambda c: F.transform(c, lambda x: x.dropFields("rank"))
-    return g.select(id_col, strip("_inc").alias("increasing"), strip("_dec").alias("decreasing"))
-
-
-def explanation_record(flights: DataFrame, drivers: DataFrame, base_rate: DataFrame,
-                       prob: str = "prob", id_col: str = "flight_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Nested record per flight: flight facts, prediction, drivers, meta; plus its JSON text."""
-    j = attach(flights.join(driver_lists(drivers, id_col), id_col, "left"), base_rate)
-    empty = F.array().cast("array<struct<feature:string,value:string,impact:double,magnitude:string,text:string>>")
-    inc, dec = F.coalesce("increasing", empty), F.coalesce("decreasing", empty)
+def flight_drivers(flights: DataFrame, impacts: str, features: list[str], categorical: list[str], has_inbound: str = "has_inbound",
+                   top_up: int = 5, top_down: int = 3, floor: float = 0.1) -> DataFrame:
+    """Adds ``increasing`` and ``decreasing``: the selected drivers of each flight, in rank order, as arrays of
+    (feature, value, impact, magnitude, text).
+
+    The rules are those of ``select_drivers``, applied within each row: ``impacts`` is an array in the order of
+    ``features``, whose values are columns of ``flights``. Nothing is exploded, shuffled or grouped. Values are
+    typed: text, whole numbers, or numbers rounded to 3 decimals; a missing value is null.
+    """
+    kinds = dict(flights.dtypes)
+    items = []
+    for j, f in enumerate(features):
+        impact = F.element_at(F.col(impacts), j + 1)
+        rounded = F.bround(impact, 3)
+        text = f in categorical
+        value = F.col(f).cast("double")
+        shown = F.col(f) if text else F.when(~F.isnan(value), value)
+        number = F.lit(None).cast("double") if text else F.when(~F.isnan(value), value)
+        whole = kinds[f] in ("tinyint", "smallint", "int", "bigint")
+        dropped = F.lit(f == "has_inbound") | (F.lit(f in CASCADE_FEATURES) & ~F.col(has_inbound).eqNullSafe(F.lit(1)))
+        # the sort key comes first: larger rounded impacts, then feature order
+        items.append(F.when(~dropped & (F.abs(impact) >= floor), F.struct(
+            (-F.abs(rounded)).alias("key"), F.lit(j).alias("j"), F.lit(f).alias("feature"), number.alias("vnum"),
+            shown.cast("string").alias("vstr"), F.lit(whole).alias("whole"), impact.alias("raw"), rounded.alias("impact"))))
+    # the items leave through a generator, so that the array is built once per row and not once per use
+    rows = flights.select("*", F.inline(F.array(F.struct(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("_items")))))
+
+    def chosen(up: bool, top: int) -> Column:
+        kept = F.slice(F.array_sort(F.filter("_items", lambda x: (x["raw"] > 0) == F.lit(up))), 1, top)
+        return F.transform(kept, lambda x: F.struct(
+            x["feature"].alias("feature"),
+            F.when(x["vnum"].isNull(), x["vstr"].cast("variant"))
+             .when(x["whole"], x["vnum"].cast("bigint").cast("variant"))
+             .otherwise(F.bround(x["vnum"], 3).cast("variant")).alias("value"),
+            x["impact"].alias("impact"), magnitude(F.abs(x["raw"])).alias("magnitude"),
+            driver_phrase(x["feature"], x["vnum"], x["vstr"], F.lit(up)).alias("text")))
+    return rows.withColumns({"increasing": chosen(True, top_up), "decreasing": chosen(False, top_down)}).drop("_items")
+
+
+def explanation_record(flights: DataFrame, base_rate: DataFrame, prob: str = "prob", id_col: str = "flight_id",
+                       threshold: float = THRESHOLD) -> DataFrame:
+    """Nested record per flight of ``flight_drivers``: flight facts, prediction, drivers, meta; plus its JSON text, in
+    which missing values are written as null."""
+    j = attach(flights, base_rate)
+    inc, dec = F.col("increasing"), F.col("decreasing")
     p = F.col(prob)
     rec = F.struct(
         F.struct(F.col("Origin").alias("origin"), F.col("Dest").alias("dest"), F.col("Reporting_Airline").alias("carrier"),
@@ -190,21 +218,29 @@ def explanation_record(flights: DataFrame, drivers: DataFrame, base_rate: DataFr
                  (p >= threshold).alias("flagged"), F.lit(threshold).alias("threshold")).alias("prediction"),
         F.struct(inc.alias("increasing"), dec.alias("decreasing")).alias("drivers"),
         F.struct((F.col("has_inbound") == 1).alias("has_inbound"), (F.size(inc) + F.size(dec)).alias("n_drivers")).alias("meta"))
-    return j.select(id_col, rec.alias("record")).withColumn("record_json", F.to_json("record"))
+    return j.select(id_col, F.inline(F.array(F.struct(rec.alias("record"))))).withColumn(
+        "record_json", F.to_json("record", {"ignoreNullFields": "false"}))
+
+
+# ---- FIXED VALUES: wording and tags of the requests (must match the source)
+ASK_GROUNDED = "Write the disruption-risk explanation for this flight."
+ASK_NAIVE = "Write the disruption-risk explanation."
+ASK_JUDGE = "Evaluate the explanation."
+# ---- end of fixed values
 
 
 def narration_request(records: DataFrame, grounded: bool = True) -> DataFrame:
     """User message for the narration step: the whole record (grounded) or six facts (naive)."""
     if grounded:
         body = F.concat(F.lit("<flight_analysis>\n"), F.col("record_json"),
-                        F.lit("\n</flight_analysis>\n\nWrite the disruption-risk explanation for this flight."))
+                        F.lit(f"\n</flight_analysis>\n\n{ASK_GROUNDED}"))
     else:
         r = F.col("record")
         facts = F.struct(r["flight"]["origin"].alias("origin"), r["flight"]["dest"].alias("dest"),
                          r["flight"]["carrier"].alias("carrier"), r["flight"]["dep_hour_local"].alias("departure_hour"),
                          r["flight"]["date"].alias("date"),
                          r["prediction"]["probability_text"].alias("predicted_disruption_probability"))
-        body = F.concat(F.lit("<flight>\n"), F.to_json(facts), F.lit("\n</flight>\n\nWrite the disruption-risk explanation."))
+        body = F.concat(F.lit("<flight>\n"), F.to_json(facts), F.lit(f"\n</flight>\n\n{ASK_NAIVE}"))
     return records.select("flight_id", F.lit("grounded" if grounded else "naive").alias("arm"), body.alias("user_message"))
 
 
@@ -220,7 +256,7 @@ def template_narration(records: DataFrame) -> DataFrame:
 
 def judge_request(narrated: DataFrame) -> DataFrame:
     body = F.concat(F.lit("<analysis>\n"), F.col("record_json"), F.lit("\n</analysis>\n\n<explanation>\n"),
-                    F.col("explanation"), F.lit("\n</explanation>\n\nEvaluate the explanation."))
+                    F.col("explanation"), F.lit(f"\n</explanation>\n\n{ASK_JUDGE}"))
     return narrated.select("flight_id", body.alias("user_message"))
 
 

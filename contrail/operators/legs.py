@@ -9,8 +9,10 @@ calendar span, not by the data volume. Chunks are days by default (an aircraft f
 legs a day); ``chunk_hours`` narrows them for keys that are dense in time. Any chunk width
 gives the same result, because chunks are monotone in the first order column.
 
-Rows without a usable tail (null or blank) never link; they are keyed by their own id so they
-spread evenly instead of forming one giant null partition.
+Rows without a usable tail (null or blank) never link; they are keyed by their own id, apart from real
+tails, so they spread evenly instead of forming one giant null partition. Rows whose first order column
+is null sort last within their tail; they are chunked by the second order column, and those that lack
+both by their id.
 """
 
 from __future__ import annotations
@@ -25,6 +27,21 @@ def has_tail(tail: str) -> Column:
     return F.col(tail).isNotNull() & (F.trim(F.col(tail)) != "")
 
 
+#: Ids per chunk among rows of a tail that lack both order columns.
+ID_CHUNK = 4096
+
+
+def _late_chunk(df: DataFrame, order: list[str], id_col: str) -> Column:
+    """Second chunk level, for rows that lack the first order column: rises with the second, then with the id."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    kinds = dict(df.dtypes)
+    by_id = F.floor(F.col(id_col) / ID_CHUNK).cast("long") if kinds[id_col] in numeric else F.lit(0).cast("long")
+    if len(order) > 1 and kinds[order[1]] in numeric:
+        second = F.floor(F.col(order[1]) / 100).cast("long")
+        return F.struct(second.isNull().alias("late"), F.coalesce(second, by_id).alias("n"))
+    return F.struct(F.lit(True).alias("late"), (F.lit(0).cast("long") if len(order) > 1 else by_id).alias("n"))
+
+
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -36,9 +53,13 @@ def previous_leg(df: DataFrame, tail: str, order: list[str], id_col: str, carry:
     """
     valid = has_tail(tail)
     first = order[0]
-    d = (df.withColumn("_key", F.when(valid, F.col(tail)).otherwise(F.concat(F.lit("~"), F.col(id_col).cast("string"))))
-           .withColumn("_chunk", F.coalesce(F.floor(_micros(first) / F.lit(chunk_hours * 3_600_000_000)).cast("int"),
-                                            F.lit(SENTINEL_CHUNK))))
+    own = F.struct(valid.alias("real"), F.when(valid, F.col(tail)).otherwise(F.col(id_col).cast("string")).alias("key"))
+    hour = F.floor(_micros(first) / F.lit(chunk_hours * 3_600_000_000)).cast("int")
+    late = F.when(F.col(first).isNull(), _late_chunk(df, order, id_col))
+    d = (df.withColumn("_key", own)
+           .withColumn("_chunk", F.struct(F.coalesce(hour, F.lit(SENTINEL_CHUNK)).alias("t"),
+                                          F.coalesce(late["late"], F.lit(False)).alias("late"),
+                                          F.coalesce(late["n"], F.lit(0).cast("long")).alias("n"))))
     sort_cols = [F.col(c).asc_nulls_last() for c in order] + [F.col(id_col).asc()]
     w = Window.partitionBy("_key", "_chunk").orderBy(*sort_cols)
     d = d.withColumn("_rn", F.row_number().over(w))

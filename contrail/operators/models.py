@@ -10,11 +10,11 @@ narrow ``transform`` on the executors.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,9 @@ CASCADE = ["has_inbound", "inbound_gap_h", "inbound_delay_obs", "inbound_buffer_
 LR_NUM = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest"]
 
 GBT_PARAMS = dict(stepSize=0.05, maxDepth=6, minInstancesPerNode=200, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", maxBins=64, maxIter=100, validationTol=1e-4, seed=42)
+                  featureSubsetStrategy="0.8", maxIter=3000, validationTol=1e-4, seed=42)
+#: Bins of a numeric feature; a categorical one with more levels raises the number (see ``fit_gbt``).
+MIN_BINS = 64
 
 
 def indexer(cats: list[str]) -> StringIndexer:
@@ -45,16 +47,35 @@ def logistic_pipeline(cats: list[str], nums: list[str], reg_param: float, label:
     return Pipeline(stages=[indexer(cats), ohe, imp, num_vec, scaler, feats, lr])
 
 
-def gbt_pipeline(cats: list[str], nums: list[str], label: str = "y", val_col: str = "is_val",
-                 params: dict | None = None) -> Pipeline:
-    """Boosted trees on indexed categoricals (categorical splits through the indexer metadata)
-    and median-imputed numbers; early stopping on the validation rows."""
+def tree_features(train: DataFrame, cats: list[str], nums: list[str]) -> PipelineModel:
+    """Category codes and medians of the train rows alone, and the assembled feature vector. A value met only
+    later gets the unseen slot."""
     imp = Imputer(inputCols=nums, outputCols=[f"{c}_imp" for c in nums], strategy="median")
     feats = VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + [f"{c}_imp" for c in nums], outputCol="features")
-    p = dict(GBT_PARAMS)
+    return Pipeline(stages=[indexer(cats), imp, feats]).fit(train)
+
+
+def fit_gbt(train: DataFrame, val: DataFrame, cats: list[str], nums: list[str], label: str = "y",
+            params: dict | None = None) -> PipelineModel:
+    """Boosted trees on indexed categoricals (categorical splits through the indexer metadata) and median-imputed
+    numbers. Preprocessing is fitted on ``train``; ``val`` only stops the boosting. The bins grow with the
+    largest category (its levels and the unseen slot). ``rounds_ended`` tells what ended the fit."""
+    prep = tree_features(train, cats, nums)
+    levels = max((len(x) + 1 for x in prep.stages[0].labelsArray), default=0)
+    p = dict(GBT_PARAMS, maxBins=max(MIN_BINS, levels))
     p.update(params or {})
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, validationIndicatorCol=val_col, **p)
-    return Pipeline(stages=[indexer(cats), imp, feats, gbt])
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, validationIndicatorCol="is_val", **p)
+    rows = prep.transform(train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True))))
+    rows = rows.select("features", label, "is_val").persist()  # read in every round
+    model = gbt.fit(rows)
+    rows.unpersist()
+    return PipelineModel(stages=[*prep.stages, model])
+
+
+def rounds_ended(model: PipelineModel) -> str:
+    """``early_stop`` or ``max_iter``: what ended the boosting of a ``fit_gbt`` model."""
+    trees = model.stages[-1]
+    return "early_stop" if trees.getNumTrees < trees.getMaxIter() else "max_iter"
 
 
 def positive_probability(df: DataFrame, out: str = "score") -> DataFrame:
@@ -77,5 +98,11 @@ def slot_names(transformed: DataFrame, col: str = "features") -> list[str]:
 def isotonic(val_scored: DataFrame, test_scored: DataFrame, raw: str = "score", label: str = "y",
              out: str = "cal_score") -> DataFrame:
     """Isotonic fit on validation scores; applied to test (clipped outside the fitted range)."""
-    iso = IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol=out, isotonic=True)
-    return iso.fit(val_scored.select(raw, F.col(label).cast("double").alias(label))).transform(test_scored)
+    return fit_isotonic(val_scored, raw, label, out).transform(test_scored)
+
+
+def fit_isotonic(val_scored: DataFrame, raw: str = "score", label: str = "y", out: str = "cal_score") -> IsotonicRegressionModel:
+    """Isotonic regression of the label on the score. Ties are pooled first into one weighted row per distinct score,
+    which gives the same fit; the solver, which pools on the driver, then sees distinct scores alone."""
+    pooled = val_scored.groupBy(raw).agg(F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=raw, labelCol=label, weightCol="_w", predictionCol=out, isotonic=True).fit(pooled)

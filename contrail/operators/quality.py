@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# FIXED VALUES: airports of the sanity checks, days of the known storm, largest share of summer snow
 WARM_AIRPORT = "HNL"
 COLD_HUBS = ["MSP", "DEN", "BOS", "ORD"]
+STORM_DAYS = ["2024-01-06", "2024-01-07"]
+SUMMER_SNOW = 0.005
 
 
 def snow_season(df: DataFrame, snow: str, airport: str = "BOS", origin: str = "Origin",
@@ -23,17 +26,37 @@ def snow_season(df: DataFrame, snow: str, airport: str = "BOS", origin: str = "O
     return t.agg(F.count(F.lit(1)).alias("n_top"),
                  F.round(F.avg(m.isin(12, 1, 2).cast("double")), 9).alias("djf_frac"),
                  F.round(F.avg(m.isin(11, 12, 1, 2, 3).cast("double")), 9).alias("cold_frac"),
-                 F.round(F.avg(m.isin(6, 7, 8).cast("double")), 9).alias("summer_frac"))
+                 F.round(F.avg(m.isin(6, 7, 8).cast("double")), 9).alias("summer_frac")).withColumn(
+                     "no_summer_snow", F.coalesce(F.col("summer_frac") < SUMMER_SNOW, F.lit(False)))
 
 
 def storm_days(df: DataFrame, snow: str, year: int, month: int, airport: str = "BOS",
-               origin: str = "Origin", hour: str = "dep_hour_utc", top: int = 3) -> DataFrame:
-    """Days of one month ranked by mean snowfall over the airport's rows (zeros count, nulls not)."""
+               origin: str = "Origin", hour: str = "dep_hour_utc", top: int = 3, expected: list[str] = STORM_DAYS) -> DataFrame:
+    """Days of one month ranked by mean snowfall over the airport's rows (zeros count, nulls not), and whether each is
+    an expected storm day."""
     s = df.where((F.col(origin) == airport) & F.col(snow).isNotNull() & F.col(hour).isNotNull()
                  & (F.year(hour) == year) & (F.month(hour) == month))
     return (s.groupBy(F.to_date(hour).cast("string").alias("day"))
              .agg(F.round(F.avg(snow), 9).alias("mean_snow"))
-             .orderBy(F.desc("mean_snow"), F.asc("day")).limit(top))
+             .orderBy(F.desc("mean_snow"), F.asc("day")).limit(top)
+             .withColumn("expected", F.col("day").isin(*expected)))
+
+
+def full_report(df: DataFrame, snow: str, year: int, month: int, **options) -> DataFrame:
+    """``dq_report`` with the seasonal check (hard), the storm-day check (soft), and a last row for all hard checks
+    together, whose value is how many of them fail."""
+    from contrail.sources.sinks import reuse
+    season, storm = snow_season(df, snow), storm_days(df, snow, year, month, top=1)
+    null = F.lit(None).cast("double")
+    rows = dq_report(df, **options).unionByName(season.select(
+        F.lit("no_summer_snow").alias("check"), F.col("summer_frac").alias("value"), null.alias("lo"),
+        F.lit(SUMMER_SNOW).alias("hi"), F.lit(True).alias("hard"), F.col("no_summer_snow").alias("pass")))
+    rows = rows.unionByName(storm.agg(F.max("mean_snow").alias("value"), F.coalesce(F.max("expected"), F.lit(False)).alias("pass")).select(
+        F.lit("storm_day").alias("check"), "value", null.alias("lo"), null.alias("hi"), F.lit(False).alias("hard"), "pass"))
+    rows = reuse(rows)
+    failed = rows.agg(F.count_if(F.col("hard") & ~F.col("pass")).cast("double").alias("value"))
+    return rows.unionByName(failed.select(F.lit("hard_invariants").alias("check"), "value", null.alias("lo"), F.lit(0.0).alias("hi"),
+                                          F.lit(True).alias("hard"), (F.col("value") == 0).alias("pass")))
 
 
 def expectation_bands(summary: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contrail.functions.buckets import bucket_label, bucket_ord
 from contrail.functions.stats import Z95, wilson_bounds
 from contrail.operators.scalars import attach
+from contrail.sources.sinks import reuse
 
 ROUND = 9  # decimals kept on derived doubles (order-independent across engines)
 
@@ -35,14 +36,14 @@ def finish_rates(g: DataFrame, keys: list[str], base: DataFrame | None = None, z
     ``base`` is a one-row frame with column ``base_rate``; by default it is computed from the
     counts themselves (all groups, null keys included), within ``base_by`` partitions if given.
     """
-    if base is None:
-        # base rate over all groups (null keys included) by a window over the aggregated table:
-        # it sees one row per group (bounded by the key space), and the counts are computed
-        # once. A scalar subquery over ``g`` would be planned separately, and when its shuffle
-        # is not matched to the main one for reuse, everything above the scan (joins, the lag
-        # window) would run a second time.
-        part = Window.partitionBy(*(base_by or []))
+    if base is None and base_by:
+        part = Window.partitionBy(*base_by)
         out = g.withColumn("base_rate", F.sum("k").over(part) / F.sum("n").over(part))
+    elif base is None:
+        # the counts are checkpointed, so the rows are aggregated once, and the base rate over all groups
+        # (null keys included) is a scalar of them: no window gathers the groups in one task
+        g = reuse(g)
+        out = attach(g, g.agg(F.try_divide(F.sum("k"), F.sum("n")).alias("base_rate")))
     else:
         out = attach(g, base)
     if drop_null_keys:
@@ -73,7 +74,7 @@ def dense_rate_table(df: DataFrame, key: str, lo: int, hi: int, target: str = "d
     """Rate table re-indexed to the dense integer domain ``lo..hi``; empty keys get nulls."""
     t = rate_table(df, [key], target, z)
     domain = df.sparkSession.range(lo, hi + 1).select(F.col("id").cast("int").alias(key))
-    return F.broadcast(domain).join(t, key, "left")
+    return domain.join(t, key, "left")
 
 
 def hour_curve_masked(hour_table: DataFrame, hour: str = "hour", min_n: int = 1000,

@@ -64,7 +64,9 @@ def stratified_sample(df: DataFrame, cells: list[str], n_total: int, id_col: str
 def flagged_plus_sample(df: DataFrame, flagged: Column, n_total: int, id_col: str, seed: int = 11) -> DataFrame:
     """All flagged rows plus a seeded sample of the others up to ``n_total`` rows, in seeded
     (shuffled) order given by ``order_key``."""
-    h = df.withColumn("_h", seeded_key(id_col, seed)).withColumn("_f", flagged)
+    from contrail.sources.sinks import reuse
+    # checkpointed: the flagged rows, their count and the others are all read from it, so ``df`` runs once
+    h = reuse(df.withColumn("_h", seeded_key(id_col, seed)).withColumn("_f", flagged))
     nf = h.where(F.col("_f")).agg(F.count(F.lit(1)).alias("_nf"))
     others = attach(h.where(~F.col("_f")), nf)
     take = _first_n_dynamic(others, n_total, F.greatest(F.lit(0), F.lit(n_total) - F.col("_nf")), "_h")

@@ -24,9 +24,9 @@ def unknown_airports(df: DataFrame, airport_col: str) -> DataFrame:
     return z.where(F.col("_zone").isNull() & F.col(airport_col).isNotNull()).select(airport_col)
 
 
-def require_zones(df: DataFrame, airport_col: str, limit: int = 50) -> None:
-    """Raise with the (first ``limit``) unknown airport codes, as the source does."""
-    bad = [r[0] for r in unknown_airports(df, airport_col).orderBy(airport_col).limit(limit).collect()]
+def require_zones(df: DataFrame, airport_col: str) -> None:
+    """Raise with all unknown airport codes (the distinct codes of the column at most)."""
+    bad = sorted(r[0] for r in unknown_airports(df, airport_col).collect())
     if bad:
         raise KeyError(f"airports missing from the zone map: {bad}")
 

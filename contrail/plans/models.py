@@ -56,10 +56,7 @@ def _logistic(spark, sf_dir, m=None):
 
 def _gbt(spark, sf_dir, features_num, m=None):
     m, tr, va, te = _splits(spark, sf_dir, m)
-    fit_rows = m.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val").persist()
-    model = M.gbt_pipeline(M.CAT, features_num).fit(fit_rows)  # several passes over the persisted rows
-    fit_rows.unpersist()
-    return model, va, te
+    return M.fit_gbt(tr, va, M.CAT, features_num), va, te
 
 
 @register("logreg_score")
@@ -93,7 +90,7 @@ def q_feature_importance(spark, sf_dir):
     model, _, _ = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")
-    return df.withColumn("trees", F.lit(model.stages[-1].getNumTrees))
+    return df.withColumns({"trees": F.lit(model.stages[-1].getNumTrees), "ended_by": F.lit(M.rounds_ended(model))})
 
 
 def _ladder(spark, sf_dir):
@@ -129,8 +126,8 @@ def q_ablation(spark, sf_dir):
     a = lad.agg(pick("logistic").alias("lr"), pick("gbt_no_cascade").alias("nocas"), pick("gbt_cascade").alias("full"))
     return a.select("lr", "nocas", "full", (F.col("nocas") - F.col("lr")).alias("class_effect"),
                     (F.col("full") - F.col("nocas")).alias("cascade_effect"),
-                    ((F.col("full") - F.col("nocas")) / (F.col("full") - F.col("lr"))).alias("cascade_share"),
-                    ((F.col("full") - F.col("nocas")) / F.col("nocas")).alias("cascade_pct_over"))
+                    F.try_divide(F.col("full") - F.col("nocas"), F.col("full") - F.col("lr")).alias("cascade_share"),
+                    F.try_divide(F.col("full") - F.col("nocas"), F.col("nocas")).alias("cascade_pct_over"))
 
 
 @register("isotonic_calibrate")
@@ -155,8 +152,14 @@ select te.feature, te.value, coalesce(tr.code, -1) as code from te left join tr
 
 @register("code_parity", _CODE_SQL)
 def q_code_parity(spark, sf_dir):
+    """Codes that the saved preprocessing of the boosted trees gives to the test values after it is read back;
+    the oracle derives them from the train rows."""
+    from contrail.sources.sinks import load_bundle, save_bundle, scratch_path
     m, tr, va, te = _splits(spark, sf_dir)
-    idx = M.indexer(M.CAT).fit(tr)
+    path = scratch_path(spark, "codes")
+    save_bundle(M.tree_features(tr, M.CAT, M.NUM_W + M.CASCADE), {"cat_features": M.CAT}, path)
+    saved, _ = load_bundle(spark, path)
+    idx = saved.stages[0]
     coded = idx.transform(te)
     items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"),
                       F.col(f"{c}_idx").alias("ix")) for c in M.CAT]

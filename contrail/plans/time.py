@@ -8,6 +8,7 @@ from contrail.operators import schedule as S
 from contrail.operators import weather as W
 from contrail.registry import register
 from contrail.sources.fixtures import flights_v, legs_v, weather_v, with_views
+from contrail.sources.sinks import reuse
 from contrail.sql_helpers import ROUND
 
 WX = ["snowfall", "wind_gusts_10m", "temperature_2m"]
@@ -118,21 +119,37 @@ def _chk(name, value, lo, hi, hard, ok):
             f"{'true' if hard else 'false'} as hard, coalesce({ok}, false) as pass from a")
 
 
-@register("dq_report", _JOIN_SQL + """
+_DQ_SQL = (_JOIN_SQL + """
 , a as (select avg(case when snowfall_orig is not null then 1.0 else 0.0 end) as cov_o,
   avg(case when snowfall_dest is not null then 1.0 else 0.0 end) as cov_d,
   case when count(*) filter (where Origin = 'HNL') = 0 then 0.0 else max(case when Origin = 'HNL' then snowfall_orig end) end as hnl,
   max(case when Origin in ('MSP', 'DEN', 'BOS', 'ORD') then snowfall_orig end) as cold,
-  avg(cast(disrupted as double)) as rate from j)
-""" + " union all ".join([
+  avg(cast(disrupted as double)) as rate from j),
+dq as (""" + " union all ".join([
     _chk("coverage_orig", "cov_o", 0.99, None, True, "cov_o > 0.99"),
     _chk("coverage_dest", "cov_d", 0.99, None, True, "cov_d > 0.99"),
     _chk("warm_airport_max_snow", "hnl", None, 0.5, True, "hnl < 0.5"),
     _chk("cold_hub_max_snow", "cold", 1.0, None, True, "cold > 1.0"),
     _chk("target_rate", "rate", 0.2, 0.27, False, "rate >= 0.2 and rate <= 0.27"),
-]))
+]) + ")")
+
+
+@register("dq_report", _DQ_SQL + f"""
+, st as (select avg(case when m in (6, 7, 8) then 1.0 else 0.0 end) as s from (select month(dep_hour_utc) as m from j
+  where Origin = 'BOS' and snowfall_orig is not null and dep_hour_utc is not null and snowfall_orig > 0
+  order by snowfall_orig desc, flight_id limit 2000)),
+sd as (select cast(cast(dep_hour_utc as date) as varchar) as day, round(avg(snowfall_orig), {ROUND}) as mean_snow from j
+  where Origin = 'BOS' and snowfall_orig is not null and year(dep_hour_utc) = 2024 and month(dep_hour_utc) = 1
+  group by 1 order by mean_snow desc, day limit 1),
+al as (select * from dq
+  union all select 'no_summer_snow', round(s, {ROUND}), null, {Q.SUMMER_SNOW}, true, coalesce(round(s, {ROUND}) < {Q.SUMMER_SNOW}, false) from st
+  union all select 'storm_day', max(mean_snow), null, null, false,
+    coalesce(bool_or(day in ({', '.join(repr(d) for d in Q.STORM_DAYS)})), false) from sd)
+select * from al union all select 'hard_invariants', cast(count(*) filter (where hard and not pass) as double), null, 0.0, true,
+  count(*) filter (where hard and not pass) = 0 from al""")
 def q_dq_report(spark, sf_dir):
-    return Q.dq_report(leg_table(spark, sf_dir))
+    legs = reuse(leg_table(spark, sf_dir).select("flight_id", "Origin", "dep_hour_utc", "snowfall_orig", "snowfall_dest", "disrupted"))
+    return Q.full_report(legs, "snowfall_orig", 2024, 1)
 
 
 @register("snow_season", _JOIN_SQL + f"""
@@ -141,13 +158,15 @@ def q_dq_report(spark, sf_dir):
   order by snowfall_orig desc, flight_id limit 2000)
 select count(*) as n_top, round(avg(case when m in (12, 1, 2) then 1.0 else 0.0 end), {ROUND}) as djf_frac,
   round(avg(case when m in (11, 12, 1, 2, 3) then 1.0 else 0.0 end), {ROUND}) as cold_frac,
-  round(avg(case when m in (6, 7, 8) then 1.0 else 0.0 end), {ROUND}) as summer_frac from t""")
+  round(avg(case when m in (6, 7, 8) then 1.0 else 0.0 end), {ROUND}) as summer_frac,
+  coalesce(round(avg(case when m in (6, 7, 8) then 1.0 else 0.0 end), {ROUND}) < {Q.SUMMER_SNOW}, false) as no_summer_snow from t""")
 def q_snow_season(spark, sf_dir):
     return Q.snow_season(leg_table(spark, sf_dir), "snowfall_orig")
 
 
 @register("storm_days", _JOIN_SQL + f"""
-select cast(cast(dep_hour_utc as date) as varchar) as day, round(avg(snowfall_orig), {ROUND}) as mean_snow from j
+select cast(cast(dep_hour_utc as date) as varchar) as day, round(avg(snowfall_orig), {ROUND}) as mean_snow,
+  cast(cast(dep_hour_utc as date) as varchar) in ({', '.join(repr(d) for d in Q.STORM_DAYS)}) as expected from j
 where Origin = 'BOS' and snowfall_orig is not null and dep_hour_utc is not null
   and year(dep_hour_utc) = 2024 and month(dep_hour_utc) = 1
 group by 1 order by mean_snow desc, day limit 3""")

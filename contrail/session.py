@@ -48,8 +48,8 @@ def get_session(master: str | None = None, app: str = "contrail",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised stage outputs.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when the cluster names none
-    (local tests) a scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a local master (tests) gets a
+    scratch folder; any other master is refused, since its executors do not share a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         conf_dir = tempfile.mkdtemp(prefix="contrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -91,6 +91,18 @@ def legs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_legs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs as they come in: local schedule times, no UTC hours and no label."""
+    k = F.col("flight_id")
+    lost = F.col("ArrDelayMinutes").isNull()
+    return legs_v(spark, sf_dir).select(
+        "flight_id", "Tail_Number", "Reporting_Airline", "Origin", "Dest", "FlightDate", "CRSDepTime",
+        F.when(k % 211 != 0, (45 + (k * 11) % 300).cast("double")).alias("CRSElapsedTime"),
+        F.when(k % 1009 != 0, F.when(k % 389 == 0, 1.0).otherwise(0.0)).alias("Diverted"),
+        F.when(lost & (k % 8 == 0), 1.0).otherwise(0.0).alias("Cancelled"),
+        "ArrDelayMinutes", F.when(~lost, F.when(F.col("ArrDelayMinutes") >= 15, 1.0).otherwise(0.0)).alias("ArrDel15"))
+
+
 def weather_raw_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
     e = e.withColumn("_ai", (F.col("user_id") % 40).cast("int")).join(_codes(spark, "_ai", "airport"), "_ai")
@@ -136,20 +148,33 @@ def attributions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("flight_id") % 3 == 0, F.lit(0)).otherwise(F.lit(1)).alias("has_inbound")))
 
 
+# values of a flag that are neither true nor false, as judges write them
+ODD_FLAGS = ["1", '"yes"', '"false"', "null", "0", "0.0", '""', "[]", '{"a": 1}']
+
+
+def verdict_gap_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies with one order in five missing: the input of the queries about what is still to do."""
+    return verdict_raw_v(spark, sf_dir).where(F.col("flight_id") % 5 != 4)
+
+
 def verdict_raw_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey"]).where(F.col("o_orderkey") % 5 != 4)
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
     arms = F.array(F.struct(F.lit("grounded").alias("arm"), F.lit(3).alias("w"), F.lit(1).alias("cut")),
                    F.struct(F.lit("naive").alias("arm"), F.lit(7).alias("w"), F.lit(9).alias("cut")))
     k = F.col("flight_id")
     t = o.select(F.col("o_orderkey").alias("flight_id"), F.inline(arms))
     tf = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    flag = tf((k * F.col("w")) % 10 < F.col("cut"))
+    for n, odd in enumerate(ODD_FLAGS):
+        flag = F.when(k % 23 == n + 1, F.lit(odd)).otherwise(flag)
     body = F.concat(
-        F.lit('{"fabrication": {"present": '), tf((k * F.col("w")) % 10 < F.col("cut")),
+        F.lit('{"fabrication": {"present": '), flag,
         F.lit(', "evidence": "x"}, "direction_error": {"present": '), tf(k % 29 == 0),
         F.lit(', "evidence": ""}, "certainty_language": {"present": false, "evidence": ""}, '),
         F.lit('"probability_misrepresented": {"present": false, "evidence": ""}, "notes": ""}'))
     nl = F.lit("\n")
-    raw = (F.when(k % 4 == 0, body)
+    raw = (F.when(k % 23 == 0, F.concat(body, F.lit(" and again "), body))
+            .when(k % 4 == 0, body)
             .when(k % 4 == 1, F.concat(F.lit("```json"), nl, body, nl, F.lit("```")))
             .when(k % 4 == 2, F.concat(F.lit("Here is the verdict: "), body, F.lit(" Done.")))
             .when(k % 20 == 3, F.lit("no verdict"))
@@ -223,6 +248,16 @@ join airport_dim b on b.idx = (e.user_id + e.event_id + 1 + e.event_id % 39) % 4
 """
 VIEW_DEPS["legs_v"] = ["airport_dim"]
 
+VIEW_SQL["raw_legs_v"] = """
+select flight_id, Tail_Number, Reporting_Airline, Origin, Dest, FlightDate, CRSDepTime,
+  case when flight_id % 211 <> 0 then cast(45 + (flight_id * 11) % 300 as double) end as CRSElapsedTime,
+  case when flight_id % 1009 <> 0 then case when flight_id % 389 = 0 then 1.0 else 0.0 end end as Diverted,
+  case when ArrDelayMinutes is null and flight_id % 8 = 0 then 1.0 else 0.0 end as Cancelled,
+  ArrDelayMinutes, case when ArrDelayMinutes is not null then case when ArrDelayMinutes >= 15 then 1.0 else 0.0 end end as ArrDel15
+from legs_v
+"""
+VIEW_DEPS["raw_legs_v"] = ["legs_v"]
+
 VIEW_SQL["weather_raw_v"] = """
 select e.event_id, a.code as airport, date_trunc('hour', e.ts) as obs_time_utc,
   cast(greatest(0, floor(e.value) - 100) as double) / 50 as snowfall,
@@ -262,17 +297,18 @@ VIEW_DEPS["attributions_v"] = []
 
 VIEW_SQL["verdict_raw_v"] = """
 select flight_id, arm,
-  case flight_id % 4 when 0 then body
+  case when flight_id % 23 = 0 then concat(body, ' and again ', body) else case flight_id % 4 when 0 then body
        when 1 then concat('```json', chr(10), body, chr(10), '```')
        when 2 then concat('Here is the verdict: ', body, ' Done.')
-       else case when flight_id % 20 = 3 then 'no verdict' else body end end as raw
+       else case when flight_id % 20 = 3 then 'no verdict' else body end end end as raw
 from (select o.o_orderkey as flight_id, m.arm,
-        concat('{"fabrication": {"present": ', case when (o.o_orderkey * m.w) % 10 < m.cut then 'true' else 'false' end,
+        concat('{"fabrication": {"present": ', case o.o_orderkey % 23 when 1 then '1' when 2 then '"yes"' when 3 then '"false"'
+                 when 4 then 'null' when 5 then '0' when 6 then '0.0' when 7 then '""' when 8 then '[]' when 9 then '{"a": 1}'
+                 else case when (o.o_orderkey * m.w) % 10 < m.cut then 'true' else 'false' end end,
                ', "evidence": "x"}, "direction_error": {"present": ', case when o.o_orderkey % 29 = 0 then 'true' else 'false' end,
                ', "evidence": ""}, "certainty_language": {"present": false, "evidence": ""}, ',
                '"probability_misrepresented": {"present": false, "evidence": ""}, "notes": ""}') as body
-      from orders o cross join (values ('grounded', 3, 1), ('naive', 7, 9)) m(arm, w, cut)
-      where o.o_orderkey % 5 <> 4) t
+      from orders o cross join (values ('grounded', 3, 1), ('naive', 7, 9)) m(arm, w, cut)) t
 """
 VIEW_DEPS["verdict_raw_v"] = []
 

@@ -1,37 +1,49 @@
-"""Resumable keyed processing as a Structured Streaming job.
-
-New JSON-lines files landing in ``source_dir`` (for example generated explanations) are read
-as a file stream with a fixed schema. Each micro-batch drops keys already present in the output
-table (left anti join), processes the rest with ``process`` and appends the result. Keys that
-fail inside ``process`` are simply absent from the output and are picked up again by the next
-run, while the stream checkpoint (in the shared checkpoint folder) makes restarts exactly-once
-per input file.
+"""Resumable keyed processing.
+
+A pass reads every row of the source, drops the keys that the output holds already (left anti join),
+processes the rest and appends the result. Keys that fail inside ``process`` are absent from the output, so
+the next pass takes them again; a pass over a finished source appends nothing.
+
+``start_resumable`` makes one pass over what is there, which retries earlier failures, and then follows new
+JSON-lines files as a file stream, whose checkpoint (in the shared folder) keeps restarts exactly-once per file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _done_keys(spark: SparkSession, out_path: str, key: str, schema: T.StructType) -> DataFrame:
+def done_keys(spark: SparkSession, out_path: str, key: str, schema: T.StructType) -> DataFrame:
+    """Keys in the output; none if its folder does not exist yet. Any other failure to read it is raised: taking it
+    for an empty output would process and append everything again."""
     try:
         return spark.read.schema(schema).parquet(out_path).select(key)
-    except Exception:  # noqa: BLE001 - no output yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType([schema[key]]))
 
 
+def resume_pass(source: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], out_path: str,
+                out_schema: T.StructType) -> None:
+    """Process the rows of ``source`` whose key the output lacks, one row per key, and append the result."""
+    todo = source.dropDuplicates([key]).join(done_keys(source.sparkSession, out_path, key, out_schema), key, "left_anti")
+    process(todo).write.mode("append").parquet(out_path)
+
+
 def start_resumable(spark: SparkSession, source_dir: str, schema: T.StructType, key: str,
                     process: Callable[[DataFrame], DataFrame], out_path: str, out_schema: T.StructType,
                     checkpoint: str, once: bool = True):
-    """Start the stream; with ``once`` it processes what is there and stops (``availableNow``)."""
+    """A pass over all files, then the stream; with ``once`` it processes what is there and stops (``availableNow``)."""
+    resume_pass(spark.read.schema(schema).json(source_dir), key, process, out_path, out_schema)
     stream = spark.readStream.schema(schema).json(source_dir)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        todo = df.dropDuplicates([key]).join(_done_keys(spark, out_path, key, out_schema), key, "left_anti")
-        process(todo).write.mode("append").parquet(out_path)
+        resume_pass(df, key, process, out_path, out_schema)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
