@@ -12,15 +12,18 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAT = ["Origin", "Dest", "Reporting_Airline", "hour", "month", "dow"]
 NUM_W = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest", "temperature_2m_orig"]
 CASCADE = ["has_inbound", "inbound_gap_h", "inbound_delay_obs", "inbound_buffer_min", "inbound_unlanded"]
+FEATURES = CAT + NUM_W + CASCADE
+#: Trees see which weather values were missing before the medians filled them.
+MISSING = [f"{c}_missing" for c in NUM_W]
 LR_NUM = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest"]
 
 GBT_PARAMS = dict(stepSize=0.05, maxDepth=6, minInstancesPerNode=200, subsamplingRate=0.8,
@@ -48,11 +51,15 @@ def logistic_pipeline(cats: list[str], nums: list[str], reg_param: float, label:
 
 
 def tree_features(train: DataFrame, cats: list[str], nums: list[str]) -> PipelineModel:
-    """Category codes and medians of the train rows alone, and the assembled feature vector. A value met only
-    later gets the unseen slot."""
+    """Category codes and medians of the train rows alone, and the assembled feature vector: codes, numbers, and a mark for
+    each missing weather value. A category met only later gets the unseen slot."""
     imp = Imputer(inputCols=nums, outputCols=[f"{c}_imp" for c in nums], strategy="median")
-    feats = VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + [f"{c}_imp" for c in nums], outputCol="features")
-    return Pipeline(stages=[indexer(cats), imp, feats]).fit(train)
+    weather = [c for c in nums if c in NUM_W]
+    marks = ", ".join(f"cast({c} is null or isnan({c}) as double) as {c}_missing" for c in weather)
+    mark = SQLTransformer(statement=f"select *{', ' + marks if marks else ''} from __THIS__")
+    feats = VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + [f"{c}_imp" for c in nums] + [f"{c}_missing" for c in weather],
+                            outputCol="features")
+    return Pipeline(stages=[indexer(cats), imp, mark, feats]).fit(train)
 
 
 def fit_gbt(train: DataFrame, val: DataFrame, cats: list[str], nums: list[str], label: str = "y",
@@ -72,6 +79,12 @@ def fit_gbt(train: DataFrame, val: DataFrame, cats: list[str], nums: list[str],
     return PipelineModel(stages=[*prep.stages, model])
 
 
+def fold_missing(impacts: str) -> Column:
+    """Attributions of FEATURES and MISSING as those of FEATURES: what a missing mark adds belongs to its column."""
+    of = {f: F.element_at(impacts, j + 1) for j, f in enumerate(FEATURES + MISSING)}
+    return F.array(*[of[f] + of[f"{f}_missing"] if f in NUM_W else of[f] for f in FEATURES])
+
+
 def rounds_ended(model: PipelineModel) -> str:
     """``early_stop`` or ``max_iter``: what ended the boosting of a ``fit_gbt`` model."""
     trees = model.stages[-1]

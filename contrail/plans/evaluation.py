@@ -173,35 +173,66 @@ def q_seeded_sample(spark, sf_dir):
     return SM.seeded_sample(scored_v(spark, sf_dir).select("flight_id", "y", "score"), 5000, "flight_id", 42)
 
 
-_STRAT = with_views("scored_v", extra={
-    "s": f"select flight_id, y, {TIER_SQL} as risk_tier, md5(cast(flight_id as varchar) || '7') as h from scored_v",
-    "q": "select floor(250 / count(*)) as quota from (select distinct risk_tier, y from s) d",
-    "r": "select s.*, row_number() over (partition by risk_tier, y order by h) as rn from s",
+# the inbound link of the attribution fixture: one flight in three has none
+_LINK_SQL = "case when flight_id % 3 = 0 then 0 else 1 end"
+_STRAT_EXTRA = {
+    "s": f"select flight_id, score, {_LINK_SQL} as has_inbound, {TIER_SQL} as risk_tier, md5(cast(flight_id as varchar) || '7') as h from scored_v",
+    "q": "select floor(250 / count(*)) as quota from (select distinct risk_tier, has_inbound from s) d",
+    "r": "select s.*, row_number() over (partition by risk_tier, has_inbound order by h) as rn from s",
     "picked": "select r.* from r, q where rn <= quota",
     "rest": "select r.*, row_number() over (order by h) as rn2 from r, q where rn > quota",
-    "strat": """select flight_id, risk_tier, y, 'cell' as pick from picked
-  union all select flight_id, risk_tier, y, 'topup' from rest where rn2 <= 250 - (select count(*) from picked)""",
-})
+    "strat": """select flight_id, score, risk_tier, has_inbound, 'cell' as pick from picked
+  union all select flight_id, score, risk_tier, has_inbound, 'topup' from rest where rn2 <= 250 - (select count(*) from picked)""",
+}
+_STRAT = with_views("scored_v", extra=_STRAT_EXTRA)
 
 
 def _strat(spark, sf_dir):
     s = scored_v(spark, sf_dir)
     tier = F.when(F.col("score") >= 0.5, "high").when(F.col("score") >= 0.25, "elevated").otherwise("low")
-    return SM.stratified_sample(s.select("flight_id", tier.alias("risk_tier"), "y"), ["risk_tier", "y"], 250, "flight_id", 7)
+    link = F.when(F.col("flight_id") % 3 == 0, 0).otherwise(1)
+    rows = s.select("flight_id", "score", tier.alias("risk_tier"), link.alias("has_inbound"))
+    return SM.stratified_sample(rows, ["risk_tier", "has_inbound"], 250, "flight_id", 7)
 
 
-@register("stratified_sample", _STRAT + "select * from strat")
+@register("stratified_sample", _STRAT + "select flight_id, risk_tier, has_inbound, pick from strat")
 def q_stratified_sample(spark, sf_dir):
-    return _strat(spark, sf_dir)
+    return _strat(spark, sf_dir).drop("score")
 
 
-@register("eval_set_cells", _STRAT + """select s.risk_tier, s.y, count(*) as n, round(avg(sc.score), 9) as mean_cal_prob
-from strat s join scored_v sc on sc.flight_id = s.flight_id group by s.risk_tier, s.y""")
+@register("eval_set_cells", _STRAT + """select risk_tier, has_inbound, count(*) as n, round(avg(score), 9) as mean_cal_prob
+from strat group by risk_tier, has_inbound""")
 def q_eval_set_cells(spark, sf_dir):
-    picked = _strat(spark, sf_dir)
-    rows = scored_v(spark, sf_dir).join(picked.select("flight_id", "risk_tier"), "flight_id", "inner")
-    return rows.groupBy("risk_tier", "y").agg(F.count(F.lit(1)).alias("n"),
-                                              F.round(F.avg("score"), ROUND).alias("mean_cal_prob"))
+    return _strat(spark, sf_dir).groupBy("risk_tier", "has_inbound").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), ROUND).alias("mean_cal_prob"))
+
+
+EVAL_COLS = ["flight_id", "FlightDate", "Origin", "Dest", "Reporting_Airline", "hour", "month", "dow", "snowfall_orig", "snowfall_dest",
+             "wind_gusts_10m_orig", "wind_gusts_10m_dest", "disrupted"]
+
+
+@register("frozen_eval_set", with_views("scored_v", "flights_v", extra={**_FL, **_STRAT_EXTRA}) + f"""
+select {', '.join('fl.' + c for c in EVAL_COLS)}, strat.score as cal_prob, strat.risk_tier, strat.has_inbound
+from strat join fl on fl.flight_id = strat.flight_id""")
+def q_frozen_eval_set(spark, sf_dir):
+    """The evaluation rows in full, with probability and tier, written once and read back."""
+    from contrail.sources.sinks import materialize
+    picked = _strat(spark, sf_dir).select("flight_id", F.col("score").alias("cal_prob"), "risk_tier", "has_inbound")
+    return materialize(flights_split(spark, sf_dir).select(*EVAL_COLS).join(picked, "flight_id"), "eval-set")
+
+
+@register("run_log", with_views("scored_v") + """select 'r1' as run, 'param' as kind, 'threshold' as "key", '0.25' as value
+union all select 'r1', 'tag', 'stage', 'fixture'
+union all select 'r1', 'metric', 'F1_at_rows', cast(cast(count(*) as double) as varchar) from scored_v
+union all select 'r2', 'metric', 'positives', cast(cast(sum(y) as double) as varchar) from scored_v""")
+def q_run_log(spark, sf_dir):
+    """Two runs appended to one log and read back."""
+    from contrail.sources.sinks import log_run, scratch_path
+    n, p = scored_v(spark, sf_dir).agg(F.count(F.lit(1)), F.sum("y")).first()
+    path = scratch_path(spark, "run-log")
+    log_run(spark, path, "r1", params={"threshold": 0.25}, metrics={"F1@rows": n}, tags={"stage": "fixture"})
+    log_run(spark, path, "r2", metrics={"positives": p})
+    return spark.read.parquet(path).drop("ts")
 
 
 @register("extreme_rows", with_views("scored_v") + """select

@@ -15,7 +15,7 @@ from contrail.operators import rates as R
 from contrail.plans.rates import labelled
 from contrail.registry import register
 from contrail.sources.fixtures import legs_v, raw_legs_v, weather_raw_v, with_views
-from contrail.sql_helpers import HOUR_SQL, ROUND, counts_sql, finish_sql, labelled_flights
+from contrail.sql_helpers import DOW_SQL, HOUR_SQL, MONTH_SQL, ROUND, counts_sql, finish_sql, labelled_flights
 
 INF = math.inf
 INBOUND_EDGES = [-INF, 0.0, 15.0, 30.0, 60.0, 120.0, INF]
@@ -24,7 +24,7 @@ DIAG_EDGES = [-0.001, 15.0, 30.0, 60.0, 120.0, INF]
 DIAG_LABELS = ["on-time 0-15", "15-30", "30-60", "60-120", "120+"]
 
 _VALID = "(Tail_Number is not null and trim(Tail_Number) <> '')"
-_LAG_CTE = with_views("legs_v", extra={
+_LAG = {
     "p": """select flight_id, Tail_Number, dep_hour_utc, disrupted,
   lag(ArrDelayMinutes) over w as pd0, lag(arr_hour_utc) over w as pa0
 from legs_v window w as (partition by Tail_Number order by dep_hour_utc asc nulls last, CRSDepTime asc nulls last, flight_id)""",
@@ -38,7 +38,8 @@ from legs_v window w as (partition by Tail_Number order by dep_hour_utc asc null
   case when linked then gap_h * 60 - least(pd, gap_h * 60) end as inbound_buffer_min,
   cast(linked and pd > gap_h * 60 as integer) as inbound_unlanded,
   case when linked then pd end as raw_inbound from c""",
-})
+}
+_LAG_CTE = with_views("legs_v", extra=_LAG)
 
 
 @register("inbound_gap", _LAG_CTE + "select flight_id, pd as prev_arr_delay, pa as prev_arr_hour, gap_h from g")
@@ -81,6 +82,27 @@ def q_build_features(spark, sf_dir):
     return built.select(*_OUT)
 
 
+SLICE = ["flight_id", "FlightDate", "Tail_Number", "Origin", "Dest", "Reporting_Airline", "hour", "month", "dow", "snowfall_orig", "snowfall_dest",
+         "wind_gusts_10m_orig", "wind_gusts_10m_dest", "temperature_2m_orig", *G.CASCADE_COLS, "disrupted"]
+
+
+@register("serving_slice_model", with_views("legs_v", "weather_v", extra=_LAG | {"j": f"""
+select l.*, {HOUR_SQL} as hour, {MONTH_SQL} as month, {DOW_SQL} as dow, o.snowfall as snowfall_orig, o.wind_gusts_10m as wind_gusts_10m_orig,
+  o.temperature_2m as temperature_2m_orig, d.snowfall as snowfall_dest, d.wind_gusts_10m as wind_gusts_10m_dest from legs_v l
+  left join weather_v o on o.airport = l.Origin and o.obs_time_utc = l.dep_hour_utc
+  left join weather_v d on d.airport = l.Dest and d.obs_time_utc = l.arr_hour_utc"""}) + f"""
+select {', '.join(f'cf.{c}' if c in G.CASCADE_COLS else f'j.{c}' for c in SLICE)} from j join cf on cf.flight_id = j.flight_id
+where cast(j.FlightDate as date) > date '2024-01-25' and cast(j.FlightDate as date) <= date '2024-01-30'""")
+def q_serving_slice_model(spark, sf_dir):
+    """The test days' legs with all columns that the model and the pages need, written and read back."""
+    from contrail.functions.clock import dow_of, month_of
+    from contrail.plans.time import leg_table
+    from contrail.sources.sinks import materialize
+    t = G.cascade_features(leg_table(spark, sf_dir)).withColumns({
+        "hour": local_hour("CRSDepTime"), "month": month_of("FlightDate"), "dow": dow_of("FlightDate")})
+    return materialize(t.where(F.col("FlightDate").between("2024-01-26", "2024-01-30")).select(*SLICE), "slice")
+
+
 @register("rate_by_inbound", _LAG_CTE + f""", t as (select disrupted,
   case when valid and pd is not null and gap_h >= 0 and gap_h <= 8 then {bucket_sql('pd', INBOUND_EDGES)} end as ord from g),
 k as ({counts_sql('t', ['ord'])}), r as ({finish_sql('k', ['ord'])})

@@ -15,6 +15,7 @@ from contrail.operators import curves as C
 from contrail.operators import legs as G
 from contrail.operators import models as M
 from contrail.operators.labels import date_split_label
+from contrail.operators.scalars import attach
 from contrail.plans.time import leg_table
 from contrail.registry import register
 from contrail.sources.fixtures import with_views
@@ -86,7 +87,7 @@ def q_gbt_score(spark, sf_dir):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    feats = M.CAT + M.NUM_W + M.CASCADE
+    feats = M.FEATURES + M.MISSING
     model, _, _ = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")
@@ -130,12 +131,55 @@ def q_ablation(spark, sf_dir):
                     F.try_divide(F.col("full") - F.col("nocas"), F.col("nocas")).alias("cascade_pct_over"))
 
 
+def _calibrated(spark, sf_dir):
+    """Trained model, its calibrator (fitted on validation scores), and the scored validation and test rows, each with the raw
+    and the calibrated score; train rows' share of positives last."""
+    m, tr, va, te = _splits(spark, sf_dir)
+    model = M.fit_gbt(tr, va, M.CAT, M.NUM_W + M.CASCADE)
+    scored = [reuse(M.margin(M.positive_probability(model.transform(part))).select(
+        "flight_id", "FlightDate", *M.FEATURES, "y", "features", "margin", "score")) for part in (va, te)]
+    iso = M.fit_isotonic(scored[0])
+    val, test = (iso.transform(x) for x in scored)
+    return model, iso, val, test, tr.agg(F.avg("y").alias("base_rate"))
+
+
 @register("isotonic_calibrate")
 def q_isotonic_calibrate(spark, sf_dir):
-    model, va, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
-    v = M.positive_probability(model.transform(va)).select("score", "y")
-    t = M.positive_probability(model.transform(te)).select("flight_id", "y", "score")
-    return M.isotonic(v, t)
+    _, _, _, test, _ = _calibrated(spark, sf_dir)
+    return test.select("flight_id", "y", "score", "cal_score")
+
+
+@register("model_calibration")
+def q_model_calibration(spark, sf_dir):
+    """Metrics and calibration error of the trained model's raw and calibrated test scores."""
+    _, _, _, test, _ = _calibrated(spark, sf_dir)
+    rows = reuse(test.select("y", "score", "cal_score"))
+    out = None
+    for name, col in (("raw", "score"), ("calibrated", "cal_score")):
+        one = attach(C.evaluate_scores(rows, col), C.expected_calibration_error(rows, col))
+        one = one.select(F.lit(name).alias("scores"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("model_operating_points")
+def q_model_operating_points(spark, sf_dir):
+    """Thresholds tuned on the validation rows' calibrated scores, and what they give on the test rows."""
+    _, _, val, test, _ = _calibrated(spark, sf_dir)
+    return C.operating_points(reuse(val.select("y", "cal_score")), reuse(test.select("y", "cal_score")), "cal_score")
+
+
+@register("explain_flights")
+def q_explain_flights(spark, sf_dir):
+    """From the trained model to records: calibrated probability, attributions of the raw model, selected drivers, text."""
+    from contrail.operators import explain as X
+    from contrail.operators import shap as SH
+    from contrail.sources.sinks import scratch_path
+    model, _, _, test, base = _calibrated(spark, sf_dir)
+    trees = SH.ensemble_trees(spark, model.stages[-1], scratch_path(spark, "gbt"))
+    values = SH.shap_values(test, trees, M.FEATURES + M.MISSING).select("flight_id", M.fold_missing("shap").alias("impacts"))
+    flights = test.select("flight_id", "FlightDate", *M.FEATURES, F.col("cal_score").alias("prob")).join(values, "flight_id")
+    return X.explanation_record(X.flight_drivers(flights, "impacts", M.FEATURES, M.CAT[:3]), base).select("flight_id", "record_json")
 
 
 _CODE_SQL = with_views("legs_v") + """, m as (select Origin, Dest, Reporting_Airline, cast(floor(CRSDepTime / 100) % 24 as integer) as hour,
@@ -175,11 +219,10 @@ def q_code_parity(spark, sf_dir):
 def _shap(spark, sf_dir):
     from contrail.operators import shap as SH
     from contrail.sources.sinks import scratch_path
-    feats = M.CAT + M.NUM_W + M.CASCADE
     model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
     trees = SH.ensemble_trees(spark, model.stages[-1], scratch_path(spark, "gbt"))
-    scored = M.margin(model.transform(te))
-    return SH, SH.shap_values(scored, trees, feats), feats
+    values = SH.shap_values(M.margin(model.transform(te)), trees, M.FEATURES + M.MISSING)
+    return SH, values.withColumn("shap", M.fold_missing("shap")), M.FEATURES
 
 
 @register("tree_shap")
@@ -202,16 +245,16 @@ def q_mean_abs_shap(spark, sf_dir):
 
 @register("bundle_roundtrip")
 def q_bundle_roundtrip(spark, sf_dir):
-    """Fit, save the pipeline plus config to the shared folder, load it back and score test rows;
-    ``same`` marks rows whose reloaded score equals the in-memory model's score."""
-    from contrail.sources.sinks import load_bundle, save_bundle, scratch_path
-    model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
+    """Fit, save the pipeline, the calibrator and the config to the shared folder, load them back and score the test rows;
+    ``same`` marks rows whose calibrated score equals that of the model in memory."""
+    from contrail.sources.sinks import load_bundle, load_calibrator, save_bundle, scratch_path
+    model, iso, _, test, base = _calibrated(spark, sf_dir)
     path = scratch_path(spark, "bundle")
     labels = {c: list(lab) for c, lab in zip(M.CAT, model.stages[0].labelsArray)}
-    save_bundle(model, {"features": M.CAT + M.NUM_W + M.CASCADE, "cat_features": M.CAT, "threshold": 0.25,
-                        "cat_categories": labels}, path)
+    save_bundle(model, {"features": M.FEATURES, "cat_features": M.CAT, "threshold": 0.25, "cat_categories": labels,
+                        "base_rate": base.first()[0]}, path, iso)
     loaded, cfg = load_bundle(spark, path)
-    a = M.positive_probability(model.transform(te)).select("flight_id", F.col("score").alias("score_mem"))
-    b = M.positive_probability(loaded.transform(te)).select("flight_id", "y", "score")
-    return (b.join(a, "flight_id").withColumn("same", F.col("score") == F.col("score_mem"))
-             .withColumn("n_features", F.lit(len(cfg["features"]))).drop("score_mem"))
+    rows = test.select("flight_id", "y", *M.FEATURES, F.col("cal_score").alias("in_memory"))
+    again = load_calibrator(path).transform(M.positive_probability(loaded.transform(rows)))
+    return again.select("flight_id", "y", "score", "cal_score", (F.col("cal_score") == F.col("in_memory")).alias("same"),
+                        F.lit(len(cfg["features"])).alias("n_features"), F.lit(cfg["base_rate"]).alias("base_rate"))

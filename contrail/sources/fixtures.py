@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.dims import airport_dim, airport_dim_sql
+from contrail.operators.models import FEATURES
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -131,11 +132,8 @@ def scored_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.floor(raw.cast("double") / 10007) / 1000).alias("score"))
 
 
-# model feature order used by the attribution fixture (16 features)
-MODEL_FEATURES = ["Origin", "Dest", "Reporting_Airline", "hour", "month", "dow",
-                  "snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest",
-                  "temperature_2m_orig", "has_inbound", "inbound_gap_h", "inbound_delay_obs",
-                  "inbound_buffer_min", "inbound_unlanded"]
+# feature order of the attribution fixture: the model's
+MODEL_FEATURES = FEATURES
 
 
 def attributions_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import json
 import uuid
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,13 +68,19 @@ def log_run(spark: SparkSession, path: str, run: str, params: dict | None = None
     return df
 
 
-def save_bundle(model: PipelineModel, config: dict, path: str) -> None:
-    """Fitted pipeline (stages carry their category label arrays) plus a one-row JSON config."""
+def save_bundle(model: PipelineModel, config: dict, path: str, calibrator: IsotonicRegressionModel | None = None) -> None:
+    """Fitted pipeline (stages carry their category label arrays), a one-row JSON config, and the calibrator if given."""
+    if calibrator is not None:
+        calibrator.write().overwrite().save(f"{path}/calibrator")
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
 
+def load_calibrator(path: str) -> IsotonicRegressionModel:
+    return IsotonicRegressionModel.load(f"{path}/calibrator")
+
+
 def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     model = PipelineModel.load(f"{path}/model")
     cfg = spark.read.json(f"{path}/config").select(F.col("config")).first()[0]
