@@ -14,7 +14,6 @@ task that wrote them reads and which vanish with it, like the spill files of a s
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ FAR = 1 << 30
 
 
 class BucketQueue:
-    """Priority queue for few symbols: entries of a symbol leave in order of arrival, a block at a time."""
+    """Priority queue for few symbols: entries of a symbol leave in order of arrival."""
 
     def __init__(self, room: int):
         self.room, self.held = room, 0
@@ -49,65 +48,57 @@ class BucketQueue:
         self.held = 0
 
     def pop(self, symbol: int) -> np.ndarray | None:
-        """The next block of this symbol: places and prefixes."""
-        blocks = self.blocks.get(symbol)
+        """The next entries of this symbol, ``room`` of them or a little more: places and prefixes."""
+        blocks = self.blocks.pop(symbol, None)
         if not blocks:
-            self.blocks.pop(symbol, None)
             return None
-        b = blocks.pop(0)
-        if isinstance(b, tuple):
-            self.file.seek(b[0])
-            return np.frombuffer(self.file.read(16 * b[1]), np.int64).reshape(2, b[1])
-        self.held -= b.shape[1]
-        return b
+        out, size = [], 0
+        while blocks and size < self.room:
+            b = blocks.pop(0)
+            if isinstance(b, tuple):
+                self.file.seek(b[0])
+                b = np.frombuffer(self.file.read(16 * b[1]), np.int64).reshape(2, b[1])
+            else:
+                self.held -= b.shape[1]
+            out.append(b)
+            size += b.shape[1]
+        if blocks:
+            self.blocks[symbol] = blocks
+        return out[0] if len(out) == 1 else np.concatenate(out, 1)
 
 
-class RunQueue:
-    """Priority queue for many symbols: a heap of integers (symbol, arrival, place), with sorted runs on disk."""
+class NameQueue:
+    """Priority queue for many symbols, counted from 0: the places of a symbol leave in order of arrival."""
 
-    def __init__(self, room: int):
-        self.room, self.heap, self.runs, self.arrivals = room, [], [], 0
+    def __init__(self, symbols: int, room: int):
+        self.room, self.held = room, 0
+        self.places: list[list[int] | None] = [None] * symbols
+        self.runs: dict[int, list[tuple[int, int]]] = {}  # symbol -> (offset, entries) of its sorted runs in the file
+        self.file = None
 
-    def push(self, symbol: int, place: int) -> None:
-        self.arrivals += 1
-        heapq.heappush(self.heap, (symbol << 40 | self.arrivals) << 40 | place)
-        if len(self.heap) > self.room:
-            self._spill()
+    def spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(0, 2)
+        for symbol, places in enumerate(self.places):
+            if places:
+                self.runs.setdefault(symbol, []).append((self.file.tell(), len(places)))
+                self.file.write(np.array(places, np.int64).tobytes())
+                self.places[symbol] = None
+        self.held = 0
 
-    def _spill(self) -> None:
-        self.heap.sort()
-        keep = len(self.heap) // 2
-        file = tempfile.TemporaryFile()
-        for e in self.heap[keep:]:
-            file.write(e.to_bytes(16, "big"))
-        del self.heap[keep:]
-        file.seek(0)
-        run = self._read(file)
-        heapq.heappush(self.runs, (next(run), len(self.runs), run))
-
-    @staticmethod
-    def _read(file) -> Iterator[int]:
-        while data := file.read(16 << 12):
-            for k in range(0, len(data), 16):
-                yield int.from_bytes(data[k:k + 16], "big")
-
-    def least(self) -> int | None:
-        """Symbol of the first entry."""
-        found = [x for x in (self.heap[0] if self.heap else None, self.runs[0][0] if self.runs else None) if x is not None]
-        return min(found) >> 80 if found else None
-
-    def pop(self) -> int:
-        """Place of the first entry."""
-        if self.runs and (not self.heap or self.runs[0][0] < self.heap[0]):
-            entry, k, run = self.runs[0]
-            following = next(run, None)
-            if following is None:
-                heapq.heappop(self.runs)
-            else:
-                heapq.heapreplace(self.runs, (following, k, run))
-        else:
-            entry = heapq.heappop(self.heap)
-        return entry & ((1 << 40) - 1)
+    def pop(self, symbol: int) -> list[int]:
+        """The places that have arrived since the last call."""
+        out = []
+        for offset, n in self.runs.pop(symbol, ()):
+            self.file.seek(offset)
+            out += np.frombuffer(self.file.read(8 * n), np.int64).tolist()
+        late = self.places[symbol]
+        if late:
+            self.places[symbol] = None
+            self.held -= len(late)
+            out += late
+        return out
 
 
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
@@ -122,20 +113,37 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return kind
 
 
+def _named(t: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Rank of each substring among the distinct ones. A substring that goes on where another ends is the smaller one
+    there, hence a mark above all symbols at the end. The first symbols are compared as one integer, the rest of long
+    substrings byte by byte."""
+    mark = int(t.max()) + 1
+    bits = int(mark + 1).bit_length()
+    first = max(1, 63 // bits)
+    padded = np.r_[t.astype(np.int64), np.full(first, 0)]
+    sizes = stops - starts
+    key = np.zeros(len(starts), np.int64)
+    for k in range(first):
+        key = key << bits | np.where(k < sizes, padded[starts + np.minimum(k, sizes)] + 1, np.where(k == sizes, mark + 1, 0))
+    ranks = np.unique(key, return_inverse=True)[1]
+    long = np.flatnonzero(sizes >= first)
+    if not len(long):
+        return ranks
+    data = (t.astype(">u4") + 1).astype(">u4").tobytes()
+    pieces = [data[4 * a:4 * b] + b"\xff\xff\xff\xff" for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+    names = {p: n + 1 for n, p in enumerate(sorted(set(pieces)))}
+    rest = np.zeros(len(starts), np.int64)
+    rest[long] = np.fromiter(map(names.__getitem__, pieces), np.int64, len(pieces))
+    return np.unique(ranks * (len(names) + 1) + rest, return_inverse=True)[1]
+
+
 def sort_lms(t: np.ndarray, kind: np.ndarray, room: int) -> np.ndarray:
     """Places of the LMS suffixes of ``t``, sorted."""
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     if len(lms) < 2:
         return lms
-    wide = t.astype(">u4") if t.dtype.itemsize > 1 else t
-    data, size = wide.tobytes(), wide.dtype.itemsize
-    # a substring that goes on where another ends is the smaller one there, hence the high mark at its end
-    mark = b"\xff" * size
-    stops = np.r_[lms[1:], len(t) - 1] + 1
-    pieces = [data[a * size:b * size] + mark for a, b in zip(lms.tolist(), stops.tolist(), strict=True)]
-    names = {p: k for k, p in enumerate(sorted(set(pieces)))}
-    string = np.fromiter(map(names.__getitem__, pieces), np.int64, len(pieces))
-    if len(names) == len(lms):
+    string = _named(t, lms, np.r_[lms[1:], len(t) - 1] + 1)
+    if string.max() + 1 == len(lms):
         return lms[np.argsort(string)]
     return lms[sort_suffixes(string, room)]
 
@@ -145,32 +153,48 @@ def sort_suffixes(t: np.ndarray, room: int) -> np.ndarray:
     n = len(t)
     kind = smaller_than_next(t)
     seeds = sort_lms(t, kind, room).tolist()
-    names, smaller = t.tolist(), kind.tolist()
+    names = t.tolist()
+    symbols = max(names) + 1
 
-    def induce(seeds: list[int], sign: int, want: bool) -> list[int]:
+    def induce(seeds: list[int], order: range, want: bool) -> list[int]:
         """Suffixes of kind ``want`` in popping order. Seeds come in order; of one symbol the induced ones go first."""
-        queue, out, at = RunQueue(room), [], 0
-        top = 0 if sign > 0 else max(names)  # symbols count down from the largest on the way back
-        while True:
-            symbol = queue.least()
-            key = abs(names[seeds[at]] - top) if at < len(seeds) else None
-            if symbol is None and key is None:
-                return out
-            if symbol is not None and (key is None or symbol <= key):
-                i = queue.pop()
-                out.append(i)
-            else:
+        follows = np.zeros(n, bool)
+        follows[1:] = kind[:-1] == want  # whether a suffix induces the one before it
+        induces = follows.tolist()
+        queue, out, at, last = NameQueue(symbols, room), [], 0, len(seeds)
+        places = queue.places
+        for symbol in order:
+            while got := queue.pop(symbol):
+                out += got
+                for i in got:
+                    if induces[i]:
+                        c = names[i - 1]
+                        if places[c] is None:
+                            places[c] = [i - 1]
+                        else:
+                            places[c].append(i - 1)
+                        queue.held += 1
+                if queue.held > room:
+                    queue.spill()
+            while at < last and names[seeds[at]] == symbol:
                 i = seeds[at]
                 at += 1
-            if i and smaller[i - 1] == want:
-                queue.push(abs(names[i - 1] - top), i - 1)
-    large = induce(seeds, 1, False)
-    small = [n - 1] + induce(large[::-1], -1, True)[::-1]  # nothing induces the last suffix
+                if induces[i]:
+                    c = names[i - 1]
+                    if places[c] is None:
+                        places[c] = [i - 1]
+                    else:
+                        places[c].append(i - 1)
+                    queue.held += 1
+            if queue.held > room:
+                queue.spill()
+        return out
+    large = induce(seeds, range(symbols), False)
+    small = [n - 1] + induce(large[::-1], range(symbols - 1, -1, -1), True)[::-1]  # nothing induces the last suffix
     # within a symbol the suffixes larger than the next come first
-    both = sorted([(names[i], 0, k, i) for k, i in enumerate(large)] + [(names[i], 1, k, i) for k, i in enumerate(small)])
-    if len(both) < n:
-        raise RuntimeError("suffixes were lost")
-    return np.fromiter((x[3] for x in both), np.int64, n)
+    both = np.array(large + small, np.int64)
+    rank = 2 * t[both] + (np.arange(n) >= len(large))
+    return both[np.argsort(rank, kind="stable")]
 
 
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -207,7 +231,9 @@ def _induce(t: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray, kind: np.nda
             pushed = np.zeros(len(since), bool)
             for a, b in _runs(symbol):
                 c, who = int(symbol[a]), at[a:b]
-                least = np.minimum.reduceat(value[:who[-1] + 1], np.r_[0, who[:-1] + 1])
+                firsts = np.zeros(len(who), np.int64)
+                firsts[1:] = who[:-1] + 1
+                least = np.minimum.reduceat(value[:who[-1] + 1], firsts)
                 least[0] = min(least[0], since[c])
                 since[c] = value[who[-1] + 1:].min() if who[-1] + 1 < len(value) else FAR
                 pushed[c] = True
@@ -232,7 +258,7 @@ def _induce(t: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray, kind: np.nda
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     if len(x):
-        cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]).tolist()
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
         yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 

@@ -28,11 +28,12 @@ from contrail.llm.induced import suffix_array
 from contrail.sources.sinks import materialize
 
 GRAM = 20
-#: Bytes of texts that are hashed at a time; places in a block take 24 bits.
-ROOM = 1 << 20
+#: Bytes of texts that are hashed at a time, few enough for the arrays to stay in a processor's cache; places in a
+#: block take 24 bits.
+ROOM = 1 << 16
 LOW = np.uint64((1 << 24) - 1)
 #: Bytes of segments in a shard, about.
-SHARD = 1 << 20
+SHARD = 1 << 21
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
