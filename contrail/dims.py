@@ -1,77 +1,68 @@
 """Airport dimension: 40 rows, broadcast wherever it is joined (its size is fixed).
 
-FIXED VALUES: airport index, IATA code, IANA time zone, latitude, longitude. These must equal
+FIXED VALUES: airport index, IATA code, IANA time zone. These must equal
 the source data's airport set and zone rules for local-to-UTC conversion to be right.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-# --- fixed values (index, code, zone, lat, lon), in index order -------------------------------
+# --- fixed values (index, code, zone), in index order -------------------------------
 AIRPORTS = [
-    (0, "ATL", "America/New_York", 33.6407, -84.4277),
-    (1, "DFW", "America/Chicago", 32.8998, -97.0403),
-    (2, "DEN", "America/Denver", 39.8561, -104.6737),
-    (3, "ORD", "America/Chicago", 41.9742, -87.9073),
-    (4, "LAX", "America/Los_Angeles", 33.9416, -118.4085),
-    (5, "CLT", "America/New_York", 35.2140, -80.9431),
-    (6, "MCO", "America/New_York", 28.4312, -81.3081),
-    (7, "LAS", "America/Los_Angeles", 36.0840, -115.1537),
-    (8, "PHX", "America/Phoenix", 33.4352, -112.0101),
-    (9, "MIA", "America/New_York", 25.7959, -80.2870),
-    (10, "SEA", "America/Los_Angeles", 47.4502, -122.3088),
-    (11, "IAH", "America/Chicago", 29.9902, -95.3368),
-    (12, "JFK", "America/New_York", 40.6413, -73.7781),
-    (13, "EWR", "America/New_York", 40.6895, -74.1745),
-    (14, "FLL", "America/New_York", 26.0742, -80.1506),
-    (15, "MSP", "America/Chicago", 44.8848, -93.2223),
-    (16, "SFO", "America/Los_Angeles", 37.6213, -122.3790),
-    (17, "DTW", "America/Detroit", 42.2162, -83.3554),
-    (18, "BOS", "America/New_York", 42.3656, -71.0096),
-    (19, "SLC", "America/Denver", 40.7899, -111.9791),
-    (20, "PHL", "America/New_York", 39.8744, -75.2424),
-    (21, "BWI", "America/New_York", 39.1774, -76.6684),
-    (22, "TPA", "America/New_York", 27.9772, -82.5311),
-    (23, "SAN", "America/Los_Angeles", 32.7338, -117.1933),
-    (24, "LGA", "America/New_York", 40.7769, -73.8740),
-    (25, "MDW", "America/Chicago", 41.7868, -87.7522),
-    (26, "BNA", "America/Chicago", 36.1263, -86.6774),
-    (27, "IAD", "America/New_York", 38.9531, -77.4565),
-    (28, "DCA", "America/New_York", 38.8512, -77.0402),
-    (29, "AUS", "America/Chicago", 30.1945, -97.6699),
-    (30, "HNL", "Pacific/Honolulu", 21.3187, -157.9224),
-    (31, "DAL", "America/Chicago", 32.8471, -96.8518),
-    (32, "PDX", "America/Los_Angeles", 45.5898, -122.5951),
-    (33, "STL", "America/Chicago", 38.7500, -90.3700),
-    (34, "RDU", "America/New_York", 35.8801, -78.7880),
-    (35, "HOU", "America/Chicago", 29.6454, -95.2789),
-    (36, "SMF", "America/Los_Angeles", 38.6951, -121.5908),
-    (37, "MSY", "America/Chicago", 29.9934, -90.2580),
-    (38, "SJC", "America/Los_Angeles", 37.3639, -121.9289),
-    (39, "SNA", "America/Los_Angeles", 33.6762, -117.8675),
+    (0, "ATL", "America/New_York"),
+    (1, "DFW", "America/Chicago"),
+    (2, "DEN", "America/Denver"),
+    (3, "ORD", "America/Chicago"),
+    (4, "LAX", "America/Los_Angeles"),
+    (5, "CLT", "America/New_York"),
+    (6, "MCO", "America/New_York"),
+    (7, "LAS", "America/Los_Angeles"),
+    (8, "PHX", "America/Phoenix"),
+    (9, "MIA", "America/New_York"),
+    (10, "SEA", "America/Los_Angeles"),
+    (11, "IAH", "America/Chicago"),
+    (12, "JFK", "America/New_York"),
+    (13, "EWR", "America/New_York"),
+    (14, "FLL", "America/New_York"),
+    (15, "MSP", "America/Chicago"),
+    (16, "SFO", "America/Los_Angeles"),
+    (17, "DTW", "America/Detroit"),
+    (18, "BOS", "America/New_York"),
+    (19, "SLC", "America/Denver"),
+    (20, "PHL", "America/New_York"),
+    (21, "BWI", "America/New_York"),
+    (22, "TPA", "America/New_York"),
+    (23, "SAN", "America/Los_Angeles"),
+    (24, "LGA", "America/New_York"),
+    (25, "MDW", "America/Chicago"),
+    (26, "BNA", "America/Chicago"),
+    (27, "IAD", "America/New_York"),
+    (28, "DCA", "America/New_York"),
+    (29, "AUS", "America/Chicago"),
+    (30, "HNL", "Pacific/Honolulu"),
+    (31, "DAL", "America/Chicago"),
+    (32, "PDX", "America/Los_Angeles"),
+    (33, "STL", "America/Chicago"),
+    (34, "RDU", "America/New_York"),
+    (35, "HOU", "America/Chicago"),
+    (36, "SMF", "America/Los_Angeles"),
+    (37, "MSY", "America/Chicago"),
+    (38, "SJC", "America/Los_Angeles"),
+    (39, "SNA", "America/Los_Angeles"),
 ]
 # --- end of fixed values ----------------------------------------------------------------------
 
-AIRPORT_SCHEMA = T.StructType([
-    T.StructField("idx", T.IntegerType(), False),
-    T.StructField("code", T.StringType(), False),
-    T.StructField("zone", T.StringType(), False),
-    T.StructField("lat", T.DoubleType(), False),
-    T.StructField("lon", T.DoubleType(), False),
-])
-
 AIRPORT_CODES = [a[1] for a in AIRPORTS]
 
 
 def airport_dim(spark: SparkSession) -> DataFrame:
     """The 40-row dimension as an inline table (a JVM-side LocalTableScan, broadcast when joined)."""
-    rows = ",".join(f"({i}, '{c}', '{z}', cast({la!r} as double), cast({lo!r} as double))" for i, c, z, la, lo in AIRPORTS)
-    return spark.sql(f"select * from values {rows} as t(idx, code, zone, lat, lon)")
+    rows = ",".join(f"({i}, '{c}', '{z}')" for i, c, z in AIRPORTS)
+    return spark.sql(f"select * from values {rows} as t(idx, code, zone)")
 
 
 def airport_dim_sql() -> str:
     """Same rows as a VALUES list, for SQL oracles (index, code, zone only)."""
-    rows = ",".join(f"({i},'{c}','{z}')" for i, c, z, _, _ in AIRPORTS)
+    rows = ",".join(f"({i},'{c}','{z}')" for i, c, z in AIRPORTS)
     return f"select * from (values {rows}) t(idx, code, zone)"

@@ -279,9 +279,9 @@ def highlight_terms(narrated: DataFrame) -> DataFrame:
     key_terms = F.create_map(*[x for k, v in KEY_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
     def terms_of(d):
-        f, v = d["feature"], d["value"]
+        f, v = d["feature"], d["value"].cast("string")
         fixed = F.coalesce(F.element_at(key_terms, f), F.array().cast("array<string>"))
-        vn = v.cast("double").cast("int")
+        vn = v.try_cast("double").cast("int")
         extra = (F.when(f == "hour", _hour_terms(vn))
                   .when(f == "month", F.array(F.element_at(F.array(*map(F.lit, MONTHS)), vn)))
                   .when(f == "dow", F.array(F.element_at(F.array(*map(F.lit, DAYS)), vn + 1)))

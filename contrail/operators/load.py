@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contrail.functions.buckets import bucket_label, bucket_ord
 from contrail.operators.rates import finish_rates
 
+# FIXED VALUES: bin edges and labels of the load table
 LOAD_EDGES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 LOAD_LABELS = ["quietest 20%", "20-40%", "40-60%", "60-80%", "busiest 20%"]
 

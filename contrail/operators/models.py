@@ -18,6 +18,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# FIXED VALUES: model features, in order
 CAT = ["Origin", "Dest", "Reporting_Airline", "hour", "month", "dow"]
 NUM_W = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest", "temperature_2m_orig"]
 CASCADE = ["has_inbound", "inbound_gap_h", "inbound_delay_obs", "inbound_buffer_min", "inbound_unlanded"]

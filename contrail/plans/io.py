@@ -95,7 +95,7 @@ def q_weather_json_explode(spark, sf_dir):
           "select count(*) as rows, count(distinct airport) as airports from weather_raw_v")
 def q_weather_union_summary(spark, sf_dir):
     w = weather_raw_v(spark, sf_dir)
-    zone = F.create_map(*[F.lit(x) for _, c, z, _, _ in AIRPORTS for x in (c, z)])
+    zone = F.create_map(*[F.lit(x) for _, c, z in AIRPORTS for x in (c, z)])
     root = SK.scratch_path(spark, "weather")  # one folder per zone, written and read in one scan each
     w.withColumn("zone", zone[F.col("airport")]).write.partitionBy("zone").parquet(root)
     return FS.union_summary(spark.read.parquet(root))

@@ -18,6 +18,7 @@ from contrail.sources.fixtures import legs_v, raw_legs_v, weather_raw_v, with_vi
 from contrail.sql_helpers import DOW_SQL, HOUR_SQL, MONTH_SQL, ROUND, counts_sql, finish_sql, labelled_flights
 
 INF = math.inf
+# FIXED VALUES: bin edges and labels of the inbound tables
 INBOUND_EDGES = [-INF, 0.0, 15.0, 30.0, 60.0, 120.0, INF]
 INBOUND_LABELS = ["on-time (0)", "1-15", "15-30", "30-60", "60-120", "120+"]
 DIAG_EDGES = [-0.001, 15.0, 30.0, 60.0, 120.0, INF]

@@ -17,6 +17,7 @@ from contrail.sql_helpers import (DOW_SQL, HOUR_SQL, KEEP_SQL, MONTH_SQL, ROUND,
                                   counts_sql, finish_sql, labelled_flights)
 
 INF = math.inf
+# FIXED VALUES: bin edges and labels of the rate tables
 SNOW_EDGES = [-0.01, 0.0, 0.5, 1.0, 2.0, 4.0, INF]
 SNOW_LABELS = ["0 (none)", "0-0.5", "0.5-1", "1-2", "2-4", "4+"]
 SNOW2_EDGES = [-0.01, 0.0, 0.5, 1.0, 2.0, INF]
