@@ -5,8 +5,11 @@ the shingles, the second, shifted by k along the ring, orders them for coordinat
 cut into bands. Documents with one shingle set are one class, and only class representatives are banded.
 
 Inside a bucket members are first paired with a centre, so the pairs grow with the rows and not with
-the square of a bucket. Verified pairs join components. Whatever pairs of a bucket are still in different
-components after the star rounds are then verified one by one, so no link found by the bands is lost.
+the square of a bucket. Verified pairs join components. In buckets that still hold different components after the
+star rounds, every member is compared with one pivot, which leaves a bit mask of the pivot's shingles that it holds.
+Two members share at most the bits common to their masks and the smaller of their numbers of shingles outside
+the pivot. Pairs of different components for which this bound reaches the similarity are verified on their full
+sets; all others cannot be links, so no link found by the bands is lost.
 
 With b bands of r rows a pair at similarity s shares no bucket with probability (1 - s^r)^b: 7e-6 at
 0.75 for the default 44 x 5, and less above.
@@ -142,6 +145,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _masks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(rep, pivot, inside, mask)`` for ``pairs(rep, pivot)``: how many of the pivot's shingles a set holds, and which."""
+    kind = pairs.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside, masks = [], []
+            for own, other in zip(batch.column("s"), batch.column("p"), strict=True):
+                own, other = (np.asarray(x.values).view(np.uint64) for x in (own, other))
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                held = own[at] == other
+                bits = np.packbits(np.r_[held, np.zeros(-len(held) % 64, bool)])
+                inside.append(int(held.sum()))
+                masks.append(bits.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("pivot"), pa.array(inside, pa.int64()),
+                                              pa.array(masks, pa.list_(pa.int64()))], names=["rep", "pivot", "inside", "mask"])
+    left = sets.select(F.col("doc_id").alias("rep"), "s")
+    right = sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("p"))
+    return pairs.join(left, "rep").join(right, "pivot").select("rep", "pivot", "s", "p").mapInArrow(
+        run, f"rep {kind}, pivot {kind}, inside bigint, mask array<bigint>")
+
+
+def _bounded_pairs(now: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and different labels of ``now(key, rep, n, label)`` whose bound reaches the similarity.
+
+    A bucket's pivot is the member with the most links found so far: the nearer to the middle of a group of near
+    copies, the tighter the bound.
+    """
+    if links is not None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+        now = now.join(degree, "rep", "left")
+    else:
+        now = now.withColumn("count", F.lit(0))
+    now = materialize(now.withColumn("count", F.coalesce("count", F.lit(0))), "minhash-ranked")
+    pivots = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
+                                    F.max_by("rep", F.struct("count", F.xxhash64("rep"))).alias("pivot")).where("x <> y").select("key", "pivot")
+    rows = materialize(now.join(pivots, "key").select("key", "rep", "n", "label", "pivot"), "minhash-pivots")
+    masks = materialize(_masks(rows.select("rep", "pivot").distinct(), sets), "minhash-masks")
+    rows = materialize(rows.join(masks, ["rep", "pivot"]).drop("pivot"), "minhash-masked")
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", "inside", "mask")]) for x in "ab")
+    shared = F.aggregate(F.zip_with("mask_a", "mask_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, v: t + v)
+    bound = shared + F.least(F.col("n_a") - F.col("inside_a"), F.col("n_b") - F.col("inside_b"))
+    can = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bound * 100 >= (F.col("n_a") + F.col("n_b") - bound) * percent)
+    return left.join(right, (left.key == right.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & can
+                     ).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75,
                     bands: int = 44, rows: int = 5, star_rounds: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: one row for each row of ``docs``.
@@ -184,11 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = now.join(open_keys, "key").where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n")))
             pairs = found.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
         else:
-            left = now.join(open_keys.select("key"), "key", "left_semi").select("key", F.col("rep").alias("a"),
-                                                                              F.col("n").alias("na"), F.col("label").alias("la"))
-            right = now.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                                  & fits(F.col("na"), F.col("nb"))).select("a", "b")
+            pairs = _bounded_pairs(now.join(open_keys.select("key"), "key", "left_semi"), links, sets, percent)
         pairs = pairs.distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "minhash-pairs")
         if pairs.isEmpty():
