@@ -183,12 +183,14 @@ def _bounded_pairs(now: DataFrame, links: DataFrame | None, sets: DataFrame, per
                                     F.max_by("rep", F.struct("count", F.xxhash64("rep"))).alias("pivot")).where("x <> y").select("key", "pivot")
     rows = materialize(now.join(pivots, "key").select("key", "rep", "n", "label", "pivot"), "minhash-pivots")
     masks = materialize(_masks(rows.select("rep", "pivot").distinct(), sets), "minhash-masks")
-    rows = materialize(rows.join(masks, ["rep", "pivot"]).drop("pivot"), "minhash-masked")
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", "inside", "mask")]) for x in "ab")
+    keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # one for each band at most
+    rows = materialize(rows.join(masks, ["rep", "pivot"]).drop("pivot").join(keys, "rep"), "minhash-masked")
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", "inside", "mask", "keys")]) for x in "ab")
     shared = F.aggregate(F.zip_with("mask_a", "mask_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, v: t + v)
     bound = shared + F.least(F.col("n_a") - F.col("inside_a"), F.col("n_b") - F.col("inside_b"))
     can = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bound * 100 >= (F.col("n_a") + F.col("n_b") - bound) * percent)
-    return left.join(right, (left.key == right.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & can
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == left.key  # a pair is made in the first bucket that it shares
+    return left.join(right, (left.key == right.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & can & once
                      ).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
