@@ -203,8 +203,17 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
         latent = np.stack([index.project[[lookup[x] for x in w]].sum(0) for w in items])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
-        def confirmed(words: list[bytes], first: int, i: int) -> float | None:
+        kinds = [set(w) for w in items]
+        longest = max(map(len, items))
+
+        def confirmed(words: list[bytes], first: int, i: int, about: set[bytes]) -> float | None:
+            """``about``: the words near the window, at least. The item's words that are not among them bound the subsequence
+            from above, so most candidates need no comparison."""
             size = len(items[i])
+            most = size - len(kinds[i] - about)
+            answered = len(rare[i] & about) >= answer_share * len(rare[i])
+            if most < full_share * size and not (answered and most >= part_share * size):
+                return None
             near = words[max(0, first - size):first + 2 * stride + size]
             share = lcs_length(masks[i], size, near) / size
             if share >= full_share:
@@ -236,11 +245,15 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
             owner = np.repeat(np.arange(len(group)), counts)
             for lo in range(0, len(items), 4096):
                 cos = whole @ latent[lo:lo + 4096].T
-                for b, i in zip(*np.nonzero(cos >= min_cosine), strict=True):
+                window, about = -1, set()
+                for b, i in zip(*(x.tolist() for x in np.nonzero(cos >= min_cosine)), strict=True):
                     d, words = group[owner[b]]
-                    share = confirmed(words, int(b - base[owner[b]]) * stride, int(i) + lo)
-                    if share is not None and (share, float(cos[b, i])) > best.get((d, int(i) + lo), (0.0, 0.0)):
-                        best[(d, int(i) + lo)] = (share, float(cos[b, i]))
+                    first = int(b - base[owner[b]]) * stride
+                    if b != window:
+                        window, about = b, set(words[max(0, first - longest):first + 2 * stride + longest])
+                    share = confirmed(words, first, i + lo, about)
+                    if share is not None and (share, float(cos[b, i])) > best.get((d, i + lo), (0.0, 0.0)):
+                        best[(d, i + lo)] = (share, float(cos[b, i]))
 
         for batch in batches:
             best: dict[tuple[int, int], tuple[float, float]] = {}
