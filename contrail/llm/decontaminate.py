@@ -6,6 +6,10 @@ texts) are projected into it, and a cosine search against all benchmark passages
 candidate is confirmed by its longest common word subsequence with the item, or, for paraphrases, by a shorter one
 together with the item's answer terms (its rarest words).
 
+What the latent space of fixed ``rank`` places below the cosine has an exact way beside it: runs of three words (``_grams``)
+that a passage shares with a text. A passage of which ``full_share`` stands in a text with no words put in between is
+always a candidate, whatever its cosine.
+
 Bounds: the projection has at most ``features`` rows of ``rank`` numbers; benchmark passages are compared in blocks of
 ``block`` passages, each block in a pass of its own, so nothing that is sent to the tasks grows with either table.
 """
@@ -187,6 +191,78 @@ def build_index(passages: DataFrame, features: int, rank: int) -> Index:
     return Index(features, feats, v * weights[:, None] if len(feats) else v, idf)
 
 
+def _keys(row: np.ndarray, q: int, base: int) -> np.ndarray:
+    """One number for each run of ``q`` rows of the projection; -1 if a word has no row."""
+    n = max(len(row) - q + 1, 0)
+    key, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(q):
+        key = key * base + row[k:k + n]
+        known &= row[k:k + n] >= 0
+    return np.where(known, key, -1)
+
+
+def _grams(rows: list[np.ndarray], full_share: float, base: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Word runs of the passages: how many of its own a passage needs, and for each length of run the keys, rising, the
+    places where their passages start, and the passages.
+
+    A word that is replaced or dropped breaks at most ``q`` runs of ``q`` words, so a passage of n words that keeps n - m of them
+    keeps n - q + 1 - q m runs. ``q`` is 3, or less where that leaves no run. Passages of one or two words have no runs here:
+    any text may hold them.
+    """
+    need, length = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for i, row in enumerate(rows):
+        missing = int(len(row) * (1 - full_share) + 1e-9)
+        for q in (3, 2, 1):
+            if len(row) > 2 and (left := len(row) - q + 1 - q * missing) > 0:
+                need[i], length[i] = left, q
+                break
+    out = []
+    for q in np.unique(length[length > 0]).tolist():
+        of = np.flatnonzero(length == q)
+        keys = [np.unique(_keys(rows[i], q, base)) for i in of]
+        owner, keys = np.repeat(of, [len(k) for k in keys]), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        kinds, heads = np.unique(keys[order], return_index=True)
+        out.append((q, kinds, np.r_[heads, len(keys)], owner[order]))
+    return need, out
+
+
+def _shared_runs(row: np.ndarray, owner: np.ndarray, blocks: np.ndarray, doc: np.ndarray, grams: tuple, base: int, some: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and passages where a block and the two after it hold as many runs of the passage as it needs.
+
+    ``owner`` and ``blocks`` are the document and the block of each word, ``doc`` is the document of each block. Hits are summed by
+    block and passage for about ``some`` at a time.
+    """
+    need, lengths = grams
+    code, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for q, kinds, heads, passages in lengths:
+        key = _keys(row, q, base)
+        at = np.flatnonzero((key >= 0) & (owner[:len(key)] == owner[q - 1:]))
+        k = np.minimum(np.searchsorted(kinds, key[at]), len(kinds) - 1)
+        met = kinds[k] == key[at]
+        at, k = at[met], k[met]
+        each = heads[k + 1] - heads[k]
+        sums = np.cumsum(each)
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(sums // some)) + 1):
+            if len(part):
+                n = each[part]
+                place = np.repeat(heads[k[part]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                c, m = np.unique(np.repeat(blocks[at[part]], n) * len(need) + passages[place], return_counts=True)
+                code.append(c)
+                count.append(m)
+    code, back = np.unique(np.concatenate(code), return_inverse=True)
+    if not len(code):
+        return code, code
+    count = np.bincount(back, np.concatenate(count)).astype(np.int64)
+    block, passage = code // len(need), code % len(need)
+    total = count.copy()
+    for k in (1, 2):
+        later = np.minimum(np.searchsorted(code, code + k * len(need)), len(code) - 1)
+        total += np.where((code[later] == code + k * len(need)) & (doc[block[later]] == doc[block]), count[later], 0)
+    good = total >= need[passage]
+    return block[good], passage[good]
+
+
 def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine: float, full_share: float, part_share: float,
             answer_share: float, answers: int) -> DataFrame:
     """``(doc_id, item, cosine, lcs_share)``: the confirmed best candidate of each document and item of a block."""
@@ -203,22 +279,24 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
         latent = np.stack([index.project[[lookup[x] for x in w]].sum(0) for w in items])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
+        base_row = len(index.feats) + 1
+        grams = _grams([np.array([lookup[x] for x in w], np.int64) for w in items], full_share, base_row)
         kinds = [set(w) for w in items]
         longest = max(map(len, items))
 
-        def confirmed(words: list[bytes], first: int, i: int, about: set[bytes]) -> float | None:
+        def confirmed(words: list[bytes], first: int, i: int, about: set[bytes], near_cosine: bool = True) -> float | None:
             """``about``: the words near the window, at least. The item's words that are not among them bound the subsequence
-            from above, so most candidates need no comparison."""
+            from above, so most candidates need no comparison. Without ``near_cosine`` a paraphrase is none."""
             size = len(items[i])
             most = size - len(kinds[i] - about)
-            answered = len(rare[i] & about) >= answer_share * len(rare[i])
+            answered = near_cosine and len(rare[i] & about) >= answer_share * len(rare[i])
             if most < full_share * size and not (answered and most >= part_share * size):
                 return None
             near = words[max(0, first - size):first + 2 * stride + size]
             share = lcs_length(masks[i], size, near) / size
             if share >= full_share:
                 return share
-            if share >= part_share and len(rare[i].intersection(near)) >= answer_share * len(rare[i]):
+            if near_cosine and share >= part_share and len(rare[i].intersection(near)) >= answer_share * len(rare[i]):
                 return share
             return None
 
@@ -230,9 +308,11 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
             blocks = blocks + np.repeat(base[:-1], [len(w) for _, w in group])
             row = np.concatenate([np.fromiter(map(lookup.__getitem__, w), np.int64, len(w)) for _, w in group])
             known = row >= 0
-            row, blocks = row[known], blocks[known]
-            if not len(row):
+            if not known.any():
                 return
+            owner = np.repeat(np.arange(len(group)), counts)
+            runs = _shared_runs(row, owner[blocks], blocks, owner, grams, base_row)
+            row, blocks = row[known], blocks[known]
             heads = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
             sums = np.zeros((base[-1], index.project.shape[1]), np.float32)
             sums[blocks[heads]] = np.add.reduceat(index.project[row], heads)
@@ -242,18 +322,28 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
             whole[inner] += sums[inner + 1]
             norm = np.linalg.norm(whole, axis=1)
             whole /= np.maximum(norm, 1e-12)[:, None]
-            owner = np.repeat(np.arange(len(group)), counts)
-            for lo in range(0, len(items), 4096):
-                cos = whole @ latent[lo:lo + 4096].T
+
+            def confirm(found: tuple[np.ndarray, np.ndarray], cosines: np.ndarray, near_cosine: bool) -> None:
+                """Candidates: windows and passages, with their cosines."""
                 window, about = -1, set()
-                for b, i in zip(*(x.tolist() for x in np.nonzero(cos >= min_cosine)), strict=True):
+                for b, i, cos in zip(*(x.tolist() for x in (*found, cosines)), strict=True):
                     d, words = group[owner[b]]
                     first = int(b - base[owner[b]]) * stride
                     if b != window:
                         window, about = b, set(words[max(0, first - longest):first + 2 * stride + longest])
-                    share = confirmed(words, first, i + lo, about)
-                    if share is not None and (share, float(cos[b, i])) > best.get((d, i + lo), (0.0, 0.0)):
-                        best[(d, i + lo)] = (share, float(cos[b, i]))
+                    share = confirmed(words, first, i, about, near_cosine)
+                    if share is not None and (share, cos) > best.get((d, i), (0.0, -1.0)):
+                        best[(d, i)] = (share, cos)
+
+            for lo in range(0, len(items), 4096):
+                cos = whole @ latent[lo:lo + 4096].T
+                b, i = np.nonzero(cos >= min_cosine)
+                confirm((b, i + lo), cos[b, i], True)
+            for lo in range(0, len(runs[0]), 4096):
+                b, i = runs[0][lo:lo + 4096], runs[1][lo:lo + 4096]
+                cos = np.einsum("ij,ij->i", whole[b], latent[i])
+                far = cos < min_cosine
+                confirm((b[far], i[far]), cos[far], False)
 
         for batch in batches:
             best: dict[tuple[int, int], tuple[float, float]] = {}
@@ -284,6 +374,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     A window of 2 x ``stride`` words whose cosine with a benchmark passage reaches ``min_cosine`` is a candidate. It is
     a leak if ``full_share`` of the passage's words stand in it in order, or ``part_share`` of them with
     ``answer_share`` of the passage's ``answers`` rarest words. Items longer than a window count by their passages.
+    A window below ``min_cosine`` that shares enough word runs with a passage of three words or more is a leak by ``full_share`` alone.
 
     Null, empty and word-less texts on either side leak nothing. Null ids are kept as they are; rows that repeat an id
     and an item give one row. Empty tables give an empty result. Other columns are not read.

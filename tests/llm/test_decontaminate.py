@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from contrail.llm.decontaminate import build_index, decontaminate, item_passages, lcs_length, leaks, places, terms
+from contrail.llm.decontaminate import _grams, _shared_runs, build_index, decontaminate, item_passages, lcs_length, leaks, places, terms
 from tests.conftest import SF_MID
 
 
@@ -73,3 +73,40 @@ def test_edges(spark):
     assert got == {(1, False), (2, False), (3, True), (None, False), (4, False)}
     assert leaks(docs.limit(0), items).collect() == [] and leaks(docs, items.limit(0)).collect() == []
     assert {r.contaminated for r in decontaminate(docs, items.limit(0)).collect()} == {False}
+
+
+def test_shared_runs_against_counting():
+    r = random.Random(7)
+    rows = [np.array([r.randrange(12) for _ in range(n)]) for n in (1, 2, 3, 4, 5, 5, 6, 9, 10, 20, 64)]
+    need, lengths = _grams(rows, 0.8, 13)
+    assert need.tolist() == [0, 0, 1, 2, 2, 2, 1, 4, 2, 6, 26]
+    docs = [np.array([r.choice([-1, *range(12)]) for _ in range(300)]) for _ in range(3)]
+    docs[0][35:55] = rows[9]
+    docs[1][290:295] = rows[4]
+    docs[2][60:100] = rows[10][:40]
+    blocks = np.concatenate([np.arange(300) // 32 + 10 * k for k in range(3)])
+    doc = np.repeat(np.arange(3), 10)
+    found = set(zip(*(x.tolist() for x in _shared_runs(np.concatenate(docs), doc[blocks], blocks, doc, (need, lengths), 13, some=5)), strict=True))
+    want = set()
+    for i, row in enumerate(rows):
+        q = 0 if len(row) < 3 else 2 if len(row) == 5 else 3
+        kinds = {tuple(row[k:k + q].tolist()) for k in range(len(row) - q + 1)} if q else set()
+        for d, text in enumerate(docs):
+            hits = [k // 32 for k in range(300 - q + 1) if tuple(text[k:k + q].tolist()) in kinds]
+            want |= {(d * 10 + b, i) for b in set(hits) if sum(b <= h <= b + 2 for h in hits) >= need[i]}
+    assert found == want and {(1, 9), (19, 4), (21, 10)} <= found
+
+
+def test_verbatim_passages_below_the_cosine(spark):
+    r = random.Random(11)
+    items = [(k, " ".join("w%d" % int(r.paretovariate(0.6)) for _ in range(r.randrange(6, 20)))) for k in range(600)]
+    changed = (lambda t, n: " ".join("changed" if k == n // 2 else x for k, x in enumerate(t)))
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w = ["w%d" % int(r.paretovariate(0.6)) for _ in range(150)]
+        at = r.randrange(len(w) + 1)
+        w[at:at] = (changed(t.split(), len(t.split())) if k % 2 else t).split()
+        docs.append((k, " ".join(w)))
+    got = leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), rank=16).collect()
+    assert {k for k, _ in items} <= {x.doc_id for x in got if x.doc_id == x.item_id}
+    assert any(x.cosine < 0.45 for x in got)
