@@ -10,6 +10,10 @@ class, held by its smallest document; all later holders of a class lose it whole
 Where an anchor has several classes, one segment of each goes to a shard chosen by the anchor, so that all equal windows
 meet. The shard's segments are concatenated and their suffixes sorted (``induced.py``); neighbours whose common
 prefix reaches ``length`` are equal windows, and the smallest document of such a run decides for the others.
+
+An anchor whose classes would fill more than a part of a shard (a passage that many documents hold between different
+neighbours has such anchors at its edges) goes to no shard: its windows are hashed, their smallest documents come from
+a sum by hash that is combined before the shuffle, and meet the windows again in a join, frequent ones by broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,10 @@ ROOM = 1 << 16
 LOW = np.uint64((1 << 24) - 1)
 #: Bytes of segments in a shard, about.
 SHARD = 1 << 21
+#: The segments of an anchor take this part of a shard at most.
+PART = 4
+#: Windows that stand more often than this are joined by broadcast; there are at most the rows divided by it.
+MANY = 10_000
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -122,25 +131,43 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"a bigint, c bigint, doc_id {kind}, th bigint, first int, n smallint")
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """``(a, doc_id, th, first, segment)`` for the wanted places of ``docs(doc_id, th, text, want)``."""
+def _cut(docs: DataFrame, length: int) -> DataFrame:
+    """``(a, doc_id, th, first, segment, hot)`` for the wanted places of ``docs(doc_id, th, text, want)``. For a hot anchor there is
+    a row for each window, with its hash in place of the segment."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for k, (value, want) in enumerate(zip(part.column("text"), part.column("want"), strict=True)):
                     text = value.as_py().encode("utf-8", "surrogatepass")
                     for w in want.as_py():
-                        for column, x in zip(out, (k, w["a"], w["first"], text[w["first"]:w["first"] + w["size"]]), strict=True):
-                            column.append(x)
+                        if w["hot"]:
+                            found = [(i, xxhash.xxh3_128_digest(text[i:i + length])) for i in range(w["first"], w["first"] + w["size"] - length + 1)]
+                        else:
+                            found = [(w["first"], text[w["first"]:w["first"] + w["size"]])]
+                        for first, segment in found:
+                            for column, x in zip(out, (k, w["a"], first, segment, w["hot"]), strict=True):
+                                column.append(x)
                 who = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), part.column("doc_id").take(who), part.column("th").take(who),
-                                                  pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
-                                                 names=["a", "doc_id", "th", "first", "segment"])
-    return docs.select("doc_id", "th", "text", "want").mapInArrow(run, f"a bigint, doc_id {kind}, th bigint, first int, segment binary")
+                                                  pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.bool_())],
+                                                 names=["a", "doc_id", "th", "first", "segment", "hot"])
+    return docs.select("doc_id", "th", "text", "want").mapInArrow(
+        run, f"a bigint, doc_id {kind}, th bigint, first int, segment binary, hot boolean")
+
+
+def _hot_spans(windows: DataFrame, length: int, many: int = MANY) -> DataFrame:
+    """``(doc_id, th, start, stop)``: the windows of ``windows(doc_id, th, first, segment)`` that a smaller document holds too."""
+    least = materialize(windows.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+                        .where("least < most").drop("most"), "hot-windows")
+    often = F.broadcast(least.where(F.col("n") > many).select("segment", "least"))
+    marked = windows.join(often, "segment", "left")
+    rare = marked.where("least is null").drop("least").join(least.where(F.col("n") <= many).drop("n"), "segment")
+    return marked.where("least is not null").unionByName(rare).where("least < doc_id").select(
+        "doc_id", "th", F.col("first").alias("start"), (F.col("first") + length).alias("stop"))
 
 
 def earlier_windows(parts: list[bytes], order: np.ndarray, length: int, room: int = 4_000_000) -> list[np.ndarray]:
@@ -243,11 +270,19 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size = (F.col("n") + (length - 1)).cast("int")
     hits = materialize(hits.select("a", "doc_id", "th", "first", size.alias("size"), "several", "holder"), "anchors")
 
-    want = materialize(hits.where("several and doc_id = holder").groupBy("doc_id", "th").agg(
-        F.collect_list(F.struct("a", "first", "size")).alias("want"), F.sum("size").alias("bytes")), "wanted")
+    held = hits.where("several and doc_id = holder")
+    hot = materialize(held.groupBy("a").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > shard // PART), "hot-anchors")
+    some_hot = hot.count() > 0
+    held = held.join(F.broadcast(hot.select("a", F.lit(True).alias("hot"))), "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    want = materialize(held.groupBy("doc_id", "th").agg(
+        F.collect_list(F.struct("a", "first", "size", "hot")).alias("want"), F.sum(F.when(F.col("hot"), 0).otherwise(F.col("size"))).alias("bytes")), "wanted")
     total = want.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    cut = _cut(docs.join(want.drop("bytes"), ["doc_id", "th"])).repartition(max(1, -(-total // shard)), "a")
-    spans = materialize(_sorted_shards(cut, length), "sorted-shards")
+    cut = _cut(docs.join(want.drop("bytes"), ["doc_id", "th"]), length)
+    if some_hot:  # both kinds of rows are read
+        cut = materialize(cut, "cut")
+    spans = materialize(_sorted_shards(cut.where("not hot").drop("hot").repartition(max(1, -(-total // shard)), "a"), length), "sorted-shards")
+    if some_hot:
+        spans = spans.union(_hot_spans(cut.where("hot"), length))
 
     whole = hits.where("doc_id > holder").select("doc_id", "th", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
     per_doc = whole.union(spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(

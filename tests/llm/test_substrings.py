@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from contrail.llm import substrings
 from contrail.llm.induced import suffix_array
 from contrail.llm.substrings import substring_duplicates
 from tests.conftest import SF_SMALL
@@ -81,3 +82,30 @@ def test_long_texts_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [(x.doc_id, x.n_removed) for x in substring_duplicates(df).orderBy("doc_id").collect()] == [(1, 0), (2, 200)]
     assert substring_duplicates(df.limit(0)).collect() == []
+
+
+def test_hot_anchor_is_split(spark, monkeypatch):
+    """A passage that all documents hold between different neighbours fills no shard, and all windows are still compared."""
+    r = random.Random(6)
+    letters = (lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)))
+    passage, edges = letters(200), [letters(25) for _ in range(15)]
+    rows = [(d, letters(30) + r.choice([*edges, letters(25)]) + passage + r.choice([*edges, letters(25)]) + letters(30)) for d in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    largest, plain = [], substrings._sorted_shards
+
+    def seen(cut, length):
+        sizes = cut.groupBy(substrings.F.spark_partition_id()).agg(substrings.F.sum(substrings.F.octet_length("segment"))).collect()
+        largest.append(max((x[1] for x in sizes), default=0))
+        return plain(cut, length)
+    monkeypatch.setattr(substrings, "_sorted_shards", seen)
+    want = brute(rows)
+    assert rows_of(substring_duplicates(df, shard=5_000)) == want
+    assert largest[0] <= 2 * 5_000
+    hot = [(d, i, b[i:i + 50]) for d, b in ((d, t.encode()) for d, t in rows[:200]) for i in range(0, 250, 9)]
+    first = {}
+    for d, _, w in hot:
+        first[w] = min(d, first.get(w, d))
+    windows = spark.createDataFrame([(d, 0, i, bytearray(w)) for d, i, w in hot], "doc_id long, th long, first int, segment binary")
+    for many in (0, 3):
+        got = {(x.doc_id, x.start) for x in substrings._hot_spans(windows, 50, many).collect()}
+        assert got == {(d, i) for d, i, w in hot if first[w] < d} and got
