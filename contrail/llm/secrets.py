@@ -84,14 +84,9 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     return parts.withColumn("paired", partner).where(strong | F.col("paired")).select("doc_id", "h", "kind", "start", "end")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_weak)``: one row for each row of ``docs``.
-
-    A span is ``kind:start:end`` in code points, end exclusive; ``spans`` joins all of them by start, then kind, with
-    commas, and ``base_sha256`` is the hash of the same string of the strong spans alone. Null and empty texts have
-    no spans. Rows that repeat an id (or have none) are told apart by their text. Other columns are not read.
-    """
-    docs = id_text(docs, id_col, text_col)
+def _found(docs: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, h, text)`` for each row of ``docs(doc_id, text)``, and the spans of each different ``(doc_id, h)`` that has any; ``h`` is the
+    hash of the text."""
     any_kind = F.lit(False)
     for _, _, pattern, _, _ in KINDS:
         any_kind = any_kind | F.col("text").rlike(pattern)
@@ -106,10 +101,20 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rea
     def joined(what: Column) -> Column:
         return F.array_join(F.transform(F.sort_array(F.collect_list(what)), lambda x: x["span"]), ",")
     item = F.struct("start", "kind", "span")
-    found = spans.groupBy("doc_id", "h").agg(
+    return scanned, spans.groupBy("doc_id", "h").agg(
         *[F.count(F.when(F.col("kind") == no, 1)).alias(f"n_{k[0]}") for no, k in enumerate(STRONG)],
         F.count(F.when(F.col("kind") >= len(STRONG), 1)).alias("n_weak"),
         joined(F.when(F.col("kind") < len(STRONG), item)).alias("base"), joined(item).alias("spans"))
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_weak)``: one row for each row of ``docs``.
+
+    A span is ``kind:start:end`` in code points, end exclusive; ``spans`` joins all of them by start, then kind, with
+    commas, and ``base_sha256`` is the hash of the same string of the strong spans alone. Null and empty texts have
+    no spans. Rows that repeat an id (or have none) are told apart by their text. Other columns are not read.
+    """
+    scanned, found = _found(id_text(docs, id_col, text_col), reach)
     rows = scanned.select(F.col("doc_id").alias("id"), F.col("h").alias("th"))
     out = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("h")), "left")
     zero = (lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c))
@@ -118,25 +123,27 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rea
                       F.coalesce("spans", F.lit("")).alias("spans"), zero("n_weak"))
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span replaced by ``<kind>``, all columns kept.
 
     Spans that overlap or touch are replaced together, under the first one's kind. Texts without a span, and null
-    ones, are unchanged. Done by cutting each text at its spans: no Python.
+    ones, are unchanged. Rows that repeat an id (or have none) are told apart by their text. Done by cutting each text at
+    its spans: no Python.
     """
-    found = secrets(docs, id_col, text_col, **options).where("spans <> ''").select(
-        F.col("doc_id").alias("__id"), "spans").dropDuplicates(["__id", "spans"])
+    _, found = _found(id_text(docs, id_col, text_col), reach)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "spans")
     piece = F.split(F.col("s"), ":")
-    spans = found.select("__id", "spans", F.explode(F.split("spans", ",")).alias("s")).select(
-        "__id", "spans", piece[0].alias("kind"), piece[1].cast("long").alias("start"), piece[2].cast("long").alias("end"))
-    before = Window.partitionBy("__id", "spans").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    run = Window.partitionBy("__id", "spans").orderBy("start", "end")
+    spans = found.select("__id", "__h", F.explode(F.split("spans", ",")).alias("s")).select(
+        "__id", "__h", piece[0].alias("kind"), piece[1].cast("long").alias("start"), piece[2].cast("long").alias("end"))
+    before = Window.partitionBy("__id", "__h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("__id", "__h").orderBy("start", "end")
     spans = spans.withColumn("new", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)).withColumn("run", F.sum("new").over(run))
-    spans = spans.groupBy("__id", "spans", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+    spans = spans.groupBy("__id", "__h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
                                                       F.min_by("kind", F.struct("start", "end")).alias("kind"))
-    spans = spans.groupBy("__id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__cuts"))
+    spans = spans.groupBy("__id", "__h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__h"))
+    out = docs.join(spans, same, "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cuts", lambda c: c["end"]))
     pieces = F.transform(F.arrays_zip(F.slice(ends, 1, F.size("__cuts")).alias("from"), F.col("__cuts").alias("cut")), lambda z: F.concat(
         F.substring(F.col(f"`{text_col}`"), (z["from"] + 1).cast("int"), (z["cut"]["start"] - z["from"]).cast("int")),

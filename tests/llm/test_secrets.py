@@ -66,3 +66,11 @@ def test_masked(spark):
     got = masked(df)
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} == {(1, "é <assign>, and <hex>!", 5), (2, "clean", 6), (3, None, 7)}
+
+
+def test_masked_null_and_repeated_ids(spark):
+    rows = [(None, "token=abcdefgh x"), (None, "no secret"), (None, "ab token=abcdefgh"), (3, "token=abcdefgh"), (3, "token=abcdefgh"),
+            (3, "one two three token=abcdefgh end"), (3, "clean text that is long enough to be cut"), (3, None)]
+    got = [tuple(r) for r in masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(d, t and t.replace("token=abcdefgh", "<assign>")) for d, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
