@@ -9,7 +9,8 @@ The common prefix of two neighbours in a queue is one more than the least value
 them. Values are kept up to ``cap``.
 
 Queues hold ``room`` entries in memory; beyond that they write sorted runs to unnamed temporary files, which only the
-task that wrote them reads and which vanish with it, like the spill files of a sort.
+task that wrote them reads and which vanish with it, like the spill files of a sort. The text, the names and the sorted
+places stay in memory, so callers bound a sort by the size of its text.
 """
 
 from __future__ import annotations

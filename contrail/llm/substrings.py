@@ -1,4 +1,4 @@
-"""Exact substring duplicates across documents by external induced sorting of suffixes.
+"""Exact substring duplicates across documents by induced sorting of suffixes, in shards that are sorted in memory.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
