@@ -95,3 +95,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.substrings import substring_duplicates
     return substring_duplicates(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.turn_repair import conversation_repairs
+    return conversation_repairs(table(spark, sf_dir, "conversations"))
