@@ -101,3 +101,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.turn_repair import conversation_repairs
     return conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.alignment import tokenizer_alignment
+    return tokenizer_alignment(table(spark, sf_dir, "documents"))
