@@ -70,7 +70,7 @@ def test_empty_table_and_other_columns(spark):
 
 def test_very_long_texts(spark):
     r = random.Random(1)
-    rows = [(1, " ".join("".join(r.choices("abcdefg", k=r.randrange(1, 9))) for _ in range(150_000))), (2, " " * 1_500_000 + "x"), (3, "ab" * 300_000)]
+    rows = [(1, " ".join("".join(r.choices("abcdefg", k=r.randrange(1, 9))) for _ in range(150_000))), (2, " " * 3_000_000 + "x"), (3, "ab" * 300_000)]
     found = {x.doc_id: x for x in A.tokenizer_alignment(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     t, sp = libraries()
     for d, text in rows:
