@@ -107,3 +107,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contrail.llm.alignment import tokenizer_alignment
     return tokenizer_alignment(table(spark, sf_dir, "documents"))
+
+
+@register("op12_embedding_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contrail.llm.rp_forest import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
