@@ -266,11 +266,12 @@ def _shared_runs(row: np.ndarray, owner: np.ndarray, blocks: np.ndarray, doc: np
 def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine: float, full_share: float, part_share: float,
             answer_share: float, answers: int) -> DataFrame:
     """``(doc_id, item, cosine, lcs_share)``: the confirmed best candidate of each document and item of a block."""
-    shared = docs.sparkSession.sparkContext.broadcast((index, [(i, [bytes(w) for w in r.words]) for i, r in enumerate(block)]))
+    shared = docs.sparkSession.sparkContext.broadcast(((index.features, index.feats, index.project, index.idf), [(i, [bytes(w) for w in r.words]) for i, r in enumerate(block)]))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, block = shared.value
+        plain, block = shared.value
+        index = Index(*plain)
         lookup = Features(index.features, index.feats)
         hashed = Features(index.features)
         items = [w for _, w in block]

@@ -150,10 +150,10 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     first by name wins. Null ids and repeated rows are predicted like any row. Other columns are not read.
     """
     docs = id_text(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.classes, model.table, model.roots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = LanguageModel(*shared.value)
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             pred, score = [], []

@@ -35,6 +35,10 @@ class Vocabulary:
         if max(map(len, self.ranks)) > 255:
             raise ValueError("the model has pieces of over 255 characters")
 
+    def plain(self) -> tuple[list[str], list[float], list[int]]:
+        """What makes the vocabulary, as plain data: a broadcast of it can be read where this package is not installed."""
+        return self.pieces, self.scores, self.byte_ids
+
     @property
     def line_end_splits(self) -> bool:
         """Whether a line end is a token of its own wherever it stands."""

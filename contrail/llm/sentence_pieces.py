@@ -279,10 +279,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null and empty texts have no ids. Null ids and repeated rows are encoded like any row. Other columns are not read.
     """
     docs = id_text(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             for first, texts in _portions(batch, "text", 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)),
@@ -294,10 +294,10 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     """``(doc_id, text)``: the text of each row's ids; null ids give an empty text. U+2581 comes back as a space, and
     bytes that are no UTF-8 as U+FFFD."""
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    shared = rows.sparkSession.sparkContext.broadcast(load(model))
+    shared = rows.sparkSession.sparkContext.broadcast(load(model).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Vocabulary(*shared.value))
         for batch in batches:
             texts = [decoder(x.as_py() or []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -311,10 +311,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``with_ids`` only the digests leave the tasks; with it there is a column ``ids``. Null texts count as empty ones.
     """
     docs = id_text(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        vocabulary = Vocabulary(*shared.value)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         sha = (lambda b: hashlib.sha256(b).hexdigest())
         for batch in batches:
             for first, texts in _portions(batch, "text", 2_000_000):

@@ -62,12 +62,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted like any row. Other columns are not read.
     """
     docs = id_text(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(shared.value)
-        words = Counts(shared.value, SPACE)
-        splits = shared.value.line_end_splits
+        vocabulary = Vocabulary(*shared.value)
+        counts = Counts(vocabulary)
+        words = Counts(vocabulary, SPACE)
+        splits = vocabulary.line_end_splits
         for batch in batches:
             n = [count(t.as_py(), counts, words, splits) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())],

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,7 +78,6 @@ def _closure() -> Cells:
 EMPTY = _closure()
 
 
-@lru_cache(None)
 def terminal(symbol: str) -> Cells:
     """Cells of one row. Symbols: the role's initial (``x`` if it fits nowhere), as a capital if the row is truncated,
     or ``D`` if it has to go."""
@@ -99,23 +97,34 @@ def terminal(symbol: str) -> Cells:
 
 RULES = [x for x in RULES if all(terminal("s")[i] is not None or terminal("u")[i] is not None or terminal("a")[i] is not None
                                  or EMPTY[i] is not None for i in x[1:])]
+TERMINALS = {c: terminal(c) for c in "suaxSUAXD"}
 BLOCK = 8
 
 
-@lru_cache(1 << 15)
-def _block(symbols: str) -> Cells:
-    return _pairs([terminal(c) for c in symbols])
-
-
 def _pairs(level: list[Cells]) -> Cells:
     while len(level) > 1:
         level = [combine(*level[i:i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0] if level else EMPTY
 
 
-def parse(symbols: str) -> Cells:
-    """Cells of a whole sequence of rows; spans of up to ``BLOCK`` rows are remembered by their symbols."""
-    return _pairs([_block(symbols[i:i + BLOCK]) for i in range(0, len(symbols), BLOCK)])
+class Spans(dict):
+    """Cells of short spans by their symbols; emptied when it holds ``most``."""
+
+    def __init__(self, most: int = 20_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, symbols: str) -> Cells:
+        if len(self) >= self.most:
+            self.clear()
+        cells = self[symbols] = _pairs([TERMINALS[c] for c in symbols])
+        return cells
+
+
+def parse(symbols: str, known: Spans | None = None) -> Cells:
+    """Cells of a whole sequence of rows; those of its spans of ``BLOCK`` rows are taken from ``known``, and kept there."""
+    known = Spans() if known is None else known
+    return _pairs([known[symbols[i:i + BLOCK]] for i in range(0, len(symbols), BLOCK)])
 
 
 def cheapest(cells: Cells) -> tuple[int, str]:
@@ -182,16 +191,16 @@ def _pieces(rows: DataFrame) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "seq", "cells", *PIECE, "first", "last"]
 
-    def write(piece: dict) -> pa.RecordBatch:
-        cells = [None if x is None else {"cost": x[0], "audit": x[1]} for x in parse("".join(piece.pop("symbols")))]
+    def write(piece: dict, known: Spans) -> dict:
+        cells = [None if x is None else {"cost": x[0], "audit": x[1]} for x in parse("".join(piece.pop("symbols")), known)]
         return piece | {"cells": cells}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, piece, last = [], None, None
+        done, piece, last, known = [], None, None, Spans()
         for opens, r in _runs(batches):
             if opens or r["seq"] != last + 1:  # another conversation, or another part of the table
                 if piece:
-                    done.append(write(piece))
+                    done.append(write(piece, known))
                     if len(done) == 1000:
                         yield pa.RecordBatch.from_pylist(done, schema)
                         done = []
@@ -200,7 +209,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
             last = r["seq"]
             add(piece, r)
         if piece:
-            done.append(write(piece))
+            done.append(write(piece, known))
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
 
