@@ -222,7 +222,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 500_000):
         self.lattice, self.splits = Lattice(vocabulary), vocabulary.line_end_splits
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers, an eighth of the room of a list of them
         self.most, self.longest, self.room = most, longest, room
 
     def __call__(self, texts: list[str]) -> Iterator[list[int]]:
@@ -231,21 +231,18 @@ class Encoder:
             self.known.clear()
         cut = [list(chunks(t, self.splits)) if t else [] for t in texts]
         fresh = {c for cs in cut for c in cs}.difference(self.known)
-        once: dict[str, list[int]] = {}
+        once: dict[str, bytes] = {}
         portion, size = [], 0
         for c in [*sorted(fresh), None]:
             if portion and (c is None or size + len(c) > self.room):
                 for p, ids in zip(portion, self.lattice.encode(portion), strict=True):
-                    (self.known if len(p) <= self.longest else once)[p] = ids.tolist()
+                    (self.known if len(p) <= self.longest else once)[p] = ids.tobytes()
                 portion, size = [], 0
             if c is not None:
                 portion.append(c)
                 size += len(c) + 1
         for cs in cut:
-            ids: list[int] = []
-            for c in cs:
-                ids += self.known[c] if len(c) <= self.longest else once[c]
-            yield ids
+            yield np.frombuffer(b"".join([self.known[c] if len(c) <= self.longest else once[c] for c in cs]), np.int32).tolist()
 
 
 class Decoder:
@@ -284,7 +281,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
-            for first, texts in _portions(batch, "text", 2_000_000):
+            for first, texts in _portions(batch, "text", 1_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)),
                                                   pa.array(list(encoder(texts)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -318,13 +315,13 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         sha = (lambda b: hashlib.sha256(b).hexdigest())
         for batch in batches:
-            for first, texts in _portions(batch, "text", 2_000_000):
+            for first, texts in _portions(batch, "text", 1_000_000):
                 out: tuple[list, ...] = ([], [], [], [])
                 kept = []
                 for text, ids in zip(texts, encoder(texts), strict=True):
                     back = decoder(ids)
                     if with_ids:
-                        kept.append(ids)
+                        kept.append(np.array(ids, np.int32))
                     for column, value in zip(out, (len(ids), sha(",".join(map(str, ids)).encode()), sha(back.encode()), back == text), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
