@@ -2,7 +2,7 @@
 
 The base rules look at one text: its words, signs, repeated lines, and words in repeated three-word windows. The
 method looks across documents: the normalised lines of all of them are hashed, the documents of each host that
-hold a line are counted, lines above the host's limit are removed, and documents that lose more than half of
+hold a line are counted, lines above the limit are removed, and documents that lose more than a fifth of
 their distinct lines' characters are rejected.
 
 Line rows carry two hashes and a count, are summed before they are shuffled, and meet the documents again only if
@@ -21,10 +21,10 @@ from contrail.sources.sinks import materialize
 SYMBOLS = "#*$%&|<>"
 #: In normalised lines every run of ASCII other than lower-case letters and line ends is one space.
 PLAIN = r"[^\na-z\x{80}-\x{10FFFF}]+"
-#: A line is removed from a host's documents if more of them hold it than this number and this share of them.
-MIN_DOCS, MIN_SHARE = 50, 0.01
+#: A line is removed from a host's documents if more of them than this hold it, whatever the size of the host.
+MIN_DOCS = 2
 #: A document is depleted if more than this share of its distinct lines' characters is removed.
-DEPLETED = 0.5
+DEPLETED = 0.2
 
 
 def _lazily(df: DataFrame, **cols: Column) -> DataFrame:
@@ -62,7 +62,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, depleted: float = DEPLETED) -> DataFrame:
+                 min_docs: int = MIN_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_share)``.
 
     One row for each row of ``docs``. A null text has no words; a null host is a host of its own. Rows without an id
@@ -78,10 +78,9 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.withColumn("cut", F.expr("transform(cut, l -> named_struct('line', xxhash64(l), 'size', length(l)))"))
     scanned = materialize(df, "line-quality")
 
-    hosts = scanned.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     rows = scanned.select("host", F.explode("cut.line").alias("line"))
     often = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holds")).where(F.col("holds") > min_docs)
-    above = materialize(often.join(hosts, "host").where(F.col("holds") > F.col("docs") * min_share).select("host", "line"), "line-limits")
+    above = materialize(often.select("host", "line"), "line-limits")
     lost = scanned.select("doc_id", "host", "th", F.explode("cut").alias("c")).select("doc_id", "host", "th", "c.line", "c.size").join(
         above, ["host", "line"], "left_semi").dropDuplicates(["doc_id", "host", "th", "line"])
     lost = lost.groupBy("doc_id", "host", "th").agg(F.sum("size").alias("lost")).select(
@@ -107,9 +106,7 @@ def line_quality_sql() -> str:
   lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')) as ls from d),
   cut as (select distinct doc_id, source, l from (select doc_id, source, trim(unnest(string_split(regexp_replace(lower(text), '{PLAIN}', ' ', 'g'), chr(10)))) as l
     from d) where l <> ''),
-  hosts as (select source, count(*) as docs from d group by source),
-  above as (select c.source, l from cut c join hosts h on c.source is not distinct from h.source group by c.source, l, docs
-    having count(*) > {MIN_DOCS} and count(*) > docs * {MIN_SHARE}),
+  above as (select source, l from cut group by source, l having count(*) > {MIN_DOCS}),
   shares as (select c.doc_id, sum(case when a.l is null then 0 else length(c.l) end) / sum(length(c.l)) as share
     from cut c left join above a on c.source is not distinct from a.source and c.l = a.l group by c.doc_id),
   base as (select d.doc_id, len(words) as n_words, length(regexp_replace(text, '{space}', '', 'g')) as word_chars,

@@ -12,8 +12,8 @@ from contrail.llm.line_quality import line_quality, line_quality_sql
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_docs=50, min_share=0.01, depleted=0.5):
-    lines, hosts = {}, Counter(h for _, _, h in rows)
+def brute(rows, min_docs=2, depleted=0.2):
+    lines = {}
     for k, (d, t, h) in enumerate(rows):
         plain = re.sub(r"[^\na-z\x80-\U0010ffff]+", " ", (t or "").lower())
         lines[k] = {x.strip(" ") for x in plain.split("\n")} - {""}
@@ -27,7 +27,7 @@ def brute(rows, min_docs=50, min_share=0.01, depleted=0.5):
         covered = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(3)}
         raw = [x for x in (t or "").split("\n") if WORD.search(x)]
         total = sum(map(len, lines[k]))
-        share = sum(len(x) for x in lines[k] if holds[h, x] > max(min_docs, min_share * hosts[h])) / total if total else 0.0
+        share = sum(len(x) for x in lines[k] if holds[h, x] > min_docs) / total if total else 0.0
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(raw) - len(set(raw)), len(covered),
                     failed, not failed and share <= depleted, round(share, 9)))
@@ -73,3 +73,24 @@ def test_null_ids_repeated_rows_empty_table(spark):
     got = [(*tuple(r)[:8], r.removed_share) for r in line_quality(df, min_docs=1).collect()]
     assert bag(got) == bag(brute(rows, min_docs=1))
     assert line_quality(df.limit(0)).collect() == []
+
+
+def test_limit_does_not_depend_on_the_host(spark):
+    """A line in three documents goes, from a host of four documents and from one of four thousand; one in two stays."""
+    def own(d):
+        return f"own {'abcdefghij'[d % 10] * (1 + d // 10 % 10)} {'klmnopqrst'[d // 100 % 10] * (1 + d // 1000)}"
+    filler = " ".join("x%s" % ("abcdefghij"[i % 10] * (1 + i // 10)) for i in range(60))
+    line = "a line of the host that many of its documents hold, from end to end, and at some length"
+    rows = [(d, f"{filler} {own(d)}" + (f"\n{line}" if d < n else ""), host) for host, size, n, base in (("small", 4, 3, 0), ("hot", 4000, 3, 0), ("pair", 4, 2, 0))
+            for d in range(size)]
+    rows = [(1_000_000 * "small hot pair".split().index(h) + d, t, h) for d, t, h in rows]
+    got = {r.doc_id: r for r in line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    cut = {d for d, r in got.items() if r.removed_share > 0}
+    assert cut == {0, 1, 2, 1_000_000, 1_000_001, 1_000_002}
+    assert all(0 < got[d].removed_share < .3 for d in cut) and {d for d in got if not got[d].kept} == {d for d in cut if got[d].removed_share > .2}
+
+
+def test_rejects_documents_of_the_test_tables(spark):
+    for sf, least in (("sf0.01", 3), ("sf0.1", 100)):
+        got = line_quality(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        assert least <= got.where("not kept and not base_failed").count() <= .05 * got.count()
