@@ -1,37 +1,26 @@
-"""MLlib model jobs: logistic regression and boosted trees over the leg table, isotonic calibration,
-importance, and the persisted category codes.
+"""Columns of the models, and the logistic regression (MLlib) over the leg table.
 
 All preprocessing is fitted on the train split only (indexers, imputers, scaler). Categorical
 codes come from ``StringIndexer`` (alphabetical order, unseen values kept as an extra index),
 whose label arrays are saved with the pipeline, so scoring always uses the training codes.
-Fitting is MLlib's distributed loop (histogram aggregation per tree level); scoring is a
-narrow ``transform`` on the executors.
+The boosted trees are in ``boosting.py``, their calibration in ``isotonic.py``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # FIXED VALUES: model features, in order
 CAT = ["Origin", "Dest", "Reporting_Airline", "hour", "month", "dow"]
 NUM_W = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest", "temperature_2m_orig"]
 CASCADE = ["has_inbound", "inbound_gap_h", "inbound_delay_obs", "inbound_buffer_min", "inbound_unlanded"]
 FEATURES = CAT + NUM_W + CASCADE
-#: Trees see which weather values were missing before the medians filled them.
-MISSING = [f"{c}_missing" for c in NUM_W]
 LR_NUM = ["snowfall_orig", "snowfall_dest", "wind_gusts_10m_orig", "wind_gusts_10m_dest"]
 
-GBT_PARAMS = dict(stepSize=0.05, maxDepth=6, minInstancesPerNode=200, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", maxIter=3000, validationTol=1e-4, seed=42)
-#: Bins of a numeric feature; a categorical one with more levels raises the number (see ``fit_gbt``).
-MIN_BINS = 64
-
 
 def indexer(cats: list[str]) -> StringIndexer:
     return StringIndexer(inputCols=cats, outputCols=[f"{c}_idx" for c in cats], handleInvalid="keep",
@@ -51,72 +40,13 @@ def logistic_pipeline(cats: list[str], nums: list[str], reg_param: float, label:
     return Pipeline(stages=[indexer(cats), ohe, imp, num_vec, scaler, feats, lr])
 
 
-def tree_features(train: DataFrame, cats: list[str], nums: list[str]) -> PipelineModel:
-    """Category codes and medians of the train rows alone, and the assembled feature vector: codes, numbers, and a mark for
-    each missing weather value. A category met only later gets the unseen slot."""
-    imp = Imputer(inputCols=nums, outputCols=[f"{c}_imp" for c in nums], strategy="median")
-    weather = [c for c in nums if c in NUM_W]
-    marks = ", ".join(f"cast({c} is null or isnan({c}) as double) as {c}_missing" for c in weather)
-    mark = SQLTransformer(statement=f"select *{', ' + marks if marks else ''} from __THIS__")
-    feats = VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + [f"{c}_imp" for c in nums] + [f"{c}_missing" for c in weather],
-                            outputCol="features")
-    return Pipeline(stages=[indexer(cats), imp, mark, feats]).fit(train)
-
-
-def fit_gbt(train: DataFrame, val: DataFrame, cats: list[str], nums: list[str], label: str = "y",
-            params: dict | None = None) -> PipelineModel:
-    """Boosted trees on indexed categoricals (categorical splits through the indexer metadata) and median-imputed
-    numbers. Preprocessing is fitted on ``train``; ``val`` only stops the boosting. The bins grow with the
-    largest category (its levels and the unseen slot). ``rounds_ended`` tells what ended the fit."""
-    prep = tree_features(train, cats, nums)
-    levels = max((len(x) + 1 for x in prep.stages[0].labelsArray), default=0)
-    p = dict(GBT_PARAMS, maxBins=max(MIN_BINS, levels))
-    p.update(params or {})
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, validationIndicatorCol="is_val", **p)
-    rows = prep.transform(train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True))))
-    rows = rows.select("features", label, "is_val").persist()  # read in every round
-    model = gbt.fit(rows)
-    rows.unpersist()
-    return PipelineModel(stages=[*prep.stages, model])
-
-
-def fold_missing(impacts: str) -> Column:
-    """Attributions of FEATURES and MISSING as those of FEATURES: what a missing mark adds belongs to its column."""
-    of = {f: F.element_at(impacts, j + 1) for j, f in enumerate(FEATURES + MISSING)}
-    return F.array(*[of[f] + of[f"{f}_missing"] if f in NUM_W else of[f] for f in FEATURES])
-
-
-def rounds_ended(model: PipelineModel) -> str:
-    """``early_stop`` or ``max_iter``: what ended the boosting of a ``fit_gbt`` model."""
-    trees = model.stages[-1]
-    return "early_stop" if trees.getNumTrees < trees.getMaxIter() else "max_iter"
-
-
 def positive_probability(df: DataFrame, out: str = "score") -> DataFrame:
     return df.withColumn(out, vector_to_array("probability")[1])
 
 
-def margin(df: DataFrame, out: str = "margin") -> DataFrame:
-    """Raw tree-ensemble margin (the log-odds are twice this value for MLlib boosted trees)."""
-    return df.withColumn(out, vector_to_array("rawPrediction")[1])
-
-
 def slot_names(transformed: DataFrame, col: str = "features") -> list[str]:
     meta = transformed.schema[col].metadata.get("ml_attr", {})
     attrs = []
     for group in meta.get("attrs", {}).values():
         attrs.extend(group)
     return [a["name"] for a in sorted(attrs, key=lambda a: a["idx"])]
-
-
-def isotonic(val_scored: DataFrame, test_scored: DataFrame, raw: str = "score", label: str = "y",
-             out: str = "cal_score") -> DataFrame:
-    """Isotonic fit on validation scores; applied to test (clipped outside the fitted range)."""
-    return fit_isotonic(val_scored, raw, label, out).transform(test_scored)
-
-
-def fit_isotonic(val_scored: DataFrame, raw: str = "score", label: str = "y", out: str = "cal_score") -> IsotonicRegressionModel:
-    """Isotonic regression of the label on the score. Ties are pooled first into one weighted row per distinct score,
-    which gives the same fit; the solver, which pools on the driver, then sees distinct scores alone."""
-    pooled = val_scored.groupBy(raw).agg(F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol=raw, labelCol=label, weightCol="_w", predictionCol=out, isotonic=True).fit(pooled)

@@ -7,11 +7,16 @@ except the categorical code table, which SQL reproduces exactly.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from contrail.functions.clock import dow_of, local_hour, month_of
 from contrail.operators import baselines as B
+from contrail.operators import boosting as BO
 from contrail.operators import curves as C
+from contrail.operators import isotonic as I
 from contrail.operators import legs as G
 from contrail.operators import models as M
 from contrail.operators.labels import date_split_label
@@ -19,7 +24,8 @@ from contrail.operators.scalars import attach
 from contrail.plans.time import leg_table
 from contrail.registry import register
 from contrail.sources.fixtures import with_views
-from contrail.sources.sinks import reuse
+from contrail.session import checkpoint_dir
+from contrail.sources.sinks import exists, fingerprint, load_bundle, reuse, save_bundle, scratch_path
 
 TRAIN_END, VAL_END = "2024-01-20", "2024-01-25"
 
@@ -36,13 +42,9 @@ def model_table(spark, sf_dir):
 
 
 def _splits(spark, sf_dir, m=None):
-    """The modelling table and its train / val / test rows.
-
-    The table is checkpointed once to the shared checkpoint folder (the stage boundary after the
-    weather joins and the previous-leg lag): fitting reads it many times and scoring once more,
-    and a lost executor re-reads files instead of recomputing the joins and the lag. Jobs that
-    fit several models pass the same ``m`` along."""
-    m = m if m is not None else reuse(model_table(spark, sf_dir))
+    """The modelling table and its train / val / test rows. The table is read from the bundle (the stage boundary after the
+    weather joins and the previous-leg lag), so no model job computes the joins and the lag again."""
+    m = m if m is not None else spark.read.parquet(f"{bundle(spark, sf_dir)}/table")
     return m, m.where(F.col("split") == "train"), m.where(F.col("split") == "val"), m.where(F.col("split") == "test")
 
 
@@ -55,9 +57,51 @@ def _logistic(spark, sf_dir, m=None):
     return model, M.positive_probability(model.transform(te))
 
 
-def _gbt(spark, sf_dir, features_num, m=None):
-    m, tr, va, te = _splits(spark, sf_dir, m)
-    return M.fit_gbt(tr, va, M.CAT, features_num), va, te
+BUNDLE = {"params": BO.PARAMS, "cats": M.CAT, "nums": M.NUM_W + M.CASCADE, "cut": [TRAIN_END, VAL_END], "form": 3}
+
+
+def _boosted(m, nums):
+    """Trees fitted on the train rows of the modelling table; the validation rows stop the boosting."""
+    rows = m.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    return BO.fit(rows, M.CAT, nums)
+
+
+def _scored(df, model):
+    return BO.score(BO.feature_rows(df, model), model)
+
+
+def bundle(spark, sf_dir):
+    """Path of the fitted bundle: modelling table, trees, calibrator, config.
+
+    It is keyed by the files it was learned from and its settings, and fitted only where the shared folder does not hold it yet;
+    every query that needs a model loads it from there.
+    """
+    key = hashlib.sha256((fingerprint(spark, f"{sf_dir}/events.parquet") + json.dumps(BUNDLE, sort_keys=True)).encode()).hexdigest()[:24]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bundle-{key}"
+    if exists(spark, f"{path}/config/_SUCCESS"):
+        return path
+    model_table(spark, sf_dir).write.mode("overwrite").partitionBy("split").parquet(f"{path}/table")
+    m = spark.read.parquet(f"{path}/table")
+    model = _boosted(m, M.NUM_W + M.CASCADE)
+    blocks = I.fit_blocks(_scored(m.where("split = 'val'"), model))
+    save_bundle(spark, path, model, blocks, {
+        "features": M.FEATURES, "cat_features": M.CAT, "num_features": M.NUM_W, "threshold": 0.25, "cat_categories": model["levels"],
+        "base_rate": m.agg(F.avg("y")).first()[0]})
+    return path
+
+
+def _without_cascade(spark, path):
+    """The trees without the cascade columns, which the ladder alone needs; fitted once beside the bundle."""
+    at = f"{path}/model_no_cascade"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        BO.save(spark, _boosted(spark.read.parquet(f"{path}/table"), M.NUM_W), at)
+    return BO.load(spark, at)
+
+
+def _loaded(spark, sf_dir):
+    """The modelling table, and the model, calibrator and config of the bundle."""
+    path = bundle(spark, sf_dir)
+    return spark.read.parquet(f"{path}/table"), *load_bundle(spark, path)
 
 
 @register("logreg_score")
@@ -80,22 +124,20 @@ def q_logreg_coefficients(spark, sf_dir):
 
 @register("gbt_score")
 def q_gbt_score(spark, sf_dir):
-    model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
-    s = M.margin(M.positive_probability(model.transform(te)))
-    return s.select("flight_id", "y", "score", "margin")
+    m, model, _, _ = _loaded(spark, sf_dir)
+    return _scored(m.where("split = 'test'"), model).select("flight_id", "y", "score", "margin")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    feats = M.FEATURES + M.MISSING
-    model, _, _ = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")
-    return df.withColumns({"trees": F.lit(model.stages[-1].getNumTrees), "ended_by": F.lit(M.rounds_ended(model))})
+    _, model, _, _ = _loaded(spark, sf_dir)
+    df = spark.createDataFrame(BO.importance(model), "feature string, importance double")
+    return df.withColumns({"trees": F.lit(len(model["trees"])), "ended_by": F.lit(model["ended"])})
 
 
 def _ladder(spark, sf_dir):
-    m, tr, va, te = _splits(spark, sf_dir)
+    path = bundle(spark, sf_dir)
+    m, tr, va, te = _splits(spark, sf_dir, spark.read.parquet(f"{path}/table"))
     rows = []
     maj = B.majority_score(tr, te.select("flight_id", "y"), target="y")
     rows.append(("majority", 1, maj))
@@ -104,10 +146,8 @@ def _ladder(spark, sf_dir):
                                                         ["Origin", "Dest", "hour"])))
     _, lr = _logistic(spark, sf_dir, m)
     rows.append(("logistic", 3, lr))
-    g0, _, te0 = _gbt(spark, sf_dir, M.NUM_W, m)
-    rows.append(("gbt_no_cascade", 4, M.positive_probability(g0.transform(te0))))
-    g1, _, te1 = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE, m)
-    rows.append(("gbt_cascade", 5, M.positive_probability(g1.transform(te1))))
+    rows.append(("gbt_no_cascade", 4, _scored(te, _without_cascade(spark, path))))
+    rows.append(("gbt_cascade", 5, _scored(te, BO.load(spark, f"{path}/model"))))
     out = None
     for name, order, scored in rows:
         e = C.evaluate_scores(scored.select("score", "y")).select(F.lit(name).alias("model"), F.lit(order).alias("ord"), "*")
@@ -132,27 +172,23 @@ def q_ablation(spark, sf_dir):
 
 
 def _calibrated(spark, sf_dir):
-    """Trained model, its calibrator (fitted on validation scores), and the scored validation and test rows, each with the raw
-    and the calibrated score; train rows' share of positives last."""
-    m, tr, va, te = _splits(spark, sf_dir)
-    model = M.fit_gbt(tr, va, M.CAT, M.NUM_W + M.CASCADE)
-    scored = [reuse(M.margin(M.positive_probability(model.transform(part))).select(
-        "flight_id", "FlightDate", *M.FEATURES, "y", "features", "margin", "score")) for part in (va, te)]
-    iso = M.fit_isotonic(scored[0])
-    val, test = (iso.transform(x) for x in scored)
-    return model, iso, val, test, tr.agg(F.avg("y").alias("base_rate"))
+    """The bundle's model, and its scored validation and test rows, each with the raw and the calibrated score; the base
+    rate over all rows last."""
+    m, model, blocks, config = _loaded(spark, sf_dir)
+    val, test = (I.calibrate(reuse(_scored(m.where(F.col("split") == part), model)), blocks) for part in ("val", "test"))
+    return model, val, test, spark.range(1).select(F.lit(config["base_rate"]).alias("base_rate"))
 
 
 @register("isotonic_calibrate")
 def q_isotonic_calibrate(spark, sf_dir):
-    _, _, _, test, _ = _calibrated(spark, sf_dir)
+    _, _, test, _ = _calibrated(spark, sf_dir)
     return test.select("flight_id", "y", "score", "cal_score")
 
 
 @register("model_calibration")
 def q_model_calibration(spark, sf_dir):
     """Metrics and calibration error of the trained model's raw and calibrated test scores."""
-    _, _, _, test, _ = _calibrated(spark, sf_dir)
+    _, _, test, _ = _calibrated(spark, sf_dir)
     rows = reuse(test.select("y", "score", "cal_score"))
     out = None
     for name, col in (("raw", "score"), ("calibrated", "cal_score")):
@@ -165,7 +201,7 @@ def q_model_calibration(spark, sf_dir):
 @register("model_operating_points")
 def q_model_operating_points(spark, sf_dir):
     """Thresholds tuned on the validation rows' calibrated scores, and what they give on the test rows."""
-    _, _, val, test, _ = _calibrated(spark, sf_dir)
+    _, val, test, _ = _calibrated(spark, sf_dir)
     return C.operating_points(reuse(val.select("y", "cal_score")), reuse(test.select("y", "cal_score")), "cal_score")
 
 
@@ -174,10 +210,8 @@ def q_explain_flights(spark, sf_dir):
     """From the trained model to records: calibrated probability, attributions of the raw model, selected drivers, text."""
     from contrail.operators import explain as X
     from contrail.operators import shap as SH
-    from contrail.sources.sinks import scratch_path
-    model, _, _, test, base = _calibrated(spark, sf_dir)
-    trees = SH.ensemble_trees(spark, model.stages[-1], scratch_path(spark, "gbt"))
-    values = SH.shap_values(test, trees, M.FEATURES + M.MISSING).select("flight_id", M.fold_missing("shap").alias("impacts"))
+    model, _, test, base = _calibrated(spark, sf_dir)
+    values = SH.shap_values(test, BO.trees_of(model), M.FEATURES, start=model["base"]).select("flight_id", F.col("shap").alias("impacts"))
     flights = test.select("flight_id", "FlightDate", *M.FEATURES, F.col("cal_score").alias("prob")).join(values, "flight_id")
     return X.explanation_record(X.flight_drivers(flights, "impacts", M.FEATURES, M.CAT[:3]), base).select("flight_id", "record_json")
 
@@ -196,33 +230,21 @@ select te.feature, te.value, coalesce(tr.code, -1) as code from te left join tr
 
 @register("code_parity", _CODE_SQL)
 def q_code_parity(spark, sf_dir):
-    """Codes that the saved preprocessing of the boosted trees gives to the test values after it is read back;
-    the oracle derives them from the train rows."""
-    from contrail.sources.sinks import load_bundle, save_bundle, scratch_path
-    m, tr, va, te = _splits(spark, sf_dir)
-    path = scratch_path(spark, "codes")
-    save_bundle(M.tree_features(tr, M.CAT, M.NUM_W + M.CASCADE), {"cat_features": M.CAT}, path)
-    saved, _ = load_bundle(spark, path)
-    idx = saved.stages[0]
-    coded = idx.transform(te)
+    """Codes that the saved bundle gives to the test values; the oracle derives them from the train rows."""
+    m, model, _, _ = _loaded(spark, sf_dir)
+    coded = BO.feature_rows(m.where("split = 'test'"), model)
     items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"),
-                      F.col(f"{c}_idx").alias("ix")) for c in M.CAT]
-    n_labels = F.create_map(*[x for c, labels in zip(M.CAT, idx.labelsArray) for x in (F.lit(c), F.lit(len(labels)))])
-    long = coded.select(F.inline(F.array(*items))).where(F.col("value").isNotNull()).distinct()
-    return long.select("feature", "value",
-                       F.when(F.col("ix") >= F.element_at(n_labels, F.col("feature")), F.lit(-1))
-                        .otherwise(F.col("ix").cast("int")).alias("code"))
+                      F.coalesce(F.col("features")[j].cast("int"), F.lit(-1)).alias("code")) for j, c in enumerate(M.CAT)]
+    return coded.select(F.inline(F.array(*items))).where(F.col("value").isNotNull()).distinct()
 
 
 # ---------------------------------------------------------------- per-row attributions
 
 def _shap(spark, sf_dir):
     from contrail.operators import shap as SH
-    from contrail.sources.sinks import scratch_path
-    model, _, te = _gbt(spark, sf_dir, M.NUM_W + M.CASCADE)
-    trees = SH.ensemble_trees(spark, model.stages[-1], scratch_path(spark, "gbt"))
-    values = SH.shap_values(M.margin(model.transform(te)), trees, M.FEATURES + M.MISSING)
-    return SH, values.withColumn("shap", M.fold_missing("shap")), M.FEATURES
+    m, model, _, _ = _loaded(spark, sf_dir)
+    values = SH.shap_values(_scored(m.where("split = 'test'"), model), BO.trees_of(model), M.FEATURES, start=model["base"])
+    return SH, values, M.FEATURES
 
 
 @register("tree_shap")
@@ -245,16 +267,13 @@ def q_mean_abs_shap(spark, sf_dir):
 
 @register("bundle_roundtrip")
 def q_bundle_roundtrip(spark, sf_dir):
-    """Fit, save the pipeline, the calibrator and the config to the shared folder, load them back and score the test rows;
-    ``same`` marks rows whose calibrated score equals that of the model in memory."""
-    from contrail.sources.sinks import load_bundle, load_calibrator, save_bundle, scratch_path
-    model, iso, _, test, base = _calibrated(spark, sf_dir)
+    """Save the bundle anew, load it back and score the test rows; ``same`` marks rows whose calibrated score equals that of
+    the model in memory."""
+    m, model, blocks, config = _loaded(spark, sf_dir)
     path = scratch_path(spark, "bundle")
-    labels = {c: list(lab) for c, lab in zip(M.CAT, model.stages[0].labelsArray)}
-    save_bundle(model, {"features": M.FEATURES, "cat_features": M.CAT, "threshold": 0.25, "cat_categories": labels,
-                        "base_rate": base.first()[0]}, path, iso)
-    loaded, cfg = load_bundle(spark, path)
-    rows = test.select("flight_id", "y", *M.FEATURES, F.col("cal_score").alias("in_memory"))
-    again = load_calibrator(path).transform(M.positive_probability(loaded.transform(rows)))
-    return again.select("flight_id", "y", "score", "cal_score", (F.col("cal_score") == F.col("in_memory")).alias("same"),
-                        F.lit(len(cfg["features"])).alias("n_features"), F.lit(cfg["base_rate"]).alias("base_rate"))
+    save_bundle(spark, path, model, blocks, config)
+    again, steps, cfg = load_bundle(spark, path)
+    rows = I.calibrate(_scored(m.where("split = 'test'"), model), blocks).select("flight_id", "y", *M.FEATURES, F.col("cal_score").alias("in_memory"))
+    out = I.calibrate(_scored(rows, again), steps)
+    return out.select("flight_id", "y", "score", "cal_score", (F.col("cal_score") == F.col("in_memory")).alias("same"),
+                      F.lit(len(cfg["features"])).alias("n_features"), F.lit(cfg["base_rate"]).alias("base_rate"))

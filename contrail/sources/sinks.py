@@ -8,8 +8,6 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,20 +66,31 @@ def log_run(spark: SparkSession, path: str, run: str, params: dict | None = None
     return df
 
 
-def save_bundle(model: PipelineModel, config: dict, path: str, calibrator: IsotonicRegressionModel | None = None) -> None:
-    """Fitted pipeline (stages carry their category label arrays), a one-row JSON config, and the calibrator if given."""
-    if calibrator is not None:
-        calibrator.write().overwrite().save(f"{path}/calibrator")
-    model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A hash of the names, sizes and times of the Parquet files at ``paths``; their rows are not read."""
+    total = 0
+    for path in paths:
+        meta = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        total += int(meta.agg(F.coalesce(F.sum(F.xxhash64(*meta.columns).cast("decimal(38,0)")), F.lit(0))).first()[0])
+    return f"{total % 2**64:016x}"
 
-def load_calibrator(path: str) -> IsotonicRegressionModel:
-    return IsotonicRegressionModel.load(f"{path}/calibrator")
+
+def save_bundle(spark: SparkSession, path: str, model: dict, calibrator: DataFrame, config: dict) -> None:
+    """Boosted model, calibrator blocks and a one-row JSON config, which is written last: a bundle without it is not whole."""
+    from contrail.operators.boosting import save
+    save(spark, model, f"{path}/model")
+    calibrator.coalesce(1).write.mode("overwrite").parquet(f"{path}/calibrator")
+    spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    model = PipelineModel.load(f"{path}/model")
-    cfg = spark.read.json(f"{path}/config").select(F.col("config")).first()[0]
-    return model, json.loads(cfg)
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict, DataFrame, dict]:
+    """Model, calibrator blocks and config of a saved bundle."""
+    from contrail.operators.boosting import load
+    config = spark.read.json(f"{path}/config").select(F.col("config")).first()[0]
+    return load(spark, f"{path}/model"), spark.read.parquet(f"{path}/calibrator"), json.loads(config)

@@ -1,7 +1,6 @@
 """Cases of the review: flag truthiness, strict verdicts, retries, tail keys, typed records, whole lists."""
 
 import json
-import math
 import random
 import types
 
@@ -107,16 +106,6 @@ def test_headers_and_columns():
     assert "c59" in str(e.value)
 
 
-def test_pooled_isotonic_is_the_row_fit(spark):
-    from pyspark.ml.regression import IsotonicRegression
-    r = random.Random(3)
-    rows = [(round(r.random(), 1), float(r.random() < .4)) for _ in range(500)]
-    df = spark.createDataFrame(rows, "score double, y double")
-    whole = IsotonicRegression(featuresCol="score", labelCol="y", predictionCol="p").fit(df).transform(df)
-    pooled = M.fit_isotonic(df, out="q").transform(whole)
-    assert all(math.isclose(x.p, x.q, abs_tol=1e-9) for x in pooled.collect())
-
-
 def test_archives_are_checked(spark, tmp_path):
     import zipfile
     with zipfile.ZipFile(tmp_path / "m_2024-01-0000.zip", "w") as z:
