@@ -104,18 +104,3 @@ def test_headers_and_columns():
     with pytest.raises(KeyError) as e:
         FS.find_column([f"c{i}" for i in range(60)], "snow", "_orig")
     assert "c59" in str(e.value)
-
-
-def test_archives_are_checked(spark, tmp_path):
-    import zipfile
-    with zipfile.ZipFile(tmp_path / "m_2024-01-0000.zip", "w") as z:
-        z.writestr("a.CSV", "Flight_ID,x\n" + "\n".join(f"{i},{i}" for i in range(10)))
-    (tmp_path / "m_2024-02-0000.zip").write_bytes(b"broken")
-    got = {(r.year, r.month): r.valid for r in FS.present_months(spark, f"{tmp_path}/*.zip").collect()}
-    assert got == {(2024, 1): True, (2024, 2): False}
-    old, FS.CSV_CHUNK = FS.CSV_CHUNK, 3
-    try:
-        rows = FS.scan_zip_csv(spark, f"{tmp_path}/m_2024-01*.zip", ["x", "flightid"]).collect()
-    finally:
-        FS.CSV_CHUNK = old
-    assert sorted(int(r.flightid) for r in rows) == list(range(10))
