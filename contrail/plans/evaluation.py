@@ -359,14 +359,17 @@ def q_resume_pending(spark, sf_dir):
 
 @register("resume_job", with_views("scored_v") + "select distinct flight_id, score from scored_v")
 def q_resume_job(spark, sf_dir):
-    """Two passes of a resumable job whose first pass fails for one id in three; the output holds every id once."""
+    """Three runs of a resumable stream: the first fails for one id in three, the second for one in six and meets all rows again;
+    the output holds every id once."""
     from contrail.sources.sinks import scratch_path
-    from contrail.streaming.resume import resume_pass
+    from contrail.streaming.resume import start_resumable
     todo = scored_v(spark, sf_dir).select("flight_id", "score")
     path = scratch_path(spark, "resume")
-    resume_pass(todo, "flight_id", lambda df: df.where(F.col("flight_id") % 3 != 0), path, todo.schema)
-    resume_pass(todo, "flight_id", lambda df: df, path, todo.schema)
-    return spark.read.schema(todo.schema).parquet(path)
+    for fails, rows in ((3, todo.where("flight_id % 2 = 0")), (6, todo), (None, todo.limit(0))):
+        rows.write.mode("append").json(f"{path}/source")
+        work = (lambda df, fails=fails: df.where(F.col("flight_id") % fails != 0) if fails else df)
+        start_resumable(spark, f"{path}/source", todo.schema, "flight_id", work, f"{path}/out", todo.schema, f"{path}/state").awaitTermination()
+    return spark.read.schema(todo.schema).parquet(f"{path}/out").select("flight_id", "score")
 
 
 @register("missing_verdicts", _PARSE + """select flight_id from verdict_raw_v where arm = 'naive'
