@@ -47,6 +47,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(*stages: DataFrame) -> None:
+    """Delete the folders of materialized stages that nothing reads any more: what was made from them has to be written by then."""
+    for df in stages:
+        files = df.inputFiles()
+        if files:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
