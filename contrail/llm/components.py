@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.sources.sinks import materialize
+from contrail.sources.sinks import discard, materialize
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = materialize(star(star(edges, True), False), "links")
+        old, edges = edges, materialize(star(star(edges, True), False), "links")
+        discard(old)
         now = state(edges)
         if now == before:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from contrail.llm.common import WordHashes, id_text, mix64
 from contrail.llm.components import components
-from contrail.sources.sinks import materialize
+from contrail.sources.sinks import discard, materialize
 
 BLOCK = 1 << 15
 
@@ -167,8 +167,9 @@ def _masks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, f"rep {kind}, pivot {kind}, inside bigint, mask array<bigint>")
 
 
-def _bounded_pairs(now: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different labels of ``now(key, rep, n, label)`` whose bound reaches the similarity.
+def _bounded_pairs(now: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of one bucket and different labels of ``now(key, rep, n, label)`` whose bound reaches the similarity, and the stage that
+    they are made from.
 
     A bucket's pivot is the member with the most links found so far: the nearer to the middle of a group of near
     copies, the tighter the bound.
@@ -181,17 +182,19 @@ def _bounded_pairs(now: DataFrame, links: DataFrame | None, sets: DataFrame, per
     now = materialize(now.withColumn("count", F.coalesce("count", F.lit(0))), "minhash-ranked")
     pivots = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
                                     F.max_by("rep", F.struct("count", F.xxhash64("rep"))).alias("pivot")).where("x <> y").select("key", "pivot")
-    rows = materialize(now.join(pivots, "key").select("key", "rep", "n", "label", "pivot"), "minhash-pivots")
+    ranked, rows = now, materialize(now.join(pivots, "key").select("key", "rep", "n", "label", "pivot"), "minhash-pivots")
+    discard(ranked)
     masks = materialize(_masks(rows.select("rep", "pivot").distinct(), sets), "minhash-masks")
     keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # one for each band at most
-    rows = materialize(rows.join(masks, ["rep", "pivot"]).drop("pivot").join(keys, "rep"), "minhash-masked")
+    paired, rows = rows, materialize(rows.join(masks, ["rep", "pivot"]).drop("pivot").join(keys, "rep"), "minhash-masked")
+    discard(paired, masks)
     left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "label", "inside", "mask", "keys")]) for x in "ab")
     shared = F.aggregate(F.zip_with("mask_a", "mask_b", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, v: t + v)
     bound = shared + F.least(F.col("n_a") - F.col("inside_a"), F.col("n_b") - F.col("inside_b"))
     can = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (bound * 100 >= (F.col("n_a") + F.col("n_b") - bound) * percent)
     once = F.array_min(F.array_intersect("keys_a", "keys_b")) == left.key  # a pair is made in the first bucket that it shares
     return left.join(right, (left.key == right.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & can & once
-                     ).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+                     ).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75,
@@ -216,10 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = materialize(banded, "minhash-bands")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     live = materialize(banded.join(shared, "key", "left_semi"), "minhash-live")
+    discard(banded)
     members = live.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(members, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "minhash-sets")
 
-    links = tested = None
+    links = tested = old = None
     labels = members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
 
     def fits(n, other):
@@ -232,19 +236,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                            (F.min(F.struct("rep", "n", "label")) if turn == 0 else
                                             F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(turn)))).alias("c")
                                            ).where("x <> y").drop("x", "y")
+        spent = [now]
         if turn < star_rounds:
             found = now.join(open_keys, "key").where((F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n")))
             pairs = found.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
         else:
-            pairs = _bounded_pairs(now.join(open_keys.select("key"), "key", "left_semi"), links, sets, percent)
+            pairs, made_from = _bounded_pairs(now.join(open_keys.select("key"), "key", "left_semi"), links, sets, percent)
+            spent.append(made_from)
         pairs = pairs.distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "minhash-pairs")
+        discard(*spent)
         if pairs.isEmpty():
             continue
         good = materialize(_verified(pairs, sets, percent), "minhash-links")
         tested = pairs if tested is None else tested.union(pairs)
         links = good if links is None else links.union(good)
         labels = materialize(components(links), "minhash-labels")
+        if old is not None:
+            discard(old)
+        old = labels
+    discard(sets, *([live] if old is not None else []))  # without links the labels still come from the live rows
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "lo", "hi", "n", F.coalesce("component", "rep").alias("component"))
