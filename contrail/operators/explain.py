@@ -7,7 +7,7 @@ per flight is safe; nothing is collected across flights.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrail.operators.scalars import attach
@@ -93,114 +93,164 @@ def magnitude(abs_impact, bands=(0.3, 1.0)) -> Column:
     return F.when(a >= bands[1], "strong").when(a >= bands[0], "moderate").otherwise("slight")
 
 
-def hour_phrase(h) -> Column:
-    h = _c(h).cast("int")
-    expr = None
-    for bound, tmpl in HOUR_BANDS:
-        txt = F.format_string(tmpl, h)
-        if bound is None:
-            expr = expr.otherwise(txt)
-        else:
-            expr = F.when(h < bound, txt) if expr is None else expr.when(h < bound, txt)
-    return expr
-
-
-def driver_phrase(feature, vnum, vstr, up) -> Column:
-    """Readable clause for one driver; a null number where one is needed gives the fallback."""
-    f, n, s, u = _c(feature), _c(vnum), _c(vstr), _c(up)
-    P = PHRASES
-    fallback = F.format_string(P["fallback"], f, F.coalesce(s, F.lit("nan")))
-    r0 = F.bround(n, 0).cast("int")
-    r1 = F.bround(n, 1).cast("string")
-    where = F.when(f.endswith("orig"), F.lit("departure")).otherwise(F.lit("destination"))
-
-    def num(expr):
-        return F.when(n.isNull(), fallback).otherwise(expr)
-
-    return (
-        F.when(f == "inbound_buffer_min",
-               num(F.when(u, F.when(r0 <= 0, F.lit(P["buffer_none"])).otherwise(F.format_string(P["buffer_some"], r0)))
-                   .otherwise(F.format_string(P["buffer_ample"], r0))))
-         .when(f == "inbound_delay_obs",
-               F.when(u, num(F.format_string(P["delay_up"], r0))).otherwise(F.lit(P["delay_down"])))
-         .when(f == "inbound_unlanded", F.when(u, F.lit(P["unlanded_up"])).otherwise(F.lit(P["unlanded_down"])))
-         .when(f == "inbound_gap_h",
-               num(F.when(u, F.format_string(P["gap_up"], r1)).otherwise(F.format_string(P["gap_down"], r1))))
-         .when(f == "Origin", F.when(u, F.format_string(P["origin_up"], s)).otherwise(F.format_string(P["origin_down"], s)))
-         .when(f == "Dest", F.when(u, F.format_string(P["dest_up"], s)).otherwise(F.format_string(P["dest_down"], s)))
-         .when(f == "Reporting_Airline",
-               F.when(u, F.format_string(P["carrier_up"], s)).otherwise(F.format_string(P["carrier_down"], s)))
-         .when(f == "hour", num(F.when(u, F.format_string(P["hour_up"], hour_phrase(n)))
-                                .otherwise(F.format_string(P["hour_down"], hour_phrase(n)))))
-         .when(f == "month", num(F.when(u, F.format_string(P["month_up"], F.element_at(F.array(*map(F.lit, MONTHS)), n.cast("int"))))
-                                 .otherwise(F.format_string(P["month_down"], F.element_at(F.array(*map(F.lit, MONTHS)), n.cast("int"))))))
-         .when(f == "dow", num(F.when(u, F.format_string(P["dow_up"], F.element_at(F.array(*map(F.lit, DAYS)), n.cast("int") + 1)))
-                               .otherwise(F.format_string(P["dow_down"], F.element_at(F.array(*map(F.lit, DAYS)), n.cast("int") + 1)))))
-         .when(f.isin("snowfall_orig", "snowfall_dest"),
-               F.when(u, num(F.format_string(P["snow_up"], where, r1))).otherwise(F.format_string(P["snow_down"], where)))
-         .when(f.isin("wind_gusts_10m_orig", "wind_gusts_10m_dest"),
-               F.when(u, num(F.format_string(P["gust_up"], where, r0))).otherwise(F.format_string(P["gust_down"], where)))
-         .when(f == "temperature_2m_orig",
-               num(F.when(u, F.when(r0 <= 5, F.format_string(P["temp_cold"], r0)).otherwise(F.format_string(P["temp_hot"], r0)))
-                   .otherwise(F.format_string(P["temp_mild"], r0))))
-         .otherwise(fallback))
-
-
-def select_drivers(attr: DataFrame, id_col: str = "flight_id", feature: str = "feature", order: str = "j",
-                   impact: str = "impact", has_inbound: str = "has_inbound", top_up: int = 5, top_down: int = 3,
-                   floor: float = 0.1) -> DataFrame:
-    """Long-form attributions to the selected drivers: drop ``has_inbound`` itself, cascade
-    features of unlinked legs and |impact| < floor; rank within direction by |impact| rounded
-    to 3 decimals, ties in feature order."""
-    a = attr.where((F.col(feature) != "has_inbound")
-                   & ~(F.col(feature).isin(*CASCADE_FEATURES) & (F.col(has_inbound) == 0))
-                   & (F.abs(F.col(impact)) >= floor))
-    a = a.withColumn("up", F.col(impact) > 0).withColumn("impact_r", F.bround(F.col(impact), 3))
-    w = Window.partitionBy(id_col, "up").orderBy(F.abs(F.col("impact_r")).desc(), F.col(order).asc())
-    r = a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(top_up, top_down))
-    r = r.where(F.col("rank") <= F.when(F.col("up"), F.lit(top_up)).otherwise(F.lit(top_down)))
-    return r.select(id_col, F.when(F.col("up"), "increasing").otherwise("decreasing").alias("direction"),
-                    "rank", feature, order, F.col("impact_r").alias("impact"),
-                    magnitude(F.abs(F.col(impact))).alias("magnitude"), "up")
+#: For each feature: what its value is written as, when a number is needed, the phrases for a raising value up to the bound, a raising
+#: and a lowering one, and the bound.
+_RULES = {
+    "inbound_buffer_min": ("whole", "always", "buffer_none", "buffer_some", "buffer_ample", 0),
+    "inbound_delay_obs": ("whole", "raising", "delay_up", "delay_up", "delay_down", None),
+    "inbound_unlanded": ("none", "never", "unlanded_up", "unlanded_up", "unlanded_down", None),
+    "inbound_gap_h": ("tenth", "always", "gap_up", "gap_up", "gap_down", None),
+    "Origin": ("text", "never", "origin_up", "origin_up", "origin_down", None),
+    "Dest": ("text", "never", "dest_up", "dest_up", "dest_down", None),
+    "Reporting_Airline": ("text", "never", "carrier_up", "carrier_up", "carrier_down", None),
+    "hour": ("hour", "always", "hour_up", "hour_up", "hour_down", None),
+    "month": ("month", "always", "month_up", "month_up", "month_down", None),
+    "dow": ("dow", "always", "dow_up", "dow_up", "dow_down", None),
+    "snowfall_orig": ("tenth", "raising", "snow_up", "snow_up", "snow_down", None),
+    "snowfall_dest": ("tenth", "raising", "snow_up", "snow_up", "snow_down", None),
+    "wind_gusts_10m_orig": ("whole", "raising", "gust_up", "gust_up", "gust_down", None),
+    "wind_gusts_10m_dest": ("whole", "raising", "gust_up", "gust_up", "gust_down", None),
+    "temperature_2m_orig": ("whole", "always", "temp_cold", "temp_hot", "temp_mild", 5),
+}
+_KINDS = ["none", "whole", "tenth", "text", "hour", "month", "dow"]
 
 
-def flight_drivers(flights: DataFrame, impacts: str, features: list[str], categorical: list[str], has_inbound: str = "has_inbound",
-                   top_up: int = 5, top_down: int = 3, floor: float = 0.1) -> DataFrame:
-    """Adds ``increasing`` and ``decreasing``: the selected drivers of each flight, in rank order, as arrays of
-    (feature, value, impact, magnitude, text).
+def _phrase_tables() -> dict[str, list]:
+    """For feature number f (1 on; 0 is any other feature) and case c (0 raising up to the bound, 1 raising, 2 lowering), at 3 f + c: the
+    texts before and after the value, what the value is, and whether a null number gives the fallback."""
+    out: dict[str, list] = {"before": [""] * 3, "after": [""] * 3, "kind": [0] * 3, "needs": [True] * 3, "bound": [None]}
+    for f, (kind, needs, low, up, down, bound) in _RULES.items():
+        out["bound"].append(None if bound is None else float(bound))
+        for c, key in enumerate((low, up, down)):
+            text = PHRASES[key]
+            if key.startswith(("snow", "gust")):
+                text = text.replace("%s", "departure" if f.endswith("orig") else "destination", 1)
+            cut = text.replace("%s", "%d").split("%d")
+            out["before"].append(cut[0])
+            out["after"].append(cut[1] if len(cut) > 1 else "")
+            out["kind"].append(_KINDS.index(kind) if len(cut) > 1 else 0)
+            out["needs"].append(needs == "always" or needs == "raising" and c < 2)
+    return out
+
+
+def _hours() -> list[str]:
+    """The phrase of each hour of the day."""
+    return [next(t for bound, t in HOUR_BANDS if bound is None or h < bound) % h for h in range(24)]
+
+
+def phrase_case(features: list[str], j, n, up) -> Column:
+    """Place in the phrase tables of feature number ``j`` of ``features`` with the number ``n``."""
+    places = [[None, *_RULES].index(f) if f in _RULES else 0 for f in features]
+    bounds = F.array(*[F.lit(_phrase_tables()["bound"][p]).cast("double") for p in places])
+    raising = F.when(F.bround(_c(n), 0) <= F.get(bounds, _c(j)), 0).otherwise(1)
+    return F.get(F.array(*[F.lit(3 * p) for p in places]), _c(j)) + F.when(_c(up), raising).otherwise(2)
+
 
-    The rules are those of ``select_drivers``, applied within each row: ``impacts`` is an array in the order of
-    ``features``, whose values are columns of ``flights``. Nothing is exploded, shuffled or grouped. Values are
-    typed: text, whole numbers, or numbers rounded to 3 decimals; a missing value is null.
+def phrase_text(feature, case, vnum, vstr) -> Column:
+    """The clause of a :func:`phrase_case`; a null number where one is needed gives the fallback.
+
+    The parts of a phrase are looked up by number in constant arrays. One branch for each feature would make a method too
+    long for the JVM to compile, which costs far more than the phrases. ``case`` should be a column, as it is used often.
+    """
+    f, at, n, s = _c(feature), _c(case), _c(vnum), _c(vstr)
+    t = {k: F.array(*map(F.lit, v)) for k, v in _phrase_tables().items() if k != "bound"}
+
+    def named(names: list[str], i: Column) -> Column:
+        return F.get(F.array(*map(F.lit, names)), i)
+
+    kind = F.get(t["kind"], at)
+    value = (F.when(kind == 0, F.lit("")).when(kind == 1, F.bround(n, 0).cast("int").cast("string")).when(kind == 2, F.bround(n, 1).cast("string"))
+             .when(kind == 3, F.coalesce(s, F.lit("null"))).when(kind == 4, named(_hours(), n.cast("int")))
+             .when(kind == 5, named(MONTHS, n.cast("int") - 1)).otherwise(named(DAYS, n.cast("int"))))
+    fallback = F.concat(f, F.lit(" = "), F.coalesce(s, F.lit("nan")))
+    return F.when((at < 3) | (F.get(t["needs"], at) & n.isNull()), fallback).otherwise(
+        F.concat(F.get(t["before"], at), value, F.get(t["after"], at)))
+
+
+def _value(feature: str, text: bool) -> tuple[Column, Column]:
+    """Number and text of a feature's value; missing numbers are null."""
+    value = F.col(feature).cast("double")
+    number = F.lit(None).cast("double") if text else F.when(~F.isnan(value), value)
+    return number, (F.col(feature) if text else F.when(~F.isnan(value), F.col(feature))).cast("string")
+
+
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with ``cols``, evaluated once: the generator over one row keeps the optimizer from copying an expression to each of its uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
+def _with_values(flights: DataFrame, features: list[str], categorical: list[str]) -> DataFrame:
+    """Adds the numbers ``_n`` and texts ``_s`` of the features, an array each."""
+    numbers, texts = zip(*[_value(f, f in categorical) for f in features], strict=True)
+    return _once(flights, _n=F.array(*numbers), _s=F.array(*texts))
+
+
+def driver_texts(flights: DataFrame, impacts: str, features: list[str], categorical: list[str], id_col: str = "flight_id") -> DataFrame:
+    """``(id, feature, up, text)``: the phrase of every feature of each flight; ``impacts`` is an array in the order of ``features``, whose
+    values are columns of ``flights``. Nothing is joined or shuffled."""
+    rows = _with_values(flights, features, categorical).select(id_col, "_s", F.col(impacts).alias("_i"), F.posexplode("_n").alias("j", "n"))
+    rows = rows.select(id_col, "j", "n", F.get("_s", "j").alias("s"), (F.get("_i", "j") > 0).alias("up"), F.get(F.array(*map(F.lit, features)), "j").alias("feature"))
+    rows = _once(rows, case=phrase_case(features, "j", "n", "up"))
+    return rows.select(id_col, "feature", "up", phrase_text("feature", "case", "n", "s").alias("text"))
+
+
+def select_drivers(flights: DataFrame, impacts: str, features: list[str], has_inbound: str = "has_inbound", top_up: int = 5,
+                   top_down: int = 3, floor: float = 0.1, out: tuple[str, str] = ("increasing", "decreasing")) -> DataFrame:
+    """Adds the selected drivers of each flight, in rank order, as two arrays of (j, impact, magnitude).
+
+    ``has_inbound`` itself, cascade features of unlinked flights and impacts below ``floor`` are left out; within a direction the larger
+    impacts come first, rounded to 3 decimals, ties in feature order. ``impacts`` is an array in the order of
+    ``features``. Nothing is exploded, shuffled or grouped.
     """
-    kinds = dict(flights.dtypes)
     items = []
     for j, f in enumerate(features):
-        impact = F.element_at(F.col(impacts), j + 1)
-        rounded = F.bround(impact, 3)
-        text = f in categorical
-        value = F.col(f).cast("double")
-        shown = F.col(f) if text else F.when(~F.isnan(value), value)
-        number = F.lit(None).cast("double") if text else F.when(~F.isnan(value), value)
-        whole = kinds[f] in ("tinyint", "smallint", "int", "bigint")
+        impact = F.get(F.col(impacts), F.lit(j))
         dropped = F.lit(f == "has_inbound") | (F.lit(f in CASCADE_FEATURES) & ~F.col(has_inbound).eqNullSafe(F.lit(1)))
-        # the sort key comes first: larger rounded impacts, then feature order
-        items.append(F.when(~dropped & (F.abs(impact) >= floor), F.struct(
-            (-F.abs(rounded)).alias("key"), F.lit(j).alias("j"), F.lit(f).alias("feature"), number.alias("vnum"),
-            shown.cast("string").alias("vstr"), F.lit(whole).alias("whole"), impact.alias("raw"), rounded.alias("impact"))))
-    # the items leave through a generator, so that the array is built once per row and not once per use
-    rows = flights.select("*", F.inline(F.array(F.struct(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("_items")))))
+        items.append(F.when(~dropped & (F.abs(impact) >= floor), F.struct(F.lit(j).alias("j"), impact.alias("raw"))))
+    rows = _once(flights, _items=F.filter(F.array(*items), lambda x: x.isNotNull()))
 
     def chosen(up: bool, top: int) -> Column:
-        kept = F.slice(F.array_sort(F.filter("_items", lambda x: (x["raw"] > 0) == F.lit(up))), 1, top)
-        return F.transform(kept, lambda x: F.struct(
-            x["feature"].alias("feature"),
-            F.when(x["vnum"].isNull(), x["vstr"].cast("variant"))
-             .when(x["whole"], x["vnum"].cast("bigint").cast("variant"))
-             .otherwise(F.bround(x["vnum"], 3).cast("variant")).alias("value"),
-            x["impact"].alias("impact"), magnitude(F.abs(x["raw"])).alias("magnitude"),
-            driver_phrase(x["feature"], x["vnum"], x["vstr"], F.lit(up)).alias("text")))
-    return rows.withColumns({"increasing": chosen(True, top_up), "decreasing": chosen(False, top_down)}).drop("_items")
+        own = F.transform(F.filter("_items", lambda x: (x["raw"] > 0) == F.lit(up)), lambda x: F.struct(
+            (-F.abs(F.bround(x["raw"], 3))).alias("key"), x["j"].alias("j"), F.bround(x["raw"], 3).alias("impact"),
+            magnitude(F.abs(x["raw"])).alias("magnitude")))  # the sort key comes first
+        return F.transform(F.slice(F.array_sort(own), 1, top), lambda x: F.struct(x["j"].alias("j"), x["impact"].alias("impact"),
+                                                                                 x["magnitude"].alias("magnitude")))
+    return rows.withColumns({out[0]: chosen(True, top_up), out[1]: chosen(False, top_down)}).drop("_items")
+
+
+def flight_drivers(flights: DataFrame, impacts: str, features: list[str], categorical: list[str], has_inbound: str = "has_inbound",
+                   top_up: int = 5, top_down: int = 3, floor: float = 0.1) -> DataFrame:
+    """Adds ``increasing`` and ``decreasing``: the drivers of ``select_drivers`` as arrays of (feature, value, impact, magnitude, text).
+
+    Values are columns of ``flights`` and typed: text, whole numbers, or numbers rounded to 3 decimals; a missing value is null.
+    """
+    kinds = dict(flights.dtypes)
+    whole = F.array(*[F.lit(kinds[f] in ("tinyint", "smallint", "int", "bigint")) for f in features])
+    names = F.array(*map(F.lit, features))
+    rows = select_drivers(_with_values(flights, features, categorical), impacts, features, has_inbound, top_up, top_down, floor, ("_up", "_down"))
+
+    def told(drivers: str, up: bool) -> Column:
+        found = F.transform(drivers, lambda x: F.struct(x["j"].alias("j"), x["impact"].alias("impact"), x["magnitude"].alias("magnitude"),
+                                                        F.get("_n", x["j"]).alias("n"), F.get("_s", x["j"]).alias("s"), F.get(names, x["j"]).alias("feature")))
+        cased = F.transform(found, lambda x: F.struct(x.alias("x"), phrase_case(features, x["j"], x["n"], F.lit(up)).alias("case")))
+
+        def one(y: Column) -> Column:
+            x = y["x"]
+            typed = (F.when(x["n"].isNull(), x["s"].cast("variant")).when(F.get(whole, x["j"]), x["n"].cast("bigint").cast("variant"))
+                     .otherwise(F.bround(x["n"], 3).cast("variant")))
+            return F.struct(x["feature"].alias("feature"), typed.alias("value"), x["impact"].alias("impact"), x["magnitude"].alias("magnitude"),
+                            phrase_text(x["feature"], y["case"], x["n"], x["s"]).alias("text"))
+        return F.transform(cased, one)
+    return rows.withColumns({"increasing": told("_up", True), "decreasing": told("_down", False)}).drop("_up", "_down", "_n", "_s")
+
+
+def driver_rows(chosen: DataFrame, features: list[str], id_col: str = "flight_id") -> DataFrame:
+    """``(id, direction, rank, feature, j, impact, magnitude)``: the drivers that ``select_drivers`` chose, a row for each."""
+    both = F.array(*[F.struct(F.lit(d).alias("direction"), F.transform(d, lambda x, i: F.struct(
+        (i + 1).alias("rank"), x["j"].alias("j"), x["impact"].alias("impact"), x["magnitude"].alias("magnitude"))).alias("_d"))
+        for d in ("increasing", "decreasing")])
+    rows = chosen.select(id_col, F.inline(both)).select(id_col, "direction", F.inline("_d"))
+    return rows.select(id_col, "direction", "rank", F.get(F.array(*map(F.lit, features)), "j").alias("feature"), "j", "impact", "magnitude")
 
 
 def explanation_record(flights: DataFrame, base_rate: DataFrame, prob: str = "prob", id_col: str = "flight_id",
@@ -273,7 +323,7 @@ def _hour_terms(h: Column) -> Column:
 
 def highlight_terms(narrated: DataFrame) -> DataFrame:
     """Mark the grounded terms of each driver in the text: longest term first, case-insensitive,
-    whole word, never inside an existing mark."""
+    whole word."""
     r = F.col("record")
     drivers = F.concat(r["drivers"]["increasing"], r["drivers"]["decreasing"])
     key_terms = F.create_map(*[x for k, v in KEY_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -294,6 +344,7 @@ def highlight_terms(narrated: DataFrame) -> DataFrame:
     ordered = F.array_sort(terms, lambda a, b: F.when(F.length(a) > F.length(b), -1)
                            .when(F.length(a) < F.length(b), 1)
                            .when(a < b, -1).when(a > b, 1).otherwise(0))
+    # one pass for each term: a shorter term is marked inside the mark of a longer one, as in the source
     marked = F.aggregate(ordered, F.col("explanation"), lambda acc, t: F.regexp_replace(
         acc, F.concat(F.lit(r"(?iU)(?<![*\w])(\Q"), t, F.lit(r"\E)(?![\w*])")), F.lit("**:orange[$1]**")))
     return narrated.select("flight_id", F.col("explanation"), marked.alias("highlighted"))

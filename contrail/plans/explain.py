@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contrail.functions.clock import dow_of, local_hour, month_of
 from contrail.operators import explain as X
 from contrail.registry import register
-from contrail.sources.fixtures import MODEL_FEATURES, attributions_v, flights_v, read_table, scored_v, with_views
+from contrail.sources.fixtures import MODEL_FEATURES, flights_v, read_table, scored_v, with_views
 from contrail.sql_helpers import DOW_SQL, HOUR_SQL, MONTH_SQL
 
 CATEGORICAL = ["Origin", "Dest", "Reporting_Airline"]
@@ -33,28 +33,12 @@ def feature_values(spark, sf_dir):
         F.when(gap.isNotNull() & (delay > gap * 60), 1).otherwise(0).alias("inbound_unlanded"))
 
 
-def value_map(spark, sf_dir):
-    """One row per flight: ``_vals`` maps each model feature to its ``(vnum, vstr)`` value.
-
-    Long attribution rows join this on ``flight_id`` alone and look their feature up in the
-    map, so the value side shuffles one row per flight, not one per (flight, feature)."""
-    v = feature_values(spark, sf_dir)
-    pairs = []
-    for feat in MODEL_FEATURES:
-        if feat in CATEGORICAL:
-            val = F.struct(F.lit(None).cast("double").alias("vnum"), F.col(feat).alias("vstr"))
-        else:
-            val = F.struct(F.col(feat).cast("double").alias("vnum"), F.col(feat).cast("string").alias("vstr"))
-        pairs += [F.lit(feat), val]
-    return v.select("flight_id", F.create_map(*pairs).alias("_vals"))
-
-
-def with_values(long_rows, spark, sf_dir, how="inner"):
-    """``vnum`` / ``vstr`` of each row's feature (an inner join keeps rows whose feature has a value)."""
-    j = long_rows.join(value_map(spark, sf_dir), "flight_id", how).withColumn("_v", F.col("_vals")[F.col("feature")])
-    if how == "inner":
-        j = j.where(F.col("_v").isNotNull())
-    return j.withColumn("vnum", F.col("_v.vnum")).withColumn("vstr", F.col("_v.vstr")).drop("_vals", "_v")
+def with_impacts(spark, sf_dir):
+    """Feature values of each flight, and its attributions as one array in the order of the features."""
+    k = F.col("flight_id")
+    impacts = F.array(*[((k * 37 + j * 101) % 400 - 200).cast("double") / 100 for j in range(len(MODEL_FEATURES))])
+    # a column of its own, as stored attributions are, and not an expression that is copied to each use
+    return feature_values(spark, sf_dir).select("*", F.inline(F.array(F.struct(impacts.alias("impacts")))))
 
 
 _VALS_SQL = f"""select flight_id, FlightDate, Origin, Dest, Reporting_Airline, {HOUR_SQL} as hour, {MONTH_SQL} as month,
@@ -82,7 +66,7 @@ def _q(s: str) -> str:
 
 
 def phrase_sql(f: str = "feature", n: str = "vnum", s: str = "vstr", u: str = "up") -> str:
-    """DuckDB text of ``X.driver_phrase`` (oracle side)."""
+    """DuckDB text of ``X.phrase_text`` (oracle side)."""
     P = {k: _q(v) for k, v in X.PHRASES.items()}
     fb = f"printf('{P['fallback']}', {f}, coalesce({s}, 'nan'))"
     r0 = f"cast(round_even({n}, 0) as integer)"
@@ -139,9 +123,7 @@ def q_risk_tiers(spark, sf_dir):
   {phrase_sql('a.feature', 'vl.vnum', 'vl.vstr', 'a.impact > 0')} as text
 from attributions_v a join vl on vl.flight_id = a.flight_id and vl.feature = a.feature""")
 def q_driver_phrases(spark, sf_dir):
-    j = with_values(attributions_v(spark, sf_dir), spark, sf_dir)
-    up = F.col("impact") > 0
-    return j.select("flight_id", "feature", up.alias("up"), X.driver_phrase("feature", "vnum", "vstr", up).alias("text"))
+    return X.driver_texts(with_impacts(spark, sf_dir), "impacts", MODEL_FEATURES, CATEGORICAL)
 
 
 @register("driver_selection", with_views("attributions_v") + """, s as (select *, impact > 0 as up, round(impact, 3) as ir
@@ -152,16 +134,14 @@ select flight_id, case when up then 'increasing' else 'decreasing' end as direct
   case when abs(impact) >= 1.0 then 'strong' when abs(impact) >= 0.3 then 'moderate' else 'slight' end as magnitude
 from r where rank <= case when up then 5 else 3 end""")
 def q_driver_selection(spark, sf_dir):
-    return X.select_drivers(attributions_v(spark, sf_dir)).drop("up")
+    return X.driver_rows(X.select_drivers(with_impacts(spark, sf_dir), "impacts", MODEL_FEATURES), MODEL_FEATURES)
 
 
 def records(spark, sf_dir):
     """Explanation records for every scored flight, from the fixture attributions."""
-    k = F.col("flight_id")
-    impacts = F.array(*[((k * 37 + j * 101) % 400 - 200).cast("double") / 100 for j in range(len(MODEL_FEATURES))])
     s = scored_v(spark, sf_dir).select("flight_id", F.col("score").alias("prob"), "y")
     base = s.agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
-    flights = feature_values(spark, sf_dir).withColumn("impacts", impacts).join(s, "flight_id")
+    flights = with_impacts(spark, sf_dir).join(s, "flight_id")
     return X.explanation_record(X.flight_drivers(flights, "impacts", MODEL_FEATURES, CATEGORICAL), base)
 
 

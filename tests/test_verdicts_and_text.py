@@ -58,7 +58,9 @@ def test_phrases_and_probability_text(spark):
             ("temperature_2m_orig", 30.0, None, False), ("Origin", None, "BOS", True), ("has_inbound", 1.0, "1", True),
             ("snowfall_dest", None, None, True)]
     df = spark.createDataFrame(rows, "f string, n double, s string, u boolean")
-    got = [r.t for r in df.select(X.driver_phrase("f", "n", "s", "u").alias("t")).collect()]
+    names = sorted({r[0] for r in rows})
+    j = F.array_position(F.array(*map(F.lit, names)), F.col("f")).cast("int") - 1
+    got = [r.t for r in df.withColumn("case", X.phrase_case(names, j, "n", "u")).select(X.phrase_text("f", "case", "n", "s").alias("t")).collect()]
     assert got == [
         "the inbound aircraft has no spare turnaround time",
         "the inbound aircraft has only ~12 min of spare turnaround time",
