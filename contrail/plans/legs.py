@@ -93,15 +93,35 @@ select l.*, {HOUR_SQL} as hour, {MONTH_SQL} as month, {DOW_SQL} as dow, o.snowfa
   left join weather_v o on o.airport = l.Origin and o.obs_time_utc = l.dep_hour_utc
   left join weather_v d on d.airport = l.Dest and d.obs_time_utc = l.arr_hour_utc"""}) + f"""
 select {', '.join(f'cf.{c}' if c in G.CASCADE_COLS else f'j.{c}' for c in SLICE)} from j join cf on cf.flight_id = j.flight_id
-where cast(j.FlightDate as date) > date '2024-01-25' and cast(j.FlightDate as date) <= date '2024-01-30'""")
+where cast(j.FlightDate as date) > date '2024-01-25'""")
 def q_serving_slice_model(spark, sf_dir):
-    """The test days' legs with all columns that the model and the pages need, written and read back."""
+    """The legs of the test split with all columns that the model and the pages need, read back from the serving table."""
+    path = serving_table(spark, sf_dir)
+    return spark.read.parquet(path).select(*[F.col(c).cast("string") if c == "FlightDate" else F.col(c) for c in SLICE])
+
+
+def serving_table(spark, sf_dir, path=None):
+    """Write the test split to a table partitioned by date and give its path. Only the dates that are written are replaced."""
     from contrail.functions.clock import dow_of, month_of
+    from contrail.operators.labels import date_split_label
+    from contrail.plans.models import TRAIN_END, VAL_END
     from contrail.plans.time import leg_table
-    from contrail.sources.sinks import materialize
+    from contrail.sources.sinks import scratch_path
     t = G.cascade_features(leg_table(spark, sf_dir)).withColumns({
         "hour": local_hour("CRSDepTime"), "month": month_of("FlightDate"), "dow": dow_of("FlightDate")})
-    return materialize(t.where(F.col("FlightDate").between("2024-01-26", "2024-01-30")).select(*SLICE), "slice")
+    path = path or scratch_path(spark, "serving")
+    rows = t.where(date_split_label("FlightDate", TRAIN_END, VAL_END) == "test").select(*SLICE)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("FlightDate").parquet(path)
+    return path
+
+
+@register("serving_dates", with_views("legs_v") + """select min(FlightDate) as first, max(FlightDate) as last, count(distinct FlightDate) as dates,
+  count(*) as legs from legs_v where cast(FlightDate as date) > date '2024-01-25'""")
+def q_serving_dates(spark, sf_dir):
+    """Date range of the serving table."""
+    t = spark.read.parquet(serving_table(spark, sf_dir))
+    return t.agg(F.min("FlightDate").cast("string").alias("first"), F.max("FlightDate").cast("string").alias("last"),
+                 F.countDistinct("FlightDate").alias("dates"), F.count(F.lit(1)).alias("legs"))
 
 
 @register("rate_by_inbound", _LAG_CTE + f""", t as (select disrupted,
@@ -141,6 +161,22 @@ def q_cascade_diagnostic(spark, sf_dir):
     return t.select("series", "ord", label.alias("bucket"), "rate", "n", "lift")
 
 
+@register("cascade_shares", _LAG_CTE + f""" select count(*) as n, round(avg(cast(has_inbound as double)), {ROUND}) as linked,
+  round(avg(cast(inbound_unlanded as double)) filter (where has_inbound = 1), {ROUND}) as unlanded_of_linked,
+  round(avg(cast(disrupted as double)) filter (where has_inbound = 1 and inbound_unlanded = 1), {ROUND}) as rate_unlanded,
+  round(avg(cast(disrupted as double)) filter (where has_inbound = 1 and inbound_unlanded = 0), {ROUND}) as rate_landed from cf""")
+def q_cascade_shares(spark, sf_dir):
+    """Share of legs with an inbound leg, of those whose inbound leg has not landed by departure, and the rate of either."""
+    c = G.cascade_features(legs_v(spark, sf_dir))
+    linked, late = F.col("has_inbound") == 1, F.col("inbound_unlanded") == 1
+
+    def share(of, among=None):
+        return F.round(F.avg(F.when(among, of.cast("double")) if among is not None else of.cast("double")), ROUND)
+    return c.agg(F.count(F.lit(1)).alias("n"), share(linked).alias("linked"), share(late, linked).alias("unlanded_of_linked"),
+                 share(F.col("disrupted") == 1, linked & late).alias("rate_unlanded"),
+                 share(F.col("disrupted") == 1, linked & ~late).alias("rate_landed"))
+
+
 # ---------------------------------------------------------------- scheduled load
 
 _LOAD_CTE = with_views("flights_v", extra={

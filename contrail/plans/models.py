@@ -19,13 +19,15 @@ from contrail.operators import curves as C
 from contrail.operators import isotonic as I
 from contrail.operators import legs as G
 from contrail.operators import models as M
+from contrail.operators.explain import risk_tier
 from contrail.operators.labels import date_split_label
+from contrail.operators.sampling import stratified_sample
 from contrail.operators.scalars import attach
 from contrail.plans.time import leg_table
 from contrail.registry import register
 from contrail.sources.fixtures import with_views
 from contrail.session import checkpoint_dir
-from contrail.sources.sinks import exists, fingerprint, load_bundle, reuse, save_bundle, scratch_path
+from contrail.sources.sinks import exists, fingerprint, load_bundle, log_run, reuse, save_bundle, scratch_path, write_parquet
 
 TRAIN_END, VAL_END = "2024-01-20", "2024-01-25"
 
@@ -277,3 +279,29 @@ def q_bundle_roundtrip(spark, sf_dir):
     out = I.calibrate(_scored(rows, again), steps)
     return out.select("flight_id", "y", "score", "cal_score", (F.col("cal_score") == F.col("in_memory")).alias("same"),
                       F.lit(len(cfg["features"])).alias("n_features"), F.lit(cfg["base_rate"]).alias("base_rate"))
+
+
+@register("model_eval_set")
+def q_model_eval_set(spark, sf_dir):
+    """The frozen evaluation set: 250 test rows, as many from each cell of risk tier and inbound link as there are, with all model
+    columns, calibrated probability and tier; written once beside the bundle and read back."""
+    path = bundle(spark, sf_dir)
+    if not exists(spark, f"{path}/eval_set/_SUCCESS"):
+        _, _, test, _ = _calibrated(spark, sf_dir)
+        rows = test.select("flight_id", "FlightDate", *M.FEATURES, "y", F.col("cal_score").alias("cal_prob"), risk_tier("cal_score").alias("risk_tier"))
+        write_parquet(stratified_sample(rows, ["risk_tier", "has_inbound"], 250, "flight_id", 7), f"{path}/eval_set")
+    return spark.read.parquet(f"{path}/eval_set")
+
+
+@register("calibration_run")
+def q_calibration_run(spark, sf_dir):
+    """Metrics of the calibration as a run of the run log: calibration error and Brier score before and after, mean predictions, actual rate."""
+    _, _, test, _ = _calibrated(spark, sf_dir)
+    rows = reuse(test.select("y", "score", "cal_score"))
+    found = {r.scores: r for r in q_model_calibration(spark, sf_dir).collect()}
+    mean = rows.agg(F.avg("score").alias("raw"), F.avg("cal_score").alias("cal"), F.avg("y").alias("y")).first()
+    path = scratch_path(spark, "run-log")
+    log_run(spark, path, "isotonic_calibration", metrics={
+        "ece_raw": found["raw"].ece, "ece_calibrated": found["calibrated"].ece, "brier_raw": found["raw"].brier,
+        "brier_calibrated": found["calibrated"].brier, "mean_pred_raw": mean.raw, "mean_pred_cal": mean.cal, "actual_rate": mean.y})
+    return spark.read.parquet(path).drop("ts")

@@ -142,12 +142,12 @@ def _keyed_sql(key: str) -> str:
 
 @register("rate_by_airport", _keyed_sql("Origin"))
 def q_rate_by_airport(spark, sf_dir):
-    return R.rate_table(labelled(spark, sf_dir), ["Origin"])
+    return R.rate_table(labelled(spark, sf_dir), ["Origin"]).orderBy(F.asc("rate"), "Origin")
 
 
 @register("rate_by_carrier", _keyed_sql("Reporting_Airline"))
 def q_rate_by_carrier(spark, sf_dir):
-    return R.rate_table(labelled(spark, sf_dir), ["Reporting_Airline"])
+    return R.rate_table(labelled(spark, sf_dir), ["Reporting_Airline"]).orderBy(F.asc("rate"), "Reporting_Airline")
 
 
 # ---------------------------------------------------------------- binned weather tables
