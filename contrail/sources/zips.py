@@ -12,6 +12,7 @@ speculative tasks leave nothing behind, and a reader never meets half an archive
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
 import posixpath
@@ -43,10 +44,13 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def archives(uri: str) -> list[pafs.FileInfo]:
-    """The zip files of a folder, by name; none if it does not exist. Folders that start with a sign of hidden files are passed over."""
+    """The zip files of a folder, by name, or those of its files that fit a pattern like ``folder/x_*.zip``; none if the folder does not exist.
+    Names that start with a sign of hidden files are passed over."""
     fs, path = file_system(uri)
-    found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-    return sorted((f for f in found if f.is_file and f.base_name.lower().endswith(".zip") and f.base_name[0] not in "._"), key=lambda f: f.path)
+    folder, name = posixpath.split(path.rstrip("/"))
+    folder, name = (folder, name) if set(name) & set("*?[") else (path, "*.[zZ][iI][pP]")
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted((f for f in found if f.is_file and f.base_name[0] not in "._" and fnmatch.fnmatchcase(f.base_name, name)), key=lambda f: f.path)
 
 
 def match_headers(headers: list[str], wanted: list[str], where: str = "the table") -> list[str]:
@@ -199,7 +203,7 @@ class ZipCsv(DataSource):
 
 
 def scan_zips(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """``(_source, columns...)``: the first CSV file of every archive in ``folder``, headers matched up to case and underscores, all
+    """``(_source, columns...)``: the first CSV file of every archive in ``folder`` (or of a pattern in it), headers matched up to case and underscores, all
     values as text, empty ones null."""
     spark.dataSource.register(ZipCsv)
     return spark.read.format("zipcsv").option("columns", json.dumps(columns)).load(folder)
