@@ -99,9 +99,8 @@ def test_zip_writer_splits_large_groups(spark):
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
         F.col("o_orderkey").cast("string").alias("id"), F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("yr"))
     d = tempfile.mkdtemp(prefix="contrail-zipw-")
-    files = FS.write_zip_csv(o, d, F.col("yr"), "y", max_rows=100).toPandas()
-    per_year = o.groupBy("yr").count().toPandas().set_index("yr")["count"]
-    assert len(files) > len(per_year) and files["rows"].sum() == per_year.sum()
+    FS.write_zip_csv(o, d, F.col("yr"), "y", max_rows=100)
+    assert len(os.listdir(d)) > o.select("yr").distinct().count() and all(f.startswith("y_") for f in os.listdir(d))
     back = FS.scan_zip_csv(spark, f"{d}/*.zip", ["id", "yr"]).drop("_source")
     assert sorted(map(tuple, back.toPandas().values.tolist())) == sorted(map(tuple, o.toPandas().values.tolist()))
 
