@@ -1,14 +1,15 @@
 """Language-model scores by a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-The model predicts a token from the one before. Tokens are the ``classes`` most frequent training words, the end mark,
-and one class for all other words; a context vector, multiplied by a matrix, meets the target vectors, and a
-bias is added. Inside the class of other words a token has its share of their smoothed counts, so the
-probabilities of all known words and one unknown event add up to 1.
+The model predicts the class of a token from the class of the one before, then the token inside its class by its share of the
+class's smoothed counts. Every word has a class, however many words there are: the ``classes`` most frequent ones (and the end
+mark) one of their own, other frequent words that of the group of words they stand next to, all others, unknown ones too, that
+of their spelling, learned from the frequent words. A context vector, multiplied by a matrix, meets the target vectors, and a
+bias is added. The probabilities of all known words and one unknown event in each class of spelling add up to 1.
 
-Training sees every training token: Spark sums the pairs of neighbouring classes over the corpus, a table of at most
-(classes + 2) squared rows. The noise-contrastive objective depends on the corpus by these counts alone, so its
-gradient is taken over all of them at once, with the noise in expectation. Batched matrix products then give the
-normalised log-probabilities of all targets in all contexts.
+Training sees every training token: Spark sums the pairs of neighbouring classes over the corpus, a table of bounded
+size. The noise-contrastive objective depends on the corpus by these counts alone, so its gradient is taken over all of them
+at once, with the noise in expectation. Batched matrix products then give the normalised log-probabilities of all targets in
+all contexts.
 
 Counts of words are exact and open: frequent words, ``head`` at most, travel to the tasks, all others meet
 their counts in a join by word, summed per document and word before.
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.llm.common import crc_fold, id_text
-from contrail.sources.sinks import materialize
+from contrail.sources.sinks import discard, materialize
 
 #: Words hold no line end, so this key cannot be a word.
 END = "\n"
 #: Longest word, in bytes, that travels to the tasks.
 LONGEST = 64
 SMOOTH = 0.1
+#: Hashes of three-byte strings; a power of two.
+GRAMS = 1 << 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,29 +70,216 @@ class Numbers(dict):
         return -1
 
 
-def pair_counts(train: DataFrame, head: dict[bytes, int], classes: int) -> np.ndarray:
-    """Matrix of how often class j follows class i; the last row is the start of a text, ``classes`` all other words.
+def text_blocks(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """First row and words of the texts of consecutive rows, some ``size`` bytes of text (at least one row) at a time."""
+    first, block, held = 0, [], 0
+    for k, value in enumerate(batch.column("text")):
+        text = value.as_py()
+        block.append(words_of(text))
+        held += len(text or "") + 100
+        if held >= size:
+            yield first, block
+            first, block, held = k + 1, [], 0
+    if block:
+        yield first, block
+
+
+def gram_numbers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all three-byte strings of the words between two marks, word after word, and where each word's begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in words), np.uint8).astype(np.uint32)
+    hashed = ((text[:-2] * 40503 + text[1:-1]) * 40503 + text[2:]) * 40503 >> 8 & (GRAMS - 1)
+    inside = np.ones(len(text), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    return hashed[inside[:-2]], ends - sizes - 2 * np.arange(len(words))
+
+
+def spelled(words: list[bytes], weights: np.ndarray, size: int = 100_000) -> np.ndarray:
+    """The group of each word that its three-byte strings speak for most."""
+    out = np.zeros(len(words), np.int64)
+    lo = 0
+    while lo < len(words):
+        hi, held = lo, 0
+        while hi < len(words) and held < size:
+            held += len(words[hi])
+            hi += 1
+        grams, starts = gram_numbers(words[lo:hi])
+        if held > 10 * size:  # a very long word: its strings are counted first
+            stops = np.r_[starts[1:], len(grams)]
+            sums = np.array([np.bincount(grams[x:y], minlength=GRAMS) @ weights for x, y in zip(starts, stops, strict=True)])
+        else:
+            sums = np.add.reduceat(weights[grams], starts, 0)
+        out[lo:hi] = sums.argmax(1)
+        lo = hi
+    return out
 
-    ``head`` numbers words by falling frequency; the end mark is class 0.
-    """
-    shared = train.sparkSession.sparkContext.broadcast({w: i for w, i in head.items() if i < classes})
 
+@dataclass
+class Classes:
+    """Classes of all words: plain data, so that it travels to workers as a tuple."""
+
+    head: dict[bytes, int]  # number of each frequent word, by falling frequency, from 1; 0 is the end mark
+    own: np.ndarray  # class of each number; -1: by spelling
+    weights: np.ndarray  # group weights of hashed three-byte strings
+    first: int  # classes from here on are those of spelling
+
+    @property
+    def total(self) -> int:
+        return self.first + self.weights.shape[1]
+
+    def plain(self) -> tuple:
+        return self.head, self.own, self.weights, self.first
+
+
+def class_sequence(block: list[list[bytes]], number: Numbers, own: np.ndarray, weights: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
+    """Numbers (-1: not in the head) and classes of the tokens of all texts of a block, end marks included, and where the texts begin."""
+    starts = np.cumsum([0] + [len(w) + 1 for w in block])
+    ids = np.zeros(starts[-1], np.int64)
+    for at, w in zip(starts, block, strict=False):
+        ids[at:at + len(w)] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
+    classes = np.where(ids >= 0, own[ids], -1)
+    open_ = np.flatnonzero(classes < 0)
+    if len(open_):
+        text = np.searchsorted(starts, open_, "right") - 1
+        words = [block[t][k] for t, k in zip(text.tolist(), (open_ - starts[text]).tolist(), strict=True)]
+        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        classes[open_] = first + spelled(list(place), weights)[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+    return ids, classes, starts[:-1]
+
+
+def _cell_sums(train: DataFrame, count, cells: int) -> DataFrame:
+    """``(cell, n)``: sums over all texts of the table of ``cells`` numbers to which ``count(block, table)`` adds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers(shared.value)
-        total = np.zeros((classes + 2) * (classes + 1), np.int64)
+        table = np.zeros(cells, np.int64)
         for batch in batches:
-            for value in batch.column("text"):
-                w = words_of(value.as_py())
-                ids = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-                ids[ids < 0] = classes
-                ids = np.r_[classes + 1, ids, 0]
-                np.add.at(total, ids[:-1] * (classes + 1) + ids[1:], 1)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
-    rows = train.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((classes + 2) * (classes + 1))
+            for _, block in text_blocks(batch):
+                count(block, table)
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["cell", "n"])
+    return train.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(train: DataFrame, classes: Classes) -> np.ndarray:
+    """Matrix of how often class j follows class i; the last row is the start of a text."""
+    shared = train.sparkSession.sparkContext.broadcast(classes.plain())
+    total = classes.total
+
+    def count(block: list[list[bytes]], table: np.ndarray) -> None:
+        head, own, weights, first = shared.value
+        _, seq, starts = class_sequence(block, Numbers(head), own, weights, first)
+        before = np.r_[total, seq[:-1]]
+        before[starts] = total
+        np.add.at(table, before * total + seq, 1)
+    rows = _cell_sums(train, count, (total + 1) * total).toPandas()
+    out = np.zeros((total + 1) * total)
     out[rows.cell.to_numpy(np.int64)] = rows.n.to_numpy()
-    return out.reshape(classes + 2, classes + 1)
+    return out.reshape(total + 1, total)
+
+
+def group_words(pairs: np.ndarray, groups: int, rounds: int = 30) -> np.ndarray:
+    """Group of each class of ``pairs`` (square) by what stands before and after it: k-means on the sphere, started far apart."""
+    beside = np.c_[pairs, pairs.T]
+    often = beside.sum(1)
+    usual = beside.sum(0) / max(beside.sum(), 1)
+    x = np.sqrt(beside / np.maximum(often, 1)[:, None]) - np.sqrt(usual)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    weight = np.sqrt(often)
+    centres = [x[weight.argmax()]]
+    while len(centres) < groups:
+        centres.append(x[(weight * np.min([((x - c)**2).sum(1) for c in centres], 0)).argmax()])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        mine = (x @ centres.T).argmax(1)
+        for k in range(groups):
+            if (mine == k).any():
+                centres[k] = weight[mine == k] @ x[mine == k]
+                centres[k] /= np.linalg.norm(centres[k]) + 1e-9
+    return (x @ centres.T).argmax(1)
+
+
+def neighbour_groups(train: DataFrame, head: dict[bytes, int], group: np.ndarray, groups: int, near: int = 3) -> np.ndarray:
+    """Group of each word of the head by the grouped words at most ``near`` places away; -1 for words that never stand near one."""
+    size = len(head) + 1
+    shared = train.sparkSession.sparkContext.broadcast((head, group))
+
+    def count(block: list[list[bytes]], table: np.ndarray) -> None:
+        head, group = shared.value
+        number, known = Numbers(head), len(group)
+        for w in block:
+            ids = np.r_[np.fromiter(map(number.__getitem__, w), np.int64, len(w)), 0]
+            voice = np.where((ids >= 0) & (ids < known), group[np.clip(ids, 0, known - 1)], -1)
+            for k in range(1, near + 1):
+                for word, by in ((ids[:-k], voice[k:]), (ids[k:], voice[:-k])):
+                    some = (word >= 0) & (by >= 0)
+                    np.add.at(table, word[some] * groups + by[some], 1)
+    votes = _cell_sums(train, count, size * groups).select(F.floor(F.col("cell") / groups).alias("word"), (F.col("cell") % groups).cast("int").alias("g"), "n")
+    votes = materialize(votes, "lm-votes")
+    sums = np.full(groups, 1e-9)
+    for g, n in votes.groupBy("g").agg(F.sum("n")).collect():
+        sums[g] += n
+    share = F.element_at(F.array(*(F.lit(float(x)) for x in sums / sums.sum())), F.col("g") + 1)
+    best = votes.groupBy("word").agg(F.max_by("g", F.struct((F.col("n") + 2 * share) / F.sqrt(share), -F.col("g"))).alias("g")).toPandas()
+    discard(votes)
+    out = np.full(size, -1)
+    out[best.word.to_numpy(np.int64)] = best.g.to_numpy()
+    return out
+
+
+def spelling_weights(words: list[bytes], group: np.ndarray, groups: int) -> np.ndarray:
+    """How much more often than elsewhere each hashed three-byte string stands in words of each group, as a logarithm."""
+    seen = np.zeros((GRAMS, groups))
+    usual = (np.bincount(group, minlength=groups) + 1) / (len(group) + groups)
+    for lo in range(0, len(words), 10_000):
+        grams, starts = gram_numbers(words[lo:lo + 10_000])
+        np.add.at(seen, (grams, np.repeat(group[lo:lo + 10_000], np.diff(np.r_[starts, len(grams)]))), 1)
+    return np.log((seen + usual) / (seen.sum(1, keepdims=True) + 1) / usual).astype(np.float32)
+
+
+def word_classes(train: DataFrame, words: list[bytes], classes: int, groups: int, often: int = 20_000) -> Classes:
+    """Classes of all words from the head, ``words`` by falling frequency: the first ``classes`` numbers (the end mark is number 0)
+    have their own, the next up to ``often`` and the others of the head those of two bands of groups, open words those of spelling."""
+    head = {w: i + 1 for i, w in enumerate(words)}
+    alone = np.full(len(words) + 1, -1)
+    classes = min(classes, len(alone))
+    alone[:classes] = np.arange(classes)
+    groups = min(groups, classes)
+    pairs = pair_counts(train, Classes(head, alone, np.zeros((GRAMS, 1), np.float32), classes))[:classes, :classes]
+    near = neighbour_groups(train, head, group_words(pairs, groups), groups)
+    band = (np.arange(len(alone)) >= often).astype(np.int64)
+    own = np.where(alone >= 0, alone, np.where(near >= 0, classes + band * groups + near, -1))
+    known = np.flatnonzero(near[1:] >= 0)
+    weights = spelling_weights([words[i] for i in known], near[known + 1], groups)
+    return Classes(head, own, weights, classes + 2 * groups)
+
+
+def class_masses(table: DataFrame, classes: Classes) -> np.ndarray:
+    """Smoothed count of the known words of each class, and of one unknown event in each class of spelling."""
+    shared = table.sparkSession.sparkContext.broadcast(classes.plain())
+    total = classes.total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own, weights, first = shared.value
+        number = Numbers(head)
+        n, kinds = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                words = [w.encode() for w in part.column("word").to_pylist()]
+                ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                mine = np.where(ids >= 0, own[ids], -1)
+                open_ = np.flatnonzero(mine < 0)
+                mine[open_] = first + spelled([words[i] for i in open_], weights)
+                np.add.at(n, mine, np.asarray(part.column("c")))
+                kinds += np.bincount(mine, minlength=total)
+        some = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(kinds[some])], names=["class", "n", "kinds"])
+    sums = table.where(F.col("word") != END).mapInArrow(run, "class bigint, n bigint, kinds bigint").groupBy("class").agg(
+        F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
+    out = np.zeros(total)
+    out[classes.first:] = SMOOTH
+    np.add.at(out, sums["class"].to_numpy(np.int64), sums.n.to_numpy() + SMOOTH * sums.kinds.to_numpy())
+    return out
 
 
 def train_log_bilinear(pairs: np.ndarray, size: int = 24, noise: int = 8, steps: int = 250, rate: float = 0.05, seed: int = 5) -> np.ndarray:
@@ -128,33 +318,28 @@ def train_log_bilinear(pairs: np.ndarray, size: int = 24, noise: int = 8, steps:
 
 @dataclass
 class LanguageModel:
-    head: dict[bytes, int]  # number of each frequent word, the end mark first, then by falling frequency
-    counts: np.ndarray  # training count of each
-    classes: int  # the first so many are classes of their own
+    classes: Classes
+    counts: np.ndarray  # training count of the end mark and of each word of the head
+    masses: np.ndarray  # smoothed count of each class
     log_probs: np.ndarray  # log10 probability of each class after each context
     tokens: int  # N
     kinds: int  # V
     table: DataFrame  # (word, c) of all training words
 
-    @property
-    def others(self) -> float:
-        """Smoothed count of all words outside the classes, with one unknown event."""
-        own = self.counts[:self.classes]
-        return self.tokens - own.sum() + SMOOTH * (self.kinds - int((own > 0).sum()) + 1)
-
 
-def learn(docs: DataFrame, text_col: str = "text", classes: int = 768, head: int = 200_000, **options) -> LanguageModel:
+def learn(docs: DataFrame, text_col: str = "text", classes: int = 768, head: int = 200_000, groups: int = 16, **options) -> LanguageModel:
     """Learn from all texts of ``docs``; a null text counts as an empty one, which is one end mark."""
     train = docs.select(F.col(text_col).cast("string").alias("text"))
     table = materialize(word_counts(train), "word-counts")
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = table.where((F.octet_length("word") <= LONGEST) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(head).toPandas()
+    # words seen once tell how words never seen behave: both go by spelling
+    top = table.where((F.col("c") > 1) & (F.octet_length("word") <= LONGEST) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(head).toPandas()
     ends = table.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    numbers = {w.encode(): i + 1 for i, w in enumerate(top.word)}
     counts = np.r_[ends, top.c.to_numpy(np.float64)]
-    classes = min(classes, len(counts))
-    pairs = pair_counts(train, numbers, classes)
-    return LanguageModel(numbers, counts, classes, train_log_bilinear(pairs, **options) / np.log(10), n, v, table)
+    found = word_classes(train, [w.encode() for w in top.word], classes, groups)
+    masses = class_masses(table, found)
+    masses[0] += ends + SMOOTH
+    return LanguageModel(found, counts, masses, train_log_bilinear(pair_counts(train, found), **options) / np.log(10), n, v, table)
 
 
 def scores(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,52 +350,46 @@ def scores(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     Null ids and repeated rows are scored like any row. Other columns are not read.
     """
     docs = id_text(docs, id_col, text_col)
-    size = len(model.counts)
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, np.r_[model.counts, 0.0], model.classes, model.log_probs))
+    log_count = np.log10(np.r_[model.counts, 1 - SMOOTH] + SMOOTH)  # words outside the head are added after the join
+    # a class in which no word was seen and none can be met has no mass
+    inside = np.log10(np.where(model.masses > 0, model.masses, 1.0))
+    shared = docs.sparkSession.sparkContext.broadcast((*model.classes.plain(), log_count, model.counts > 0, inside, model.log_probs))
     trained = model.tokens > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, counts, classes, log_probs = shared.value
+        head, own, weights, first, log_count, known, inside, log_probs = shared.value
         number = Numbers(head)
-        log_count = np.log10(counts + SMOOTH)
-        log_count[size] = 0.0  # words outside the head are added after the join
-        known = counts > 0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for value in batch.column("text"):
-                    w = words_of(value.as_py())
-                    ids = np.fromiter(map(number.__getitem__, w), np.int64, len(w) + 0)
-                    rare = Counter(w[i].decode("utf-8", "replace") for i in np.flatnonzero(ids < 0))
-                    ids = np.r_[np.where(ids < 0, size, ids), 0]
-                    own = np.minimum(ids, classes)
-                    logs = log_count[ids]
-                    model_score = log_probs[np.r_[classes + 1, own[:-1]], own].sum() if trained else 0.0
-                    other = own == classes
-                    for column, x in zip(out, (len(ids), int(known[ids].sum()), float(logs.sum()), float(model_score + logs[other].sum()),
-                                               int(other.sum()), list(rare.items())), strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
-                         pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-                rare = pa.array([[{"word": a, "n": b} for a, b in x] for x in out[5]], kinds[5])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out[:5], kinds[:5], strict=True)), rare],
-                                                 names=["doc_id", "n_tokens", "n_head", "logs", "model", "n_other", "rare"])
+        for batch in batches:
+            for row, block in text_blocks(batch):
+                ids, seq, starts = class_sequence(block, number, own, weights, first)
+                before = np.r_[len(inside), seq[:-1]]
+                before[starts] = len(inside)
+                logs = log_count[ids]
+                full = log_probs[before, seq] + logs - inside[seq]
+                seen = np.where(ids >= 0, known[ids], False).astype(np.int64)
+                rare = []
+                for w, part in zip(block, np.split(ids, starts[1:]), strict=True):
+                    often = Counter(w[i].decode("utf-8", "replace") for i in np.flatnonzero(part < 0))
+                    rare.append([{"word": a, "n": b} for a, b in often.items()])
+                kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(row, len(block)), pa.array(np.diff(np.r_[starts, len(ids)])), pa.array(np.add.reduceat(seen, starts)),
+                     pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(full, starts)), pa.array(rare, kind)],
+                    names=["doc_id", "n_tokens", "n_head", "logs", "model", "rare"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_head bigint, logs double, model double, n_other bigint, "
-                                 "rare array<struct<word: string, n: bigint>>")
-    first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "lm-scan")
-    rare = first.select("row", F.inline("rare")).join(model.table, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    scanned = docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_head bigint, logs double, model double, "
+                                   "rare array<struct<word: string, n: bigint>>")
+    scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-scan")
+    rare = scanned.select("row", F.inline("rare")).join(model.table, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("rare_logs"),
                                    F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    out = first.drop("rare").join(rare, "row", "left")
+    out = scanned.drop("rare").join(rare, "row", "left")
     more = F.coalesce("rare_logs", F.lit(0.0))
     base_total = float(np.log10(model.tokens + SMOOTH * (model.kinds + 1)))
-    other_total = float(np.log10(model.others)) if trained else float(np.log10(SMOOTH))
     return out.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
                       F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
                       (F.col("logs") + more - F.col("n_tokens") * base_total).alias("base_score"),
-                      (F.col("model") + more - F.col("n_other") * other_total if trained else F.lit(0.0)).alias("score"))
+                      (F.col("model") + more if trained else F.lit(0.0)).alias("score"))
 
 
 def learn_by_fold(docs: DataFrame, folds: int = 10, held: int = 0, **options) -> LanguageModel:
