@@ -140,7 +140,9 @@ def class_sequence(block: list[list[bytes]], number: Numbers, own: np.ndarray, w
         ids[at:at + len(w)] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
     classes = np.where(ids >= 0, own[ids], -1)
     open_ = np.flatnonzero(classes < 0)
-    if len(open_):
+    if weights.shape[1] == 1:
+        classes[open_] = first
+    elif len(open_):
         text = np.searchsorted(starts, open_, "right") - 1
         words = [block[t][k] for t, k in zip(text.tolist(), (open_ - starts[text]).tolist(), strict=True)]
         place = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -206,13 +208,16 @@ def neighbour_groups(train: DataFrame, head: dict[bytes, int], group: np.ndarray
     def count(block: list[list[bytes]], table: np.ndarray) -> None:
         head, group = shared.value
         number, known = Numbers(head), len(group)
-        for w in block:
-            ids = np.r_[np.fromiter(map(number.__getitem__, w), np.int64, len(w)), 0]
-            voice = np.where((ids >= 0) & (ids < known), group[np.clip(ids, 0, known - 1)], -1)
-            for k in range(1, near + 1):
-                for word, by in ((ids[:-k], voice[k:]), (ids[k:], voice[:-k])):
-                    some = (word >= 0) & (by >= 0)
-                    np.add.at(table, word[some] * groups + by[some], 1)
+        starts = np.cumsum([0] + [len(w) + 1 + near for w in block])  # texts stand further apart than words are near
+        ids = np.full(starts[-1], -1)
+        for at, w in zip(starts, block, strict=False):
+            ids[at:at + len(w)] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
+            ids[at + len(w)] = 0
+        voice = np.where((ids >= 0) & (ids < known), group[np.clip(ids, 0, known - 1)], -1)
+        for k in range(1, near + 1):
+            for word, by in ((ids[:-k], voice[k:]), (ids[k:], voice[:-k])):
+                some = (word >= 0) & (by >= 0)
+                np.add.at(table, word[some] * groups + by[some], 1)
     votes = _cell_sums(train, count, size * groups).select(F.floor(F.col("cell") / groups).alias("word"), (F.col("cell") % groups).cast("int").alias("g"), "n")
     votes = materialize(votes, "lm-votes")
     sums = np.full(groups, 1e-9)
