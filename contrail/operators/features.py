@@ -7,11 +7,10 @@ without a time zone stops the build: its hours would be null without a word.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from contrail.operators.labels import make_target
 from contrail.operators.legs import cascade_features
-from contrail.operators.schedule import require_zones, schedule_hours
+from contrail.operators.schedule import refuse_unknown, schedule_hours
 from contrail.operators.weather import join_weather_both, prepare_weather
 
 
@@ -21,7 +20,5 @@ def build_features(legs: DataFrame, weather: DataFrame, values: list[str], targe
     ``weather`` may hold several observations of an airport-hour; the one with the smallest ``event_id`` counts.
     """
     kept = make_target(legs, target)
-    both = kept.select(F.explode(F.array("Origin", "Dest")).alias("airport"))
-    require_zones(both, "airport")
-    timed = cascade_features(schedule_hours(kept))
+    timed = cascade_features(schedule_hours(refuse_unknown(kept, "Dest")))
     return join_weather_both(timed, prepare_weather(weather, values), values)

@@ -18,23 +18,25 @@ def attach_zone(df: DataFrame, airport_col: str, zone_col: str = "_zone") -> Dat
     return df.join(dim, F.col(airport_col) == F.col("_zcode"), "left").drop("_zcode")
 
 
-def unknown_airports(df: DataFrame, airport_col: str) -> DataFrame:
-    """Distinct airport codes with no zone (the conversion refuses them; see ``require_zones``)."""
-    z = attach_zone(df.select(airport_col).distinct(), airport_col)
-    return z.where(F.col("_zone").isNull() & F.col(airport_col).isNotNull()).select(airport_col)
+def refuse_unknown(df: DataFrame, *airport_cols: str) -> DataFrame:
+    """``df``, whose job fails if any airport column holds a code without a zone; the error lists all such codes.
 
-
-def require_zones(df: DataFrame, airport_col: str) -> None:
-    """Raise with all unknown airport codes (the distinct codes of the column at most)."""
-    bad = sorted(r[0] for r in unknown_airports(df, airport_col).collect())
-    if bad:
-        raise KeyError(f"airports missing from the zone map: {bad}")
+    The codes are aggregated in the same job (column-pruned, distinct codes only) and guard the first column's values, so
+    nothing runs before an action and nothing passes the driver. Null codes are no codes.
+    """
+    codes = df.select(F.explode(F.array(*airport_cols)).alias("_code")).where(F.col("_code").isNotNull()).distinct()
+    dim = F.broadcast(airport_dim(df.sparkSession).select("code"))
+    bad = codes.join(dim, F.col("_code") == F.col("code"), "left_anti").agg(
+        F.array_join(F.sort_array(F.collect_set("_code")), ", ").alias("bad")).scalar()
+    first = airport_cols[0]
+    return df.withColumn(first, F.when(bad == "", F.col(first)).otherwise(
+        F.raise_error(F.concat(F.lit("airports missing from the zone map: "), bad)).cast("string")))
 
 
 def with_utc(df: DataFrame, date: str = "FlightDate", hhmm: str = "CRSDepTime", airport: str = "Origin",
              out: str = "dep_utc") -> DataFrame:
-    """Exact (unfloored) UTC instant of the scheduled local time at ``airport``."""
-    z = attach_zone(df, airport)
+    """Exact (unfloored) UTC instant of the scheduled local time at ``airport``; unknown airports fail the job."""
+    z = attach_zone(refuse_unknown(df, airport), airport)
     return z.withColumn(out, to_utc(local_wall_time(date, hhmm), "_zone")).drop("_zone")
 
 

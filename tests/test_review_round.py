@@ -84,10 +84,17 @@ def test_records_keep_types_and_nulls(spark):
 
 
 def test_all_unknown_airports_are_named(spark):
-    df = spark.createDataFrame([(f"Q{i:02d}",) for i in range(80)] + [("BOS",), (None,)], "Origin string")
-    with pytest.raises(KeyError) as e:
-        S.require_zones(df, "Origin")
-    assert all(f"Q{i:02d}" in str(e.value) for i in range(80)) and "BOS" not in str(e.value)
+    row = "FlightDate string, CRSDepTime double, CRSElapsedTime double"
+    df = spark.createDataFrame([(f"Q{i:02d}", "2024-01-15", 900.0, 60.0) for i in range(80)] + [("BOS", "2024-01-15", 900.0, 60.0)], f"Origin string, {row}")
+    for job in (S.refuse_unknown(df, "Origin"), S.with_utc(df), S.schedule_hours(df)):
+        with pytest.raises(Exception) as e:
+            job.collect()
+        assert all(f"Q{i:02d}" in str(e.value) for i in range(80)) and "BOS, " not in str(e.value)
+    known = spark.createDataFrame([("BOS", "2024-01-15", 900.0, 60.0), (None, "2024-01-15", 900.0, 60.0)], f"Origin string, {row}")
+    assert [r.dep_utc is None for r in S.with_utc(known).orderBy(F.col("Origin").desc()).collect()] == [False, True]
+    both = known.withColumn("Dest", F.lit("QQQ"))
+    with pytest.raises(Exception, match="QQQ"):
+        S.refuse_unknown(both, "Dest").collect()
 
 
 def test_no_silent_checkpoint_folder_on_a_cluster():
