@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from contrail.llm.neural_lm import GRAMS, SMOOTH, Classes, learn, learn_by_fold, pair_counts, scores, train_log_bilinear
+from contrail.llm.neural_lm import GRAMS, SMOOTH, Classes, learn, learn_by_fold, pair_counts, scores, spelled, train_log_bilinear
 from tests.conftest import SF_MID, SF_SMALL
 
 
@@ -121,3 +121,10 @@ def test_edges(spark):
     none = learn(df.limit(0))
     assert {(r.base_score, r.score, r.n_known) for r in scores(df, none).collect()} == {(0.0, 0.0, 0)}
     assert scores(df.limit(0), model).collect() == []
+
+
+def test_very_long_words_are_spelled_whole():
+    r = np.random.default_rng(3)
+    weights = r.normal(size=(GRAMS, 4)).astype(np.float32)
+    words = [b"a", b"xyz" * 50, bytes(r.integers(97, 123, 30_000).astype(np.uint8)), b"end"]
+    assert (spelled(words, weights, size=1000) == spelled(words, weights, size=10**9)).all()
