@@ -216,3 +216,31 @@ def test_isotonic_equals_plain_pooling(spark, digits):
     found = [x.cal_score for x in I.calibrate(spark.createDataFrame([(a,) for a in at], "score double").coalesce(1), blocks).collect()]
     assert np.allclose(found[:-1], np.interp(at[:-1], steps[:, 0], steps[:, 1])) and found[-1] is None
     assert I.calibrate(df.limit(1), I.fit_blocks(df.limit(0))).first().cal_score is None
+
+
+def test_gathered_leaves_give_the_same_trees_in_few_jobs(spark):
+    rows = table(600, 7)
+    params = PARAMS | {"leaves": 20, "row_share": .8, "feature_share": .7}
+    models, jobs = [], []
+    for gather in (0, 60, 10_000):  # no leaf, some leaves, all leaves
+        spark.sparkContext.setJobGroup(f"gather-{gather}", "")
+        models.append(BO.fit(frame(spark, rows), ["c"], ["x", "z"], params=params | {"gather": gather}))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"gather-{gather}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for model in models[1:]:
+        for s, t in zip(models[0]["trees"], model["trees"], strict=True):
+            assert (s["feature"], s["categories"], s["threshold"], s["cover"], s["left"]) == (t["feature"], t["categories"], t["threshold"], t["cover"], t["left"])
+            assert np.allclose(s["value"], t["value"])
+    assert max(len(t["feature"]) for t in models[0]["trees"]) > 20
+    assert jobs[0] - jobs[2] >= 2 * params["rounds"]
+    assert jobs[2] <= 25 + 2 * params["rounds"]
+
+
+def test_logistic_regression_fits_no_trees(spark, monkeypatch):
+    from contrail.plans import models as PM
+
+    def refuse(*_):
+        raise AssertionError("trees were fitted for the logistic regression")
+    monkeypatch.setattr(PM, "_boosted", refuse)
+    monkeypatch.setattr(PM, "BUNDLE", PM.BUNDLE | {"form": "no trees"})  # a folder that no other test has filled
+    assert PM.q_logreg_score(spark, "/root/testdata/sf0.001").count() > 0
