@@ -279,19 +279,23 @@ ASK_JUDGE = "Evaluate the explanation."
 # ---- end of fixed values
 
 
-def narration_request(records: DataFrame, grounded: bool = True) -> DataFrame:
-    """User message for the narration step: the whole record (grounded) or six facts (naive)."""
+def _narration_body(grounded: bool) -> Column:
+    """User message of one arm from the columns of a record."""
     if grounded:
-        body = F.concat(F.lit("<flight_analysis>\n"), F.col("record_json"),
-                        F.lit(f"\n</flight_analysis>\n\n{ASK_GROUNDED}"))
-    else:
-        r = F.col("record")
-        facts = F.struct(r["flight"]["origin"].alias("origin"), r["flight"]["dest"].alias("dest"),
-                         r["flight"]["carrier"].alias("carrier"), r["flight"]["dep_hour_local"].alias("departure_hour"),
-                         r["flight"]["date"].alias("date"),
-                         r["prediction"]["probability_text"].alias("predicted_disruption_probability"))
-        body = F.concat(F.lit("<flight>\n"), F.to_json(facts), F.lit(f"\n</flight>\n\n{ASK_NAIVE}"))
-    return records.select("flight_id", F.lit("grounded" if grounded else "naive").alias("arm"), body.alias("user_message"))
+        return F.concat(F.lit("<flight_analysis>\n"), F.col("record_json"), F.lit(f"\n</flight_analysis>\n\n{ASK_GROUNDED}"))
+    r = F.col("record")
+    facts = F.struct(r["flight"]["origin"].alias("origin"), r["flight"]["dest"].alias("dest"),
+                     r["flight"]["carrier"].alias("carrier"), r["flight"]["dep_hour_local"].alias("departure_hour"),
+                     r["flight"]["date"].alias("date"),
+                     r["prediction"]["probability_text"].alias("predicted_disruption_probability"))
+    return F.concat(F.lit("<flight>\n"), F.to_json(facts), F.lit(f"\n</flight>\n\n{ASK_NAIVE}"))
+
+
+def narration_request(records: DataFrame, *grounded: bool) -> DataFrame:
+    """User messages for the narration step, a row for each arm asked for: the whole record (grounded) or six facts (naive).
+    All arms come from one pass over the records."""
+    arms = [F.struct(F.lit("grounded" if g else "naive").alias("arm"), _narration_body(g).alias("user_message")) for g in grounded or (True,)]
+    return records.select("flight_id", F.inline(F.array(*arms)))
 
 
 def template_narration(records: DataFrame) -> DataFrame:
@@ -321,30 +325,47 @@ def _hour_terms(h: Column) -> Column:
                    F.regexp_replace(ampm, r"\.", ""))
 
 
+MARK = ("**:orange[", "]**")
+
+
+def _folded(text: Column) -> Column:
+    """Text in which strings that are equal without regard to case are equal; no less is equal than for a pattern."""
+    return F.translate(F.upper(F.lower(F.upper(text))), "\u0307", "")
+
+
 def highlight_terms(narrated: DataFrame) -> DataFrame:
     """Mark the grounded terms of each driver in the text: longest term first, case-insensitive,
-    whole word."""
+    whole word. Only terms that stand in the text, or could stand in a mark, are searched by pattern: a pattern that changes with
+    the row is compiled for each row."""
     r = F.col("record")
     drivers = F.concat(r["drivers"]["increasing"], r["drivers"]["decreasing"])
-    key_terms = F.create_map(*[x for k, v in KEY_TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def term(t):
+        """The term, how it is looked for, and whether it could stand in a mark."""
+        return F.struct(t.alias("t"), _folded(t).alias("g"), (t.rlike(r"[*:\[\]]") | _folded(t).contains("ORANGE")).alias("m"))
+
+    # constants: the terms of the features are folded once, not for each row
+    key_terms = F.create_map(*[x for k, v in KEY_TERMS.items() for x in (F.lit(k), F.array(*[term(F.lit(t)) for t in v]))])
+    none = F.filter(F.array(term(F.lit(""))), lambda x: F.lit(False))
 
     def terms_of(d):
         f, v = d["feature"], d["value"].cast("string")
-        fixed = F.coalesce(F.element_at(key_terms, f), F.array().cast("array<string>"))
+        fixed = F.coalesce(F.element_at(key_terms, f), none)
         vn = v.try_cast("double").cast("int")
         extra = (F.when(f == "hour", _hour_terms(vn))
                   .when(f == "month", F.array(F.element_at(F.array(*map(F.lit, MONTHS)), vn)))
                   .when(f == "dow", F.array(F.element_at(F.array(*map(F.lit, DAYS)), vn + 1)))
                   .when(f.isin("Origin", "Dest", "Reporting_Airline"), F.array(v))
                   .otherwise(F.array().cast("array<string>")))
-        return F.concat(fixed, extra)
+        return F.concat(fixed, F.transform(F.filter(extra, lambda t: t.isNotNull() & (F.length(t) > 0)), term))
 
-    terms = F.array_distinct(F.flatten(F.transform(drivers, terms_of)))
-    terms = F.filter(terms, lambda t: t.isNotNull() & (F.length(t) > 0))
-    ordered = F.array_sort(terms, lambda a, b: F.when(F.length(a) > F.length(b), -1)
+    rows = _once(narrated, _terms=F.array_distinct(F.flatten(F.transform(drivers, terms_of))), _text=_folded(F.col("explanation")))
+    terms = F.filter("_terms", lambda x: F.col("_text").contains(x["g"]) | x["m"])
+    ordered = F.array_sort(F.transform(terms, lambda x: x["t"]), lambda a, b: F.when(F.length(a) > F.length(b), -1)
                            .when(F.length(a) < F.length(b), 1)
                            .when(a < b, -1).when(a > b, 1).otherwise(0))
-    # one pass for each term: a shorter term is marked inside the mark of a longer one, as in the source
+    # one pass for each term: a shorter term is marked inside the mark of a longer one, as in the source. The term itself is
+    # looked for first, as the places beside it cost more
     marked = F.aggregate(ordered, F.col("explanation"), lambda acc, t: F.regexp_replace(
-        acc, F.concat(F.lit(r"(?iU)(?<![*\w])(\Q"), t, F.lit(r"\E)(?![\w*])")), F.lit("**:orange[$1]**")))
-    return narrated.select("flight_id", F.col("explanation"), marked.alias("highlighted"))
+        acc, F.concat(F.lit(r"(?iU)(?=\Q"), t, F.lit(r"\E)(?<![*\w])(\Q"), t, F.lit(r"\E)(?![\w*])")), F.lit("$1".join(MARK))))
+    return rows.select("flight_id", F.col("explanation"), marked.alias("highlighted"))

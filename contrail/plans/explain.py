@@ -35,10 +35,14 @@ def feature_values(spark, sf_dir):
 
 def with_impacts(spark, sf_dir):
     """Feature values of each flight, and its attributions as one array in the order of the features."""
+    return _impacted(feature_values(spark, sf_dir))
+
+
+def _impacted(flights):
     k = F.col("flight_id")
     impacts = F.array(*[((k * 37 + j * 101) % 400 - 200).cast("double") / 100 for j in range(len(MODEL_FEATURES))])
     # a column of its own, as stored attributions are, and not an expression that is copied to each use
-    return feature_values(spark, sf_dir).select("*", F.inline(F.array(F.struct(impacts.alias("impacts")))))
+    return flights.select("*", F.inline(F.array(F.struct(impacts.alias("impacts")))))
 
 
 _VALS_SQL = f"""select flight_id, FlightDate, Origin, Dest, Reporting_Airline, {HOUR_SQL} as hour, {MONTH_SQL} as month,
@@ -141,7 +145,7 @@ def records(spark, sf_dir):
     """Explanation records for every scored flight, from the fixture attributions."""
     s = scored_v(spark, sf_dir).select("flight_id", F.col("score").alias("prob"), "y")
     base = s.agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
-    flights = with_impacts(spark, sf_dir).join(s, "flight_id")
+    flights = _impacted(feature_values(spark, sf_dir).join(s, "flight_id"))  # the join moves no arrays
     return X.explanation_record(X.flight_drivers(flights, "impacts", MODEL_FEATURES, CATEGORICAL), base)
 
 
@@ -194,8 +198,7 @@ union all select flight_id, 'naive', '<flight>' || chr(10) || '{{"origin":"' ||
   '","departure_hour":' || hour || ',"date":"' || FlightDate || '","predicted_disruption_probability":"' || ptext || '"}}' || chr(10) ||
   '</flight>' || chr(10) || chr(10) || '{X.ASK_NAIVE}' from rec""")
 def q_narration_requests(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return X.narration_request(r, True).unionByName(X.narration_request(r, False))
+    return X.narration_request(records(spark, sf_dir), True, False)
 
 
 @register("judge_requests", _REC_SQL + f"""select flight_id, '<analysis>' || chr(10) || record_json || chr(10) || '</analysis>' || chr(10) || chr(10) ||

@@ -95,3 +95,34 @@ def test_highlight_longest_first(spark):
     # source's look-around pattern does (']' is not a word character)
     assert out == "A tight **:orange[scheduled **:orange[turnaround]**]** out of **:orange[bos]**."
     assert F is not None
+
+
+def test_highlight_keeps_every_case_and_terms_like_marks(spark):
+    rec = "struct<drivers:struct<increasing:array<struct<feature:string,value:string>>,decreasing:array<struct<feature:string,value:string>>>>"
+    drivers = [{"feature": f, "value": v} for f, v in (("Origin", "h\u0130t"), ("Dest", "orange"), ("Reporting_Airline", "stra\u00dfe"),
+                                                       ("snowfall_orig", "1.0"), ("inbound_delay_obs", "3"), ("hour", None))]
+    texts = ["HIT h\u0130t hit SNOW, snow\u017f", "STRA\u1e9eE strasse snowfall", "nothing here", None]
+    df = spark.createDataFrame([(i, ({"increasing": drivers, "decreasing": []},), t) for i, t in enumerate(texts)],
+                               f"flight_id long, record {rec}, explanation string")
+    out = {r.flight_id: r.highlighted for r in X.highlight_terms(df).collect()}
+    assert out[0] == "**:orange[HIT]** **:orange[h\u0130t]** **:orange[hit]** **:orange[SNOW]**, snow\u017f"
+    assert out[1] == "**:orange[STRA\u1e9eE]** strasse **:**:orange[orange]**[snowfall]**"
+    assert out[2] == "nothing here" and out[3] is None
+
+
+def test_narration_requests_read_the_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+    flight = {"origin": "BOS", "dest": "JFK", "carrier": "X", "dep_hour_local": 7, "date": "2024-01-02"}
+    rec = "struct<flight:struct<origin:string,dest:string,carrier:string,dep_hour_local:int,date:string>,prediction:struct<probability_text:string>>"
+    df = spark.createDataFrame([(i, {"flight": flight, "prediction": {"probability_text": "about 5%"}}, "{}") for i in range(10)],
+                               f"flight_id long, record {rec}, record_json string")
+    rows = X.narration_request(df.withColumn("record_json", counted("record_json")), True, False).collect()
+    assert sorted((r.flight_id, r.arm) for r in rows) == sorted((i, a) for i in range(10) for a in ("grounded", "naive"))
+    assert seen.value == 10
+    one = X.narration_request(df).first()
+    assert one.arm == "grounded" and one.user_message.startswith("<flight_analysis>\n{}\n</flight_analysis>")
