@@ -44,8 +44,8 @@ PARAMS = dict(rate=0.05, leaves=63, min_rows=200, feature_share=0.8, row_share=0
 CUT = 25
 #: Rows of a block where there are cores for more blocks, and at most.
 ROWS_PER_BLOCK, MOST_PER_BLOCK = 65_536, 2**20
-#: Rows of a leaf that one task splits to its end (32 bytes a row).
-GATHER = 2**18
+#: Rows of a leaf that one task splits to its end, no more than a block has (32 bytes a row).
+GATHER = MOST_PER_BLOCK
 
 
 @dataclass

@@ -236,11 +236,14 @@ def test_gathered_leaves_give_the_same_trees_in_few_jobs(spark):
     assert jobs[2] <= 25 + 2 * params["rounds"]
 
 
-def test_logistic_regression_fits_no_trees(spark, monkeypatch):
+def test_logistic_regression_fits_no_trees(spark, monkeypatch, tmp_path):
     from contrail.plans import models as PM
 
     def refuse(*_):
         raise AssertionError("trees were fitted for the logistic regression")
     monkeypatch.setattr(PM, "_boosted", refuse)
-    monkeypatch.setattr(PM, "BUNDLE", PM.BUNDLE | {"form": "no trees"})  # a folder that no other test has filled
-    assert PM.q_logreg_score(spark, "/root/testdata/sf0.001").count() > 0
+    spark.range(400).selectExpr("id as event_id", "timestamp'2024-01-01 00:30:00' + make_dt_interval(0, cast(id * 7 % 740 as int)) as ts", "id % 23 as user_id",
+                                "element_at(array('click', 'view', 'error'), cast(id % 3 + 1 as int)) as event_type",
+                                "cast(id * 37 % 120 as double) as value").write.parquet(str(tmp_path / "events.parquet"))
+    rows = PM.q_logreg_score(spark, str(tmp_path)).collect()
+    assert rows and all(0 < r.score < 1 for r in rows)
