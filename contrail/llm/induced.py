@@ -1,7 +1,7 @@
 """External induced sorting of suffixes, with common-prefix values.
 
 The suffixes that begin a local minimum of the text (LMS) are sorted first: their substrings up to the next one are
-named, and the string of names is sorted by the same procedure. Then every other suffix is induced from the one behind
+named, and the string of names is sorted by the same procedure, or by prefix doubling while its names fit in ``room``. Then every other suffix is induced from the one behind
 it: a priority queue carries (first symbol, place, common prefix with the entry before) in order of arrival; popping in
 order of the first symbol yields the suffixes sorted, first those larger than what follows them, then the smaller ones.
 
@@ -116,26 +116,47 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
 
 def _named(t: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Rank of each substring among the distinct ones. A substring that goes on where another ends is the smaller one
-    there, hence a mark above all symbols at the end. The first symbols are compared as one integer, the rest of long
-    substrings byte by byte."""
-    mark = int(t.max()) + 1
-    bits = int(mark + 1).bit_length()
+    there, hence a mark above all symbols at the end. As many symbols as fit are compared as one integer, those of
+    substrings that go on by the next integers, the rest of very long ones byte by byte."""
+    used = np.flatnonzero(np.bincount(t))
+    dense = np.zeros(int(t.max()) + 1, np.int64)
+    dense[used] = np.arange(1, len(used) + 1)
+    mark = len(used) + 1
+    bits = int(mark).bit_length()
     first = max(1, 63 // bits)
-    padded = np.r_[t.astype(np.int64), np.full(first, 0)]
+    padded = np.r_[dense[t], np.zeros(first, np.int64)]
     sizes = stops - starts
-    key = np.zeros(len(starts), np.int64)
-    for k in range(first):
-        key = key << bits | np.where(k < sizes, padded[starts + np.minimum(k, sizes)] + 1, np.where(k == sizes, mark + 1, 0))
-    ranks = np.unique(key, return_inverse=True)[1]
-    long = np.flatnonzero(sizes >= first)
-    if not len(long):
-        return ranks
-    data = (t.astype(">u4") + 1).astype(">u4").tobytes()
-    pieces = [data[4 * a:4 * b] + b"\xff\xff\xff\xff" for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
-    names = {p: n + 1 for n, p in enumerate(sorted(set(pieces)))}
-    rest = np.zeros(len(starts), np.int64)
-    rest[long] = np.fromiter(map(names.__getitem__, pieces), np.int64, len(pieces))
-    return np.unique(ranks * (len(names) + 1) + rest, return_inverse=True)[1]
+    ranks, open_ = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    for lo in range(0, 4 * first, first):
+        at, left = starts[open_] + lo, sizes[open_] - lo
+        key = np.zeros(len(open_), np.int64)
+        for k in range(first):
+            key = key << bits | np.where(k < left, padded[np.minimum(at + k, len(padded) - 1)], np.where(k == left, mark, 0))
+        ranks = _refined(ranks, open_, key)
+        open_ = open_[left >= first]
+        if not len(open_):
+            return ranks
+    data = t.astype(">u4").tobytes()
+    pieces = [data[4 * a:4 * b] + b"\xff\xff\xff\xff" for a, b in zip((starts[open_] + 4 * first).tolist(), stops[open_].tolist(), strict=True)]
+    names = {p: n for n, p in enumerate(sorted(set(pieces)))}
+    return _refined(ranks, open_, np.fromiter(map(names.__getitem__, pieces), np.int64, len(pieces)))
+
+
+def _dense(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each value among the distinct ones, and their number."""
+    order = np.argsort(key)
+    rising = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, rising[1:] != rising[:-1]])
+    return rank, int(rank[order[-1]]) + 1
+
+
+def _refined(ranks: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks by ``ranks`` and then by ``key`` of the places ``at``; of one rank all places are among these, or none."""
+    rank, n = _dense(key)
+    both = ranks * n
+    both[at] += rank
+    return _dense(both)[0]
 
 
 def sort_lms(t: np.ndarray, kind: np.ndarray, room: int) -> np.ndarray:
@@ -146,7 +167,30 @@ def sort_lms(t: np.ndarray, kind: np.ndarray, room: int) -> np.ndarray:
     string = _named(t, lms, np.r_[lms[1:], len(t) - 1] + 1)
     if string.max() + 1 == len(lms):
         return lms[np.argsort(string)]
-    return lms[sort_suffixes(string, room)]
+    return lms[doubled(string) if len(string) <= room else sort_suffixes(string, room)]
+
+
+def doubled(t: np.ndarray) -> np.ndarray:
+    """Sorted suffixes of a string of ranks, whose last one is its only smallest, by prefix doubling: ranks of twice as many symbols
+    come from two ranks. Suffixes that stand alone in their rank are not sorted again."""
+    n = len(t)
+    rank, size = _dense(t)[0], 1
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    rank = (np.cumsum(np.bincount(rank, minlength=n)) - np.bincount(rank, minlength=n))[rank]  # the smaller suffixes
+    while len(open_):
+        key = rank[open_] * (n + 1) + np.where(open_ + size < n, rank[np.minimum(open_ + size, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        key, open_ = key[order], open_[order]
+        old = rank[open_]
+        place = np.arange(len(open_))
+        heads = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], place, 0))
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[open_] = old + np.maximum.accumulate(np.where(new, place, 0)) - heads
+        open_ = open_[~(new & np.r_[new[1:], True])]
+        size *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def sort_suffixes(t: np.ndarray, room: int) -> np.ndarray:

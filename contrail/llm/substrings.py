@@ -140,20 +140,20 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for k, (value, want) in enumerate(zip(part.column("text"), part.column("want"), strict=True)):
-                    text = value.as_py().encode("utf-8", "surrogatepass")
-                    for w in want.as_py():
-                        if w["hot"]:
-                            found = [(i, xxhash.xxh3_128_digest(text[i:i + length])) for i in range(w["first"], w["first"] + w["size"] - length + 1)]
-                        else:
-                            found = [(w["first"], text[w["first"]:w["first"] + w["size"]])]
-                        for first, segment in found:
-                            for column, x in zip(out, (k, w["a"], first, segment, w["hot"]), strict=True):
-                                column.append(x)
-                who = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), part.column("doc_id").take(who), part.column("th").take(who),
-                                                  pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.bool_())],
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                want = part.column("want").flatten()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("want")))
+                a, first, size, hot = (want.field(x).to_numpy(zero_copy_only=False) for x in ("a", "first", "size", "hot"))
+                # a row for each window of a hot anchor, else for the segment
+                each = np.where(hot, size - length + 1, 1)
+                at = np.repeat(np.arange(len(row)), each)
+                row, a, size, hot = row[at], a[at], size[at], hot[at]
+                first = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+                segment = [xxhash.xxh3_128_digest(texts[k][i:i + length]) if h else texts[k][i:i + n]
+                           for k, i, n, h in zip(row.tolist(), first.tolist(), size.tolist(), hot.tolist(), strict=True)]
+                who = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), part.column("doc_id").take(who), part.column("th").take(who),
+                                                  pa.array(first, pa.int32()), pa.array(segment, pa.binary()), pa.array(hot, pa.bool_())],
                                                  names=["a", "doc_id", "th", "first", "segment", "hot"])
     return docs.select("doc_id", "th", "text", "want").mapInArrow(
         run, f"a bigint, doc_id {kind}, th bigint, first int, segment binary, hot boolean")
@@ -170,8 +170,8 @@ def _hot_spans(windows: DataFrame, length: int, many: int = MANY) -> DataFrame:
         "doc_id", "th", F.col("first").alias("start"), (F.col("first") + length).alias("stop"))
 
 
-def earlier_windows(parts: list[bytes], order: np.ndarray, length: int, room: int = 4_000_000) -> list[np.ndarray]:
-    """For each part, which of its windows also stand in a part of a smaller ``order``."""
+def earlier_windows(parts: list[bytes], order: np.ndarray, length: int, room: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that also stand in a part of a smaller ``order``: part, first window and the one past the last."""
     sizes = np.array([len(p) for p in parts])
     base = np.cumsum(sizes + 1) - (sizes + 1)
     # symbols: 0 ends the text, 1 a part, bytes follow
@@ -184,13 +184,16 @@ def earlier_windows(parts: list[bytes], order: np.ndarray, length: int, room: in
     run = np.cumsum(prefixes < length)  # equal windows have no other suffix between them
     places, run = places[inside], run[inside]
     if not len(places):
-        return [np.zeros(0, bool) for _ in parts]
+        return (np.empty(0, np.int64),) * 3
     held = order[owner[places]]
     heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     least = np.repeat(np.minimum.reduceat(held, heads), np.diff(np.r_[heads, len(run)]))
-    found = np.zeros(len(text), bool)
-    found[places] = least < held
-    return [found[b:b + s - length + 1] for b, s in zip(base, sizes, strict=True)]
+    found = np.zeros(len(text) + 1, np.int8)
+    found[places + 1] = least < held
+    # a part's last places begin no window, so no run goes on in the next part
+    start, stop = (np.flatnonzero(np.diff(found) == x) for x in (1, -1))
+    who = owner[start]
+    return who, start - base[who], stop - base[who]
 
 
 def _sorted_shards(cut: DataFrame, length: int) -> DataFrame:
@@ -204,15 +207,9 @@ def _sorted_shards(cut: DataFrame, length: int) -> DataFrame:
         shard = pa.Table.from_batches(got)
         ids = shard.column("doc_id").combine_chunks()
         order = pc.rank(ids, tiebreaker="dense")
-        who, start, stop = [], [], []
-        firsts = shard.column("first").to_pylist()
-        for k, found in enumerate(earlier_windows(shard.column("segment").to_pylist(), np.asarray(order).astype(np.int64), length)):
-            edge = np.flatnonzero(np.diff(np.r_[False, found, False]))
-            for x, y in edge.reshape(-1, 2).tolist():
-                who.append(k)
-                start.append(firsts[k] + x)
-                stop.append(firsts[k] + y - 1 + length)
-        who = pa.array(who, pa.int64())
+        who, start, stop = earlier_windows(shard.column("segment").to_pylist(), np.asarray(order).astype(np.int64), length)
+        first = shard.column("first").to_numpy()[who]
+        who, start, stop = pa.array(who), first + start, first + stop - 1 + length
         yield pa.RecordBatch.from_arrays([ids.take(who), shard.column("th").combine_chunks().take(who), pa.array(start, pa.int32()),
                                           pa.array(stop, pa.int32())], names=["doc_id", "th", "start", "stop"])
     return cut.mapInArrow(run, f"doc_id {kind}, th bigint, start int, stop int")
@@ -224,26 +221,31 @@ def _removed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for value, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                text = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                joined: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in spans.as_py() or ()):
-                    if joined and s[0] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], s[1])
-                    else:
-                        joined.append(list(s))
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            spans = batch.column("spans")
+            # the spans of all rows on one line, each row's apart from the next one's
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(spans), 0))
+            start, stop = ((row << 32) + spans.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("start", "stop"))
+            order = np.argsort(start)
+            start, far = start[order], np.maximum.accumulate(stop[order]) if len(order) else stop
+            heads = np.flatnonzero(np.r_[True, start[1:] > far[:-1]]) if len(order) else np.empty(0, np.int64)
+            last = np.r_[heads[1:], len(far)][:len(heads)] - 1
+            row, start, stop = start[heads] >> 32, start[heads] & 0xFFFFFFFF, far[last] & 0xFFFFFFFF
+            runs = np.bincount(row, minlength=batch.num_rows)
+            gone = np.bincount(row, stop - start, minlength=batch.num_rows).astype(np.int64)
+            ends = np.cumsum(runs)
+            x, y, digests = start.tolist(), stop.tolist(), []
+            for text, lo, hi in zip(texts, (ends - runs).tolist(), ends.tolist(), strict=True):
                 kept, at = hashlib.sha256(), 0
-                for x, y in joined:
-                    kept.update(text[at:x])
-                    at = y
-                kept.update(text[at:])
-                for column, v in zip(out, (len(text), sum(y - x for x, y in joined), len(joined), kept.hexdigest(),
-                                           [{"start": x, "stop": y} for x, y in joined]), strict=True):
-                    column.append(v)
+                for k in range(lo, hi):
+                    kept.update(text[at:x[k]])
+                    at = y[k]
+                kept.update(text[at:] if at else text)
+                digests.append(kept.hexdigest())
+            removed = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], names=["start", "stop"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()),
-                 pa.array(out[4], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone), pa.array(runs, pa.int64()),
+                 pa.array(digests, pa.string()), removed],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
     return docs.select("doc_id", "text", "spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>")

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from contrail.llm import substrings
+from contrail.llm import induced, substrings
 from contrail.llm.induced import suffix_array
 from contrail.llm.substrings import substring_duplicates
 from tests.conftest import SF_SMALL
@@ -109,3 +109,31 @@ def test_hot_anchor_is_split(spark, monkeypatch):
     for many in (0, 3):
         got = {(x.doc_id, x.start) for x in substrings._hot_spans(windows, 50, many).collect()}
         assert got == {(d, i) for d, i, w in hot if first[w] < d} and got
+
+
+def test_names_that_fit_in_memory_take_no_queue(monkeypatch):
+    """Names are sorted by doubling while they fit in ``room``; very long substrings are named to their end."""
+    def refused(*_):
+        raise AssertionError("a queue for names that fit in memory")
+    r = random.Random(7)
+    b = b"".join(r.choice([b"ab" * 30, b"a" * r.randrange(1, 90) + b"b" * r.randrange(1, 90), bytes(r.choice(b"abc") for _ in range(9))]) for _ in range(60)) + b"\0"
+    want = sorted(range(len(b)), key=lambda i: b[i:])
+    assert suffix_array(np.frombuffer(b, np.uint8), 7, room=5)[0].tolist() == want
+    monkeypatch.setattr(induced, "sort_suffixes", refused)
+    assert suffix_array(np.frombuffer(b, np.uint8), 7)[0].tolist() == want
+
+
+def test_runs_of_earlier_windows_by_part():
+    parts, order = [b"xxabcdefyy", b"abcdef", b"", b"zabcdeabcd", b"abcdef"], np.array([2, 1, 3, 3, 4])
+    got = [x.tolist() for x in substrings.earlier_windows(parts, order, 4)]
+    assert sorted(zip(*got)) == [(0, 2, 5), (3, 1, 3), (3, 6, 7), (4, 0, 3)]
+
+
+def test_removed_runs_of_a_batch(spark):
+    """Overlapping, touching, nested and missing spans; the spans of one row do not reach the next."""
+    rows = [(1, "abcdefghij", [(4, 6), (0, 2), (1, 3), (6, 7)]), (2, None, None), (3, "éabc", [(0, 2)]), (4, "xyz", []), (5, "abcdefgh", [(1, 8), (2, 3)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start: int, stop: int>>").coalesce(1)
+    sha = (lambda b: hashlib.sha256(b).hexdigest())
+    assert [tuple(x)[:5] for x in substrings._removed(docs).orderBy("doc_id").collect()] == [
+        (1, 10, 6, 2, sha(b"dhij")), (2, 0, 0, 0, sha(b"")), (3, 5, 2, 1, sha(b"abc")), (4, 3, 0, 0, sha(b"xyz")), (5, 8, 7, 1, sha(b"a"))]
+    assert [tuple(r) for r in substrings._removed(docs).where("doc_id = 1").first().removed] == [(0, 3), (4, 7)]
