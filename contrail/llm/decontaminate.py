@@ -263,6 +263,52 @@ def _shared_runs(row: np.ndarray, owner: np.ndarray, blocks: np.ndarray, doc: np
     return block[good], passage[good]
 
 
+class Bounds:
+    """Which windows and passages can make a leak, by the passages' words that stand near the windows.
+
+    Words count by their row of the projection: words that share a row only raise the bound, so no leak is lost.
+    ``cells`` windows times rows are held at a time.
+    """
+
+    def __init__(self, items: list[list[bytes]], rare: list[set[bytes]], row: Features, width: int, cells: int = 8_000_000):
+        def table(sets: list[set[bytes]]) -> np.ndarray:
+            out = np.full((len(sets), max(map(len, sets))), width, np.int32)  # no word has the row past the last
+            for k, words in enumerate(sets):
+                out[k, :len(words)] = [row[w] for w in words]
+            return out
+        kinds = [set(w) for w in items]
+        self.width = width + 1
+        self.kinds, self.rare = table(kinds), table(rare)
+        self.sizes, self.n_rare = np.array([len(w) for w in items]), np.array([len(w) for w in rare])
+        self.more = self.sizes - np.array([len(w) for w in kinds])  # words that repeat another one of the passage
+        self.room = max(1, cells // self.width)
+        self.seen = np.zeros(self.room * self.width, bool)
+
+    def able(self, row: np.ndarray, start: np.ndarray, stop: np.ndarray, windows: np.ndarray, at: np.ndarray, i: np.ndarray,
+             full_share: float, part_share: float, answer_share: float, near_cosine: bool) -> np.ndarray:
+        """For each pair of a window and a passage ``i`` whether it can be a leak. ``at``, rising, is its place among ``windows``;
+        ``row[start[w]:stop[w]]`` are the words near window w, -1 for a word of no passage."""
+        out = np.zeros(len(at), bool)
+        for lo in range(0, len(windows), self.room):
+            part = windows[lo:lo + self.room]
+            n = stop[part] - start[part]
+            near = row[np.repeat(start[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            spots = (np.repeat(np.arange(len(part)), n) * self.width + near)[near >= 0]
+            self.seen[spots] = True
+            x, y = np.searchsorted(at, (lo, lo + len(part)))
+            for a in range(x, y, 1 << 14):
+                pairs = slice(a, min(a + (1 << 14), y))
+                who, head = i[pairs], (at[pairs] - lo)[:, None] * self.width
+                size = self.sizes[who]
+                most = self.more[who] + self.seen[head + self.kinds[who]].sum(1)
+                good = most >= full_share * size
+                if near_cosine:
+                    good |= (most >= part_share * size) & (self.seen[head + self.rare[who]].sum(1) >= answer_share * self.n_rare[who])
+                out[pairs] = good
+            self.seen[spots] = False
+        return out
+
+
 def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine: float, full_share: float, part_share: float,
             answer_share: float, answers: int) -> DataFrame:
     """``(doc_id, item, cosine, lcs_share)``: the confirmed best candidate of each document and item of a block."""
@@ -284,6 +330,7 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
         grams = _grams([np.array([lookup[x] for x in w], np.int64) for w in items], full_share, base_row)
         kinds = [set(w) for w in items]
         longest = max(map(len, items))
+        bounds = Bounds(items, rare, lookup, len(index.feats))
 
         def confirmed(words: list[bytes], first: int, i: int, about: set[bytes], near_cosine: bool = True) -> float | None:
             """``about``: the words near the window, at least. The item's words that are not among them bound the subsequence
@@ -313,7 +360,12 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
                 return
             owner = np.repeat(np.arange(len(group)), counts)
             runs = _shared_runs(row, owner[blocks], blocks, owner, grams, base_row)
-            row, blocks = row[known], blocks[known]
+            lengths = np.array([len(w) for _, w in group])
+            begin = np.cumsum(lengths) - lengths
+            head = begin[owner] + (np.arange(base[-1]) - base[owner]) * stride
+            start = np.maximum(begin[owner], head - longest)
+            stop = np.minimum((begin + lengths)[owner], head + 2 * stride + longest)
+            words_row, row, blocks = row, row[known], blocks[known]
             heads = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
             sums = np.zeros((base[-1], index.project.shape[1]), np.float32)
             sums[blocks[heads]] = np.add.reduceat(index.project[row], heads)
@@ -325,7 +377,10 @@ def _search(docs: DataFrame, index: Index, block: list, stride: int, min_cosine:
             whole /= np.maximum(norm, 1e-12)[:, None]
 
             def confirm(found: tuple[np.ndarray, np.ndarray], cosines: np.ndarray, near_cosine: bool) -> None:
-                """Candidates: windows and passages, with their cosines."""
+                """Candidates: windows, rising, and passages, with their cosines."""
+                windows, at = np.unique(found[0], return_inverse=True)
+                able = bounds.able(words_row, start, stop, windows, at, found[1], full_share, part_share, answer_share, near_cosine)
+                found, cosines = (found[0][able], found[1][able]), cosines[able]
                 window, about = -1, set()
                 for b, i, cos in zip(*(x.tolist() for x in (*found, cosines)), strict=True):
                     d, words = group[owner[b]]

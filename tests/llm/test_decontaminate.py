@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from contrail.llm.decontaminate import _grams, _shared_runs, build_index, decontaminate, item_passages, lcs_length, leaks, places, terms
+from contrail.llm.decontaminate import Bounds, _grams, _shared_runs, build_index, decontaminate, item_passages, lcs_length, leaks, places, terms
 from tests.conftest import SF_MID
 
 
@@ -110,3 +110,28 @@ def test_verbatim_passages_below_the_cosine(spark):
     got = leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), rank=16).collect()
     assert {k for k, _ in items} <= {x.doc_id for x in got if x.doc_id == x.item_id}
     assert any(x.cosine < 0.45 for x in got)
+
+
+def test_bounds_leave_out_only_what_can_be_no_leak():
+    """Pairs of windows and passages against the words themselves, with few and with many rows for the words."""
+    r = random.Random(8)
+    word = (lambda: b"w%d" % r.randrange(60))
+    items = [[word() for _ in range(r.randrange(1, 20))] for _ in range(40)]
+    rare = [set(sorted(set(w))[:5]) for w in items]
+    for rows, cells in ((1000, 8_000_000), (1000, 1), (7, 8_000_000)):
+        row = {b"w%d" % k: k % rows for k in range(60)}
+        bounds = Bounds(items, rare, row, 60, cells)
+        text = [r.choice([word(), b"other"]) for _ in range(400)]
+        start = np.arange(0, 380, 20)
+        stop = np.minimum(start + r.randrange(10, 60), 400)
+        at, i = (x.ravel() for x in np.indices((len(start), len(items))))
+        for near in (True, False):
+            got = bounds.able(np.array([row.get(w, -1) for w in text]), start, stop, np.arange(len(start)), at, i, 0.8, 0.5, 0.6, near)
+            want = []
+            for b, k in zip(at.tolist(), i.tolist()):
+                about = set(text[start[b]:stop[b]])
+                most = len(items[k]) - len(set(items[k]) - about)
+                want.append(most >= 0.8 * len(items[k]) or near and most >= 0.5 * len(items[k]) and len(rare[k] & about) >= 0.6 * len(rare[k]))
+            want = np.array(want)
+            assert not (want & ~got).any() and want.any()
+            assert rows == 7 or (want == got).all()
