@@ -220,7 +220,7 @@ class Lattice:
 class Encoder:
     """Encodes texts in batches; remembers the ids of short chunks it has met."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 250_000):
         self.lattice, self.splits = Lattice(vocabulary), vocabulary.line_end_splits
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers, an eighth of the room of a list of them
         self.most, self.longest, self.room = most, longest, room

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
@@ -67,3 +68,22 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF_SMALL)
         assert out.columns == docs.columns and out.collect() == []
+
+
+def test_stages_bound_the_rows_that_go_to_python(spark):
+    """No batch of a stage holds more than ``BATCH`` rows; a smaller setting stays."""
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
+
+    def largest(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+    try:
+        for value, most in (("10000", corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("7", 7)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(name, value)
+                stage(spark, docs, SF_SMALL)
+                sizes = spark.range(2500).coalesce(1).mapInArrow(largest, "n long").collect()
+                assert max(x.n for x in sizes) == most
+    finally:
+        spark.conf.set(name, before)
