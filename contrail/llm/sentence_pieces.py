@@ -220,7 +220,7 @@ class Lattice:
 class Encoder:
     """Encodes texts in batches; remembers the ids of short chunks it has met."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, longest: int = 64, room: int = 500_000):
         self.lattice, self.splits = Lattice(vocabulary), vocabulary.line_end_splits
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers, an eighth of the room of a list of them
         self.most, self.longest, self.room = most, longest, room
@@ -301,18 +301,20 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = False,
+               room: int = 500_000) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, exact)``: each row's text encoded and decoded again.
 
     ``ids_sha256`` is the hash of the ids joined by commas, ``exact`` whether the decoded text is the text. Without
     ``with_ids`` only the digests leave the tasks; with it there is a column ``ids``. Null texts count as empty ones.
+    Chunks are matched in portions of about ``room`` characters: small ones take less memory and more time.
     """
     docs = id_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(load(model).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*shared.value)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = Encoder(vocabulary, room=room), Decoder(vocabulary)
         sha = (lambda b: hashlib.sha256(b).hexdigest())
         for batch in batches:
             for first, texts in _portions(batch, "text", 1_000_000):

@@ -68,7 +68,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @in_small_batches
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
-    return round_trip(docs, with_ids=True)
+    return round_trip(docs, with_ids=True, room=250_000)
 
 
 STAGES = [
