@@ -1,16 +1,17 @@
 """Gradient-boosted trees grown leaf by leaf on histograms, distributed over Spark.
 
 Rows are binned once: numbers at up to ``max_bin`` - 1 quantile edges of the train rows, categories by their train levels, and
-missing or unseen values in a bin of their own. A partition keeps its rows as one block of numpy arrays. A job sums, for
-the leaves that are asked for, gradient, curvature and count of every bin of every feature; blocks are summed in a
+missing or unseen values in a bin of their own. Rows are kept as blocks of numpy arrays, dealt evenly to the partitions. A job
+sums, for the leaves that are asked for, gradient, curvature and count of every bin of every feature; partitions are summed in a
 tree, so what reaches the driver is bounded by leaves x features x bins and not by rows.
 
 The leaf with the largest gain is split next, until there are ``leaves``. The children of all large leaves that can still
-be split are summed in one job, the smaller child of each alone (its sibling is what is left of the parent). A leaf of at most
-``GATHER`` rows is split to its end in one task, all such leaves in one shuffle, and its splits wait for their turn. Splits do
-not depend on each other, so this gives the tree that one job for each split would give, in far fewer jobs where a tree is a
-long chain. Numbers split at an edge, with missing values on the side of the larger gain; categories split into a set and
-the rest by the order of their mean gradients, missing and unseen ones outside the set.
+be split are summed in one job, the smaller child of each alone (its sibling is what is left of the parent), a level at a time.
+Small leaves wait until no large one is left, or some levels more than halving would take have passed; then all of them are split
+to their end in one shuffle, each in one task, and their splits wait for their turn. Splits do not depend on each other, so this
+gives the tree that one job for each split would give, in a few jobs a round. Numbers split at an edge, with missing values on the
+side of the larger gain; categories split into a set and the rest by the order of their mean gradients, missing and unseen ones
+outside the set.
 
 Every round bags rows by a hash of their key and draws features by a seed. Boosting ends when the AUC of the
 validation rows has not improved for ``patience`` rounds, and keeps the best round. The AUC is exact over margins of 12
@@ -24,28 +25,29 @@ the rounds since then.
 from __future__ import annotations
 
 import json
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.operators.shap import Tree
+from contrail.operators.shap import Tree, matrix
 from contrail.session import checkpoint_dir
 
 #: FIXED VALUES: learning settings.
 PARAMS = dict(rate=0.05, leaves=63, min_rows=200, feature_share=0.8, row_share=0.8, rounds=3000, patience=100, max_bin=255,
               min_curvature=1e-3, cat_smooth=10.0, cat_l2=10.0, seed=42)
 CUT = 25
-#: Rows of a block where there are cores for more blocks, and at most.
-ROWS_PER_BLOCK, MOST_PER_BLOCK = 65_536, 2**20
-#: Rows of a leaf that one task splits to its end, no more than a block has (32 bytes a row).
-GATHER = MOST_PER_BLOCK
+#: Rows of a partition where there are cores for more partitions, and at most (33 bytes a row); rows of a block where there are several partitions.
+ROWS_PER_PART, MOST_PER_PART, ROWS_PER_BLOCK = 65_536, 2**22, 2**15
+#: Rows of a leaf that one task splits to its end at most (32 bytes a row), and where all cores have leaves.
+GATHER, LEAST_GATHER = 2**21, 2**19
 
 
 @dataclass
@@ -72,24 +74,38 @@ class Bins:
 
 
 def learn_bins(train: DataFrame, cats: list[str], nums: list[str], max_bin: int) -> Bins:
-    """Levels and quantile edges of the train rows; few distinct numbers are all edges."""
-    levels = {}
-    for c in cats:
-        rows = train.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().toArrow()
-        levels[c] = sorted(rows["v"].to_pylist())
+    """Levels and quantile edges of the train rows; few distinct numbers are all edges. One pass finds the distinct values of all
+    features, as far as they count, and one the quantiles of all others."""
+    values = train.select(*[F.col(c).cast("string").alias(c) for c in cats], *[F.col(c).cast("double").alias(c) for c in nums])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in (*cats, *nums)]
+        for b in batches:
+            for j, known in enumerate(seen):
+                if j < len(cats):
+                    known.update(pc.unique(b.column(j).drop_null()).to_pylist())
+                elif len(known) <= max_bin:
+                    x = b.column(j).drop_null().to_numpy(zero_copy_only=False) + 0.0  # no minus zero
+                    known.update(np.unique(x[~np.isnan(x)]).tolist())
+        for j, known in enumerate(seen):
+            kept = list(known)[:None if j < len(cats) else max_bin + 1]  # more numbers than bins are counted alone
+            of = [[None] * len(kept), [None] * len(kept)]
+            of[j >= len(cats)] = kept
+            yield pa.RecordBatch.from_arrays([pa.array([j] * len(kept), pa.int32()), pa.array(of[0], pa.string()), pa.array(of[1], pa.float64())],
+                                             names=["j", "level", "number"])
+    found = values.mapInArrow(distinct, "j int, level string, number double").groupBy("j").agg(
+        F.collect_set("level").alias("levels"), F.slice(F.array_sort(F.collect_set("number")), 1, max_bin + 1).alias("numbers")).collect()
+    levels = dict.fromkeys(cats, ()) | {cats[r.j]: r.levels for r in found if r.j < len(cats)}
+    few = dict.fromkeys(nums, ()) | {nums[r.j - len(cats)]: r.numbers for r in found if r.j >= len(cats)}
+    many = [c for c in nums if len(few[c]) > max_bin]
     shares = [i / max_bin for i in range(1, max_bin)]
-    edges = {}
-    for c in nums:
-        x = train.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)")
-        few = x.distinct().limit(max_bin + 1).toArrow()["v"].to_pylist()
-        cut = sorted(few) if len(few) <= max_bin else sorted(set(x.approxQuantile("v", shares, 1 / (4 * max_bin))))
-        edges[c] = cut[:-1] if len(few) <= max_bin else cut
-    return Bins([*cats, *nums], levels, edges)
+    cuts = dict(zip(many, values.approxQuantile(many, shares, 1 / (4 * max_bin)), strict=True)) if many else {}
+    return Bins([*cats, *nums], {c: sorted(v) for c, v in levels.items()}, {c: sorted(set(cuts[c])) if c in cuts else list(few[c])[:-1] for c in nums})
 
 
 def parted(codes: np.ndarray, rows: np.ndarray, tables: tuple[np.ndarray, ...], wanted: list[int]) -> dict[int, np.ndarray]:
-    """Which of the ``rows`` stand in each wanted node, in their order. ``tables`` are the nodes' features, bins that go left
-    and children, which have higher numbers than their parents."""
+    """Which of the ``rows`` stand in each wanted node, in their order. ``codes`` has a row for each feature; ``tables`` are the
+    nodes' features, bins that go left and children, which have higher numbers than their parents."""
     feature, go, left, right = tables
     needed = set(wanted)
     for v in range(len(feature) - 1, -1, -1):
@@ -103,15 +119,15 @@ def parted(codes: np.ndarray, rows: np.ndarray, tables: tuple[np.ndarray, ...],
         if v in wanted:
             out[v] = here
         if feature[v] >= 0 and (left[v] in needed or right[v] in needed):
-            goes = go[v][codes[:, feature[v]][here]]
+            goes = go[v][codes[feature[v]][here]]
             at[int(left[v])], at[int(right[v])] = here[goes], here[~goes]
     return out
 
 
 def route(codes: np.ndarray, feature: np.ndarray, go: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The node where each row ends; ``go`` has for each node the bins that go left."""
-    at = np.zeros(len(codes), np.int64)
-    for v, rows in parted(codes, np.arange(len(codes)), (feature, go, left, right), np.flatnonzero(feature < 0).tolist()).items():
+    at = np.zeros(codes.shape[1], np.int64)
+    for v, rows in parted(codes, np.arange(codes.shape[1]), (feature, go, left, right), np.flatnonzero(feature < 0).tolist()).items():
         at[rows] = v
     return at
 
@@ -129,13 +145,13 @@ def slopes(block: dict, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prob - block["y"][rows], prob * (1 - prob)
 
 
-def histogram(codes: np.ndarray, rows: np.ndarray, grad: np.ndarray, curve: np.ndarray, usable: np.ndarray, bins: int) -> np.ndarray:
+def histogram(codes: np.ndarray, rows: np.ndarray | slice, grad: np.ndarray, curve: np.ndarray, usable: np.ndarray, bins: int) -> np.ndarray:
     """features x bins x (gradient, curvature, count) over the ``rows``, whose slopes are given; features that are not usable
     stay zero, save the first, which gives the totals."""
-    out = np.zeros((codes.shape[1], bins, 3))
-    for j in range(codes.shape[1]):
+    out = np.zeros((len(usable), bins, 3))
+    for j in range(len(usable)):
         if usable[j] or not j:
-            cell = codes[:, j][rows].astype(np.intp)
+            cell = codes[j][rows].astype(np.intp)
             for k, w in enumerate((grad, curve, None)):
                 out[j, :, k] = np.bincount(cell, w, bins)
     return out
@@ -204,11 +220,16 @@ class Nodes:
 
 def _expand(root: np.ndarray, ask, is_cat: np.ndarray, usable: np.ndarray, p: dict, finish=None) -> tuple[Nodes, list[int]]:
     """Nodes of a tree from its root histogram, and which are its leaves. ``ask(tables, nodes)`` gives the histograms of nodes of
-    the tree so far. With ``finish(tables, hists, leaves)``, small nodes get their own trees of that many leaves at most; all that
-    is known to be needed is asked for at once. Without it, a split is asked for when it is made."""
+    the tree so far. With ``finish(tables, hists, sizes, leaves)``, small nodes get their own trees of that many leaves at most; all that
+    is known to be needed is asked for at once, large nodes before small ones. Many small nodes get fewer leaves each; where one
+    needs more, the rest of its tree is asked for then. Without ``finish``, a split is asked for when it is made."""
     nodes = Nodes([], [], [], [], [], [], {})
     nodes.add(root[0].sum(0), best_split(root, is_cat, usable, p), root)
     open_ = [0]
+    ahead = 2 + max(0, math.ceil(math.log2(max(1, nodes.total[0][2]) / max(1, p["gather"])))) if finish else 0  # levels that small nodes wait
+
+    def is_small(v: int) -> bool:
+        return nodes.total[v][2] <= p["gather"]
 
     def halves(todo: list[int]) -> None:
         """Children of nodes by the histogram of the smaller one."""
@@ -226,7 +247,7 @@ def _expand(root: np.ndarray, ask, is_cat: np.ndarray, usable: np.ndarray, p: di
 
     def graft(todo: list[int], leaves: int) -> None:
         """Descendants of small nodes, as far as they can be needed."""
-        for v, (feature, left, right, total, split) in zip(todo, finish(nodes.tables(), {v: nodes.hist[v] for v in todo}, leaves), strict=True):
+        for v, (feature, left, right, total, split) in zip(todo, finish(nodes.tables(), {v: nodes.hist.get(v) for v in todo}, [float(nodes.total[v][2]) for v in todo], leaves), strict=True):
             number = {0: v} | {i: nodes.add(total[i], split[i]) for i in range(1, len(feature))}
             for i, f in enumerate(feature):
                 if f >= 0:
@@ -237,13 +258,18 @@ def _expand(root: np.ndarray, ask, is_cat: np.ndarray, usable: np.ndarray, p: di
         if not ranked:
             break
         v, room = ranked[0], p["leaves"] - len(open_)
-        if nodes.feature[v] < 0:
-            small = finish is not None and nodes.total[v][2] <= p["gather"]
-            todo = [w for w in ranked if w in nodes.hist and (finish is not None and nodes.total[w][2] <= p["gather"]) == small]
-            if small:
-                graft(todo[:room], room + 1)
-            else:
-                halves(todo[:room if finish else 1])
+        if nodes.feature[v] < 0 and not finish:
+            halves([v])
+        elif nodes.feature[v] < 0:
+            ends = sorted((w for w in nodes.hist if nodes.split[w]), key=lambda w: (w != v, -nodes.split[w][0], w))
+            large = [w for w in ends if not is_small(w)]
+            if large and (ahead > 0 or not is_small(v)):
+                ahead -= 1
+                halves(large[:room])
+                continue
+            waiting = [w for w in ranked if nodes.feature[w] < 0 and w not in nodes.hist]  # ends of trees of too few leaves
+            todo = [v, *(w for w in [*waiting, *ends] if w != v and is_small(w))][:room]
+            graft(todo, min(room + 1, max(32, 8 * room // len(todo))))
         open_.remove(v)
         open_ += [nodes.left[v], nodes.right[v]]
     return nodes, open_
@@ -258,7 +284,7 @@ def subtree(root: np.ndarray, codes: np.ndarray, grad: np.ndarray, curve: np.nda
         w = wanted[0]
         v = int(np.flatnonzero((left == w) | (right == w))[0])
         here = at.pop(v)
-        goes = go[v][codes[:, feature[v]][here]]
+        goes = go[v][codes[feature[v]][here]]
         at[int(left[v])], at[int(right[v])] = here[goes], here[~goes]
         return [histogram(codes, at[w], grad[at[w]], curve[at[w]], usable, root.shape[1])]
     nodes, open_ = _expand(root, ask, is_cat, usable, p)
@@ -310,20 +336,60 @@ def auc(positive: np.ndarray, negative: np.ndarray) -> float:
     return float((positive * (np.cumsum(negative) - negative / 2)).sum() / pairs) if pairs else 0.5
 
 
-def _blocks(rows: DataFrame, bins: Bins, label: str, val: str, key: str, base: float):
-    """RDD of one block of arrays for each partition."""
+def _blocks(rows: DataFrame, bins: Bins, label: str, val: str, key: str, base: float, parts: int):
+    """RDD of blocks of arrays, dealt evenly to ``parts`` partitions, and the cached RDD that it is dealt from; a single partition is a
+    single block and is not dealt."""
+    kind = np.uint8 if bins.missing < 2**8 else np.uint16 if bins.missing < 2**16 else np.int32
+
+    def block(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        codes, y, v, k = (np.concatenate(x, -1) for x in zip(*found, strict=True))
+        y = y.astype(np.uint8) if np.isin(y, (0, 1)).all() else y
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"codes": codes, "y": y, "val": v, "key": k, "margin": np.full(len(y), base)}, 5)],
+                                                    pa.binary())], names=["block"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        found, n = [], 0
         for b in batches:
             if b.num_rows:
-                parts.append((bins.codes(b).astype(np.uint8 if bins.missing < 2**8 else np.uint16 if bins.missing < 2**16 else np.int32), b.column("__y").to_numpy(zero_copy_only=False),
+                found.append((np.ascontiguousarray(bins.codes(b).T, kind), b.column("__y").to_numpy(zero_copy_only=False),
                               b.column("__val").to_numpy(zero_copy_only=False), b.column("__key").to_numpy().view(np.uint64)))
-        if parts:
-            codes, y, v, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({"codes": np.asfortranarray(codes), "y": y, "val": v, "key": k, "margin": np.full(len(y), base)})], pa.binary())],
-                                             names=["block"])
+                n += b.num_rows
+                if parts > 1 and n >= ROWS_PER_BLOCK:
+                    yield block(found)
+                    found, n = [], 0
+        if found:
+            yield block(found)
     read = rows.select(*bins.features, F.col(label).cast("double").alias("__y"), F.col(val).alias("__val"), F.xxhash64(F.col(key)).alias("__key"))
-    return read.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r.block))
+    if parts == 1:
+        return read.coalesce(1).mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r.block)), None
+    packed = read.mapInArrow(pack, "block binary").rdd.map(lambda r: r.block).persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = packed.zipWithIndex().map(lambda x: (x[1], x[0])).partitionBy(parts, lambda i: i % parts)
+    return numbered.mapPartitions(lambda these: (pickle.loads(x) for _, x in sorted(these))), packed
+
+
+def picked(blocks: Iterator[dict], round_: int, tables: tuple[np.ndarray, ...], wanted: list[int], usable: np.ndarray, p: dict) -> dict[int, tuple]:
+    """Codes (of the usable features and the first; no rows for others), gradients and curvatures of the bagged rows of each wanted node."""
+    out: dict[int, list] = {v: [] for v in wanted}
+    sent = usable | (np.arange(len(usable)) == 0)
+    for b in blocks:
+        for v, rows in parted(b["codes"], np.flatnonzero(_bagged(b, round_, p)), tables, wanted).items():
+            if len(rows):
+                out[v].append(([b["codes"][j][rows] if sent[j] else b["codes"][j][:0] for j in range(len(usable))], *slopes(b, rows)))
+    return {v: _joined(found) for v, found in out.items() if found}
+
+
+def _joined(found: list[tuple]) -> tuple:
+    codes, grad, curve = zip(*found, strict=True)
+    return [np.concatenate(c) for c in zip(*codes, strict=True)], np.concatenate(grad), np.concatenate(curve)
+
+
+def dealt(sizes: list[float], parts: int) -> list[int]:
+    """A part for each item, the largest items first and each to the part with the least so far."""
+    load, out = [0.0] * parts, [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        out[i] = min(range(parts), key=load.__getitem__)
+        load[out[i]] += sizes[i]
+    return out
 
 
 def fit(rows: DataFrame, cats: list[str], nums: list[str], label: str = "y", val: str = "is_val", key: str = "flight_id",
@@ -334,12 +400,13 @@ def fit(rows: DataFrame, cats: list[str], nums: list[str], label: str = "y", val
     validation rows of both classes all rounds are grown.
     """
     p = PARAMS | (params or {})
-    p, options = {"gather": GATHER} | p, p
     spark = rows.sparkSession
     checkpoint_dir(spark)
     rows = rows.where(F.col(label).isNotNull())
     train = rows.where(~F.col(val))
     n, mean = train.agg(F.count(F.lit(1)), F.avg(label)).first()
+    few = max(1, min(-(-n // ROWS_PER_PART), spark.sparkContext.defaultParallelism))  # a wave of tasks for each job where partitions stay small
+    p, options = {"gather": min(GATHER, max(LEAST_GATHER, n // few))} | p, p
     bins = learn_bins(train, cats, nums, p["max_bin"])
     mean = float(mean or 0)
     model = {"features": bins.features, "levels": bins.levels, "edges": bins.edges, "trees": [], "ended": "one_class", "params": options, "best_auc": None,
@@ -348,27 +415,30 @@ def fit(rows: DataFrame, cats: list[str], nums: list[str], label: str = "y", val
         return model
     is_cat = np.array([f in bins.levels for f in bins.features])
     width = bins.missing + 1
-    few = max(1, min(-(-n // ROWS_PER_BLOCK), spark.sparkContext.defaultParallelism))  # a wave of tasks for each job where blocks stay small
-    blocks = _blocks(rows.coalesce(max(few, -(-n // MOST_PER_BLOCK))), bins, label, val, key, model["base"]).persist()
-    depth = 1 if blocks.getNumPartitions() <= 64 else 3
+    parts = few * max(1, -(-n // (few * MOST_PER_PART)))  # whole waves
+    blocks, packed = _blocks(rows, bins, label, val, key, model["base"], parts)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    depth = 1 if parts <= 64 else 3
     r = np.random.default_rng(p["seed"])
-    best, best_round, kept, stale = -1.0, 0, [], []
+    best, best_round, kept, stale = -1.0, 0, [], [] if packed is None else [packed]
 
-    def summed(job, zero, merge):
-        return blocks.treeAggregate(zero, lambda total, b: merge(total, job(b)), merge, depth)
+    def summed(job, merge):
+        """Results of ``job`` over the blocks of each partition, merged."""
+        either = lambda x, y: y if x is None else x if y is None else merge(x, y)
+        return blocks.mapPartitions(job).treeAggregate(None, either, either, depth)
 
     def start(round_: int, usable: np.ndarray):
-        def job(b: dict):
-            here = np.flatnonzero(_bagged(b, round_, p))
-            h = histogram(b["codes"], here, *slopes(b, here), usable, width)
-            v = b["val"]
-            return h, _tally(_ranks(b["margin"][v]), b["y"][v], 1 - b["y"][v])
-
-        def merge(x, y):
-            if x is None or y is None:
-                return x if y is None else y
-            return x[0] + y[0], _tally(*(np.concatenate(pair) for pair in zip(x[1], y[1], strict=True)))
-        return summed(job, None, merge)
+        def job(these: Iterator[dict]):
+            h, ranks, y = np.zeros((len(usable), width, 3)), [], []
+            for b in these:
+                here = np.flatnonzero(_bagged(b, round_, p))
+                h += histogram(b["codes"], here, *slopes(b, here), usable, width)
+                ranks.append(_ranks(b["margin"][b["val"]]))
+                y.append(b["y"][b["val"]])
+            if ranks:
+                y = np.concatenate(y).astype(float)
+                yield h, _tally(np.concatenate(ranks), y, 1 - y)
+        return summed(job, lambda x, y: (x[0] + y[0], _tally(*(np.concatenate(pair) for pair in zip(x[1], y[1], strict=True)))))
 
     model["ended"] = "rounds"
     for round_ in range(p["rounds"] + 1):
@@ -390,25 +460,32 @@ def fit(rows: DataFrame, cats: list[str], nums: list[str], label: str = "y", val
             break
 
         def ask(tables, wanted, round_=round_, usable=usable):
-            def job(b: dict):
-                at = parted(b["codes"], np.flatnonzero(_bagged(b, round_, p)), tables, wanted)
-                return np.stack([histogram(b["codes"], at[v], *slopes(b, at[v]), usable, width) for v in wanted])
-            return summed(job, None, lambda x, y: x if y is None else y if x is None else x + y)
-
-        def finish(tables, hists, leaves, round_=round_, usable=usable):
+            def job(these: Iterator[dict]):
+                found, out = picked(these, round_, tables, wanted, usable, p), np.zeros((len(wanted), len(usable), width, 3))
+                for k, v in enumerate(wanted):
+                    if v in found:
+                        out[k] = histogram(found[v][0], slice(None), *found[v][1:], usable, width)
+                yield out
+            return summed(job, lambda x, y: x + y)
+
+        def finish(tables, hists, sizes, leaves, round_=round_, usable=usable):
             wanted = list(hists)
+            to = dealt(sizes, min(len(wanted), few))
 
             def send(i: int, these: Iterator[dict]):
-                for b in these:
-                    at = parted(b["codes"], np.flatnonzero(_bagged(b, round_, p)), tables, wanted)
-                    for k, v in enumerate(wanted):
-                        yield k, (i, np.asfortranarray(b["codes"][at[v]]), *slopes(b, at[v]))
-
-            def end(item):
-                k, parts = item
-                codes, grad, curve = (np.concatenate(x) for x in list(zip(*sorted(parts, key=lambda part: part[0]), strict=True))[1:])
-                return k, subtree(hists[wanted[k]], np.asfortranarray(codes), grad, curve, is_cat, usable, p | {"leaves": leaves})
-            found = blocks.mapPartitionsWithIndex(send).groupByKey(min(len(wanted), few)).map(end).collectAsMap()
+                for v, rows in picked(these, round_, tables, wanted, usable, p).items():
+                    yield wanted.index(v), (i, rows)
+
+            def end(these: Iterator[tuple]):
+                found: dict[int, list] = {}
+                for k, part in these:
+                    found.setdefault(k, []).append(part)
+                for k in sorted(found):
+                    codes, grad, curve = _joined([rows for _, rows in sorted(found.pop(k), key=lambda part: part[0])])
+                    root = hists[wanted[k]]
+                    root = histogram(codes, slice(None), grad, curve, usable, width) if root is None else root
+                    yield k, subtree(root, codes, grad, curve, is_cat, usable, p | {"leaves": leaves})
+            found = blocks.mapPartitionsWithIndex(send).partitionBy(max(to) + 1, to.__getitem__).mapPartitions(end).collectAsMap()
             return [found[k] for k in range(len(wanted))]
         tree = grow(root, ask, is_cat, usable, p, finish)
         if len(tree["feature"]) == 1:
@@ -420,7 +497,7 @@ def fit(rows: DataFrame, cats: list[str], nums: list[str], label: str = "y", val
         def step(b: dict, tables=tables, values=values) -> dict:
             return b | {"margin": b["margin"] + values[route(b["codes"], *tables)]}
         stale.append(blocks)
-        blocks = blocks.map(step).persist()
+        blocks = blocks.map(step).persist(StorageLevel.MEMORY_AND_DISK)
         if (round_ + 1) % CUT == 0:
             blocks.checkpoint()
     for x in (*stale, blocks):
@@ -466,16 +543,17 @@ def feature_rows(df: DataFrame, model: dict, out: str = "features") -> DataFrame
 
 def margins(x: np.ndarray, trees: list[Tree], base: float) -> np.ndarray:
     """Log-odds of rows of features; NaN is a missing value."""
+    columns = np.ascontiguousarray(x.T)
     out = np.full(len(x), base)
     for t in trees:
-        at = np.zeros(len(x), np.int64)
-        moving = np.arange(len(x)) if t.left[0] >= 0 else np.empty(0, np.int64)
-        while moving.size:
-            for v in np.unique(at[moving]):
-                here = moving[at[moving] == v]
-                at[here] = np.where(t.goes_left(int(v), x[here, t.feature[v]]), t.left[v], t.right[v])
-            moving = moving[t.left[at[moving]] >= 0]
-        out += t.value[at]
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            v, here = todo.pop()
+            if t.left[v] < 0:
+                out[here] += t.value[v]
+            elif here.size:
+                goes = t.goes_left(int(v), columns[t.feature[v]][here])
+                todo += [(t.left[v], here[goes]), (t.right[v], here[~goes])]
     return out
 
 
@@ -484,12 +562,11 @@ def score(df: DataFrame, model: dict, features: str = "features", margin: str =
     shared = df.sparkSession.sparkContext.broadcast([dict(t.__dict__) for t in trees_of(model)])
     base, size = model["base"], len(model["features"])
 
-    @F.pandas_udf("double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = [Tree(**t) for t in shared.value]
         for part in parts:
-            x = np.stack([np.asarray(v, np.float64) for v in part]) if len(part) else np.empty((0, size))
-            yield pd.Series(margins(x, trees, base))
+            yield pa.array(margins(matrix(part, size), trees, base))
     return df.withColumn(margin, of(features)).withColumn(prob, 1 / (1 + F.exp(-F.col(margin))))
 
 
